@@ -12,6 +12,77 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(spark_id: str = "doc_id"):
+    """crc32 of the id as text, mod 5; null for a null id."""
+    return F.pmod(F.crc32(F.col(spark_id).cast("string")), F.lit(5))
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_round_trip
+
+    out = archive_round_trip(_read(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+top AS (SELECT hex, payload_bytes, max(page_id) AS top FROM p GROUP BY ALL)
+SELECT p.page_id, p.payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         ((('0x' || substr(p.hex, (i // 4 * 5 + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT + 1, 1)), '') AS payload_digest,
+       CASE WHEN p.page_id = top.top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN p.page_id = top.top THEN NULL ELSE top.top END AS refers_to
+FROM p JOIN top USING (hex, payload_bytes)
+"""
+
+
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import dedup_repeats
+
+    out = dedup_repeats(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import apply_rules
+
+    return apply_rules(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def _op3_sql() -> str:
+    from .quality import ALPHA, DELTA, LEAST_GOOD, RULES
+
+    grid = ", ".join(f"('{r}', {j}, {c})" for r, cuts in RULES.items() for j, c in enumerate(cuts, 1))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+grams AS (SELECT doc_id, i, array_to_string(words[i:i+4], ' ') AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)),
+twice AS (SELECT doc_id, g FROM grams GROUP BY ALL HAVING count(*) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT grams.doc_id, i, unnest(range(5)) AS k FROM grams JOIN twice USING (doc_id, g)) GROUP BY doc_id),
+c AS (SELECT w.doc_id, stratum, len(words)::BIGINT AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+             len(lines) AS n_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN covered USING (doc_id)),
+v AS (SELECT doc_id, stratum, unnest([{{'rule': 'symbols', 'v': 1000 * n_symbols // greatest(n_words, 1)}},
+             {{'rule': 'dup_lines', 'v': 1000 * n_dup_lines // greatest(n_lines, 1)}}, {{'rule': 'repeat_words', 'v': 1000 * n_repeat_words // greatest(n_words, 1)}},
+             {{'rule': 'long_words', 'v': 1000 * word_chars // greatest(n_words, 1)}}, {{'rule': 'short_words', 'v': 1000 * n_words // greatest(word_chars, 1)}}]) AS x FROM c),
+grid(rule, level, cutoff) AS (VALUES {grid}),
+good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+sizes AS (SELECT stratum, count(*) AS n FROM c JOIN good USING (doc_id) GROUP BY stratum),
+held AS (SELECT CASE WHEN sizes.n >= {LEAST_GOOD} THEN v.stratum ELSE '' END AS stratum, v.x.rule AS rule, v.x.v AS v FROM v JOIN good USING (doc_id) JOIN sizes ON sizes.stratum = v.stratum),
+tests AS (SELECT held.stratum, held.rule, level, cutoff, count(*) AS n, count(*) FILTER (WHERE v > cutoff) AS k FROM held JOIN grid ON grid.rule = held.rule GROUP BY ALL),
+passed AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM tests
+  WHERE k <= n * {ALPHA} AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA}))))
+        <= {DELTA} / (SELECT count(DISTINCT stratum) * {len(RULES)} FROM tests) GROUP BY ALL),
+own AS (SELECT DISTINCT stratum FROM passed),
+over AS (SELECT v.doc_id FROM v LEFT JOIN own USING (stratum) JOIN passed ON passed.stratum = CASE WHEN own.stratum IS NULL THEN '' ELSE v.stratum END AND passed.rule = v.x.rule
+  WHERE v.x.v > passed.cutoff GROUP BY v.doc_id)
+SELECT c.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND over.doc_id IS NULL AS kept
+FROM c LEFT JOIN over USING (doc_id)
+"""
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
@@ -40,6 +111,34 @@ FROM judged GROUP BY doc_id
 """
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    out = score(docs, fit(docs, labels.where(_fold() != 0)), keep=["doc_id"])
+    return out.select("doc_id", F.coalesce(_fold() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import embedding_groups
+
+    out = embedding_groups(_read(spark, sf_dir, "embeddings"), threshold=0.9)
+    return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
+OP6_SQL = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.9),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+comp AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT comp.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, comp.vec_id = component_id AS kept
+FROM comp LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a = comp.vec_id
+"""
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_groups
 
@@ -47,9 +146,41 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(_read(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import encode_texts
+
+    return encode_texts(_read(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"), keep=["doc_id"], with_ids=False)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, predict
+
+    docs = _read(spark, sf_dir, "documents")
+    out = predict(docs, fit(docs.where(_fold() != 0)), keep=["doc_id"])
+    return out.select("doc_id", F.coalesce(_fold() == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op4_line_dedup": op4_line_dedup,
-    "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    f.__name__: f
+    for f in (op1_warc, op2_suffix_array_dedup, op3_quality_rules, op4_line_dedup, op5_toxicity, op6_embedding_near_dedup, op7_simhash_near_dedup, op8_packing, op9_sentencepiece, op10_language_id, pipeline)
 }
 
-SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL}
+SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op3_quality_rules": _op3_sql(), "op4_line_dedup": OP4_SQL, "op6_embedding_near_dedup": OP6_SQL}
