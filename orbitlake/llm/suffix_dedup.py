@@ -15,11 +15,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, group_bounds, renamed, stored, text_bytes, whole_groups
+from .common import carried, drop_stored, group_bounds, renamed, stored, text_bytes, whole_groups
 
 ANCHOR_BYTES = 40
 #: Different contexts of one anchor string beyond which its windows are counted by hash instead, which Spark spreads.
-GROUP_LIMIT = 20_000
+GROUP_LIMIT = 4_000
 _BLOCK = 1 << 18
 _LOW = np.uint64((1 << 20) - 1)
 _rng = np.random.default_rng(20)
@@ -287,7 +287,9 @@ def _candidates(texts: DataFrame, least: int, k: int) -> DataFrame:
     anchors = stored(texts.where(F.col("n") >= least).mapInArrow(_anchor_rows(least, k), "h long, c long, k long, n long, at long, w long"), "anchors")
     same = anchors.groupBy("h", "c").agg(F.sum("w").alias("times"))
     strings = same.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("times").alias("all")).where("all > 1").drop("all")
-    return stored(anchors.drop("w").join(same.join(strings, "h"), ["h", "c"]), "repeats")
+    found = stored(anchors.drop("w").join(same.join(strings, "h"), ["h", "c"]), "repeats")
+    drop_stored(anchors)
+    return found
 
 
 def _contexts_of(texts: DataFrame, found: DataFrame, least: int, k: int) -> DataFrame:
