@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 
@@ -28,8 +29,8 @@ def base32_of_hex(digest: Column) -> Column:
     return F.concat(*letters)
 
 
-def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """One record a row, in uncompressed WARC 1.1 files under `path`.
+def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE, compression: str = "gzip") -> None:
+    """One record a row, in WARC 1.1 files under `path`, gzipped as wholes unless compression is "none".
 
     Among rows with equal payloads of at least min_bytes bytes, the one with the largest id is a response and the others
     are revisits of it. Null payload: empty. Null url: urn:none; blanks and control characters in a url are escaped.
@@ -58,7 +59,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
         F.lit("\r\n"),
         body,
     )
-    met.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(path)
+    met.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).option("compression", compression).text(path)
 
 
 def _page(urn: bytes | None) -> int | None:
@@ -90,6 +91,8 @@ def _candidate_rows(with_payload: bool):
         for batch in batches:
             for path, content in zip(batch["path"].to_pylist(), batch["content"]):
                 content = content.as_py()
+                if content[:2] == b"\x1f\x8b":
+                    content = gzip.decompress(content)
                 out = []
                 for at, after, f, (s, e) in candidates(content):
                     kind = f.get(b"warc-type", b"").decode("utf-8", "replace")
@@ -132,7 +135,7 @@ def read_archive(spark: SparkSession, path: str, with_payload: bool = True) -> D
     Magic inside a payload is a candidate like any other, but nothing on the chain leads to it. payload_bytes and
     payload_digest are of the payload as read (of a revisit: as its record states); intact tells if a response's
     payload has its stated digest. A file that does not open with a record gives none; after a damaged record the rest
-    of its file is not told. Files are read in one piece each.
+    of its file is not told. Files, gzipped or not, are read in one piece each; offsets are in the plain bytes.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     found = stored(files.mapInArrow(_candidate_rows(with_payload), _COLUMNS + (", payload binary" if with_payload else "")), "warc-candidates")
