@@ -18,41 +18,80 @@ def line_fit(df: DataFrame, by: list[str], x: Column, y: Column) -> DataFrame:
     return s.select(*by, "n", slope.alias("slope"), ((F.col("sy") - slope * F.col("sx")) / F.col("n")).alias("intercept"))
 
 
-def _solve(g: pd.DataFrame, sagnac: bool, rounds: int, tol: float) -> tuple[np.ndarray, int]:
-    sat, rho, w = g[["sx", "sy", "sz"]].to_numpy(float), g["pr"].to_numpy(float), g["w"].to_numpy(float)
-    centre = sat.mean(axis=0)
-    x = np.append(centre / max(np.linalg.norm(centre), 1.0) * A, 0.0)
+def _normal_sums(epoch: np.ndarray, n: int, *columns: np.ndarray) -> np.ndarray:
+    return np.stack([np.bincount(epoch, c, n) for c in columns], axis=1)
+
+
+def solve_epochs(epoch: np.ndarray, sat: np.ndarray, rho: np.ndarray, w: np.ndarray, sagnac: bool, rounds: int, tol: float) -> tuple[np.ndarray, np.ndarray]:
+    """Gauss-Newton for all epochs at once: (x, y, z, clock) and the rounds that each took.
+
+    Starts below the mean satellite at the earth's radius; the 4x4 systems come from sums over each epoch's rows.
+    """
+    n = int(epoch.max()) + 1
+    count = np.bincount(epoch, minlength=n)
+    centre = _normal_sums(epoch, n, *sat.T) / count[:, None]
+    x = np.hstack([centre / np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1.0) * A, np.zeros((n, 1))])
+    took, live = np.zeros(n, np.int64), count >= 4
     for k in range(1, rounds + 1):
-        s = sat
+        if not live.any():
+            break
+        at, s = x[epoch], sat
         if sagnac:
-            turn = OMEGA * np.linalg.norm(sat - x[:3], axis=1) / LIGHT
+            turn = OMEGA * np.linalg.norm(sat - at[:, :3], axis=1) / LIGHT
             s = np.column_stack([np.cos(turn) * sat[:, 0] + np.sin(turn) * sat[:, 1], np.cos(turn) * sat[:, 1] - np.sin(turn) * sat[:, 0], sat[:, 2]])
-        d = s - x[:3]
+        d = s - at[:, :3]
         r = np.linalg.norm(d, axis=1)
         h = np.column_stack([-d / r[:, None], np.ones(len(r))])
-        step = np.linalg.lstsq((h.T * w) @ h, h.T @ (w * (rho - r - x[3])), rcond=None)[0]
+        res = rho - r - at[:, 3]
+        m = _normal_sums(epoch, n, *[w * h[:, i] * h[:, j] for i in range(4) for j in range(4)]).reshape(n, 4, 4)
+        v = _normal_sums(epoch, n, *[w * h[:, i] * res for i in range(4)])
+        step = np.zeros((n, 4))
+        step[live] = np.einsum("eij,ej->ei", np.linalg.pinv(m[live]), v[live])
         x += step
-        if np.linalg.norm(step[:3]) < tol:
-            break
-    return x, k
+        took[live] = k
+        live &= np.linalg.norm(step[:, :3], axis=1) >= tol
+    return x, took
 
 
 def wls_positions(meas: DataFrame, by: list[str], sagnac: bool = True, rounds: int = 10, tol: float = 1e-4) -> DataFrame:
     """Weighted least-squares position and clock of each epoch from columns sx, sy, sz, pr, w.
 
-    Epochs with fewer than four satellites have null results. Each epoch is one group, so work spreads over epochs.
+    Rows are shuffled by epoch and sorted; a task solves the epochs of a batch together. Rows without a positive weight
+    or a range count for nothing; epochs with fewer than four satellites have null results.
     """
     keys = [meas.schema[c] for c in by]
+    names = [k.name for k in keys] + ["n", "x", "y", "z", "clock", "rounds"]
     schema = ", ".join(f"{k.name} {k.dataType.simpleString()}" for k in keys) + ", n int, x double, y double, z double, clock double, rounds int"
 
-    def solve(key, g: pd.DataFrame) -> pd.DataFrame:
-        g = g[(g["w"] > 0) & g["pr"].notna()]
-        if len(g) < 4:
-            return pd.DataFrame([[*key, len(g), None, None, None, None, 0]], columns=[k.name for k in keys] + ["n", "x", "y", "z", "clock", "rounds"])
-        x, k = _solve(g, sagnac, rounds, tol)
-        return pd.DataFrame([[*key, len(g), *x, k]], columns=[k.name for k in keys] + ["n", "x", "y", "z", "clock", "rounds"])
-
-    return meas.groupBy(*by).applyInPandas(solve, schema)
+    def solve(g: pd.DataFrame) -> pd.DataFrame:
+        epoch = g.groupby(by, dropna=False, sort=False).ngroup().to_numpy()
+        fine = ((g["w"] > 0) & g["pr"].notna()).to_numpy()
+        first = g[by].iloc[np.unique(epoch, return_index=True)[1]].reset_index(drop=True)
+        part = g[fine]
+        n = np.bincount(epoch[fine], minlength=len(first))
+        out = np.full((len(first), 4), np.nan)
+        took = np.zeros(len(first), np.int64)
+        if len(part):
+            x, k = solve_epochs(epoch[fine], part[["sx", "sy", "sz"]].to_numpy(float), part["pr"].to_numpy(float), part["w"].to_numpy(float), sagnac, rounds, tol)
+            enough = n[: len(x)] >= 4
+            out[: len(x)][enough], took[: len(x)][enough] = x[enough], k[enough]
+        for i, c in enumerate(["n", "x", "y", "z", "clock", "rounds"]):
+            first[c] = n if c == "n" else took if c == "rounds" else out[:, i - 1]
+        return first[names]
+
+    def run(batches):
+        held = None
+        for g in batches:
+            g = g if held is None else pd.concat([held, g], ignore_index=True)
+            last = g[by].iloc[-1]
+            same = np.logical_and.reduce([(g[c] == last[c]) | (g[c].isna() & pd.isna(last[c])) for c in by])
+            held = g[same]
+            if not same.all():
+                yield solve(g[~same])
+        if held is not None and len(held):
+            yield solve(held)
+
+    return meas.select(*by, "sx", "sy", "sz", "pr", "w").repartition(*by).sortWithinPartitions(*by).mapInPandas(run, schema)
 
 
 def dilution(meas: DataFrame, by: list[str], azimuth: str, elevation: str) -> DataFrame:
