@@ -58,11 +58,17 @@ class WordEncoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> WordEncoder:
+    """One encoder for all tasks of a Python worker, so that words known from earlier tasks stay known."""
+    return WordEncoder(path)
+
+
 def _pieces(path: str, size: int, end_id: int, with_ids: bool):
     end = np.array([end_id], "<u4").tobytes()
 
     def rows(batches):
-        encoder = WordEncoder(path)
+        encoder = _encoder(path)
         for batch in batches:
             ids, texts = batch["c0"], batch["t"].to_pylist()
             for s in range(0, len(texts), 256):
