@@ -63,7 +63,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("line_dedup", lines), ("simhash_near_dedup", near_copies), ("suffix_array_dedup", repeats), ("packing", packing)]
 
-#: The stages go beyond SQL (a fitted model, fingerprints, token ids); tests hold each against a plain version.
+#: The stages go beyond SQL (a fitted model, fingerprints, token ids); tests hold the operators against plain versions, and the stages on small odd tables.
 ORACLE_SQL = None
 
 
