@@ -94,6 +94,11 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
         yield pa.concat_tables(held)
 
 
+def spread(column: str):
+    """A number from 0 to 1 by the hash of a column; equal values get equal numbers."""
+    return F.pmod(F.xxhash64(column), F.lit(1 << 52)) / float(1 << 52)
+
+
 def group_bounds(*columns: np.ndarray) -> np.ndarray:
     """Starts of the runs of equal keys, with the length at the end."""
     n = len(columns[0])

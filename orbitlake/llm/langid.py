@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import carried, renamed, stored, text_bytes
+from .common import carried, renamed, spread, stored, text_bytes
 
 #: Longest context in bytes, and the documents of a language that its tree is grown from (a bounded sample by hash).
 ORDER = 4
@@ -152,8 +152,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     Null languages, ids and texts teach nothing. The number of languages must be small (their trees go to every task).
     """
     ids = docs.where(docs[lang_col].isNotNull() & docs[text_col].isNotNull()).select(docs[id_col].cast("long").alias("id"), docs[lang_col].alias("lang")).where("id is not null")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = stored(ids.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= train_docs).select("id", "lang").distinct(), "lang-sample")
+    # some four times as many by their place on the scale, so that no task ranks a language's ids from all over the input
+    sizes = F.broadcast(ids.groupBy("lang").agg(F.count("*").alias("n")))
+    near = ids.join(sizes, "lang").withColumn("place", spread("id")).where(F.col("place") * F.col("n") <= 4 * train_docs + 100)
+    first = Window.partitionBy("lang").orderBy("place", "id")
+    chosen = stored(near.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= train_docs).select("id", "lang").distinct(), "lang-sample")
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[lang_col].alias("lang"), docs[text_col].cast("string").alias("t"))
     train = texts.join(F.broadcast(chosen), ["id", "lang"])  # at most train_docs rows a language
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))

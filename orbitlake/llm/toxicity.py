@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import carried, renamed, stored
+from .common import carried, renamed, spread, stored
 
 #: Bound of the labelled rows that the model is fitted on, and of the units it keeps.
 TRAIN_ROWS = 100_000
@@ -149,8 +149,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     spark = docs.sparkSession
     chosen = labels.select(labels[id_col].cast("long").alias("id"), labels[label_col].cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)")
-    chosen = chosen.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(train_rows)
-    chosen = stored(chosen, "toxic-labels")
+    chosen = stored(chosen.groupBy("id").agg(F.max("toxic").alias("toxic")).withColumn("place", spread("id")), "toxic-ids")
+    # somewhat more by their place on the scale, so that the last merge sees no more than that
+    near = chosen.where(F.col("place") * chosen.count() <= 1.1 * train_rows + 100)
+    chosen = stored(near.orderBy("place", "id").limit(train_rows).select("id", "toxic"), "toxic-labels")
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("t"))
     train = texts.join(F.broadcast(chosen), "id").select("t", "toxic")  # at most train_rows rows
     counts = stored(train.mapInArrow(_counted, "unit string, toxic int, n long").groupBy("unit").agg(F.sum(F.expr("if(toxic = 1, n, 0)")).alias("a"), F.sum(F.expr("if(toxic = 0, n, 0)")).alias("b")), "toxic-units")
