@@ -10,8 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import atmosphere, signals
 from ..functions import geodesy as G
-from ..operators import aggregates, estimators, joins, windows
+from ..operators import aggregates, estimators, joins, slips, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -349,3 +350,84 @@ def epoch_positions(spark, sf_dir):
     at = (F.lit(-3957199.0), F.lit(3310205.0), F.lit(3737911.0))
     sats = li.select("l_orderkey", x.alias("sx"), y.alias("sy"), z.alias("sz"), F.col("l_quantity").alias("w"))
     return estimators.wls_positions(sats.withColumn("pr", G.sagnac_range(*at, F.col("sx"), F.col("sy"), F.col("sz")) + 3000.0), ["l_orderkey"])
+
+
+#: Broadcast ionosphere parameters of a made-up day.
+_ALPHA, _BETA = [1.1e-8, 1.5e-8, -6.0e-8, -1.2e-7], [9.6e4, 1.3e5, -6.6e4, -3.3e5]
+_SKY = """sky AS (SELECT c_custkey AS k, radians(c_custkey * 37 % 120 - 60) AS lat, radians(c_custkey * 53 % 360 - 180) AS lon, (c_custkey * 13 % 3000)::DOUBLE AS alt,
+  radians(c_custkey * 61 % 360) AS az, radians(c_custkey * 7 % 90) AS el, (c_custkey * 977 % 604800)::DOUBLE AS tow FROM customer)"""
+
+
+def _sky(spark, sf_dir):
+    """A receiver, a direction and a time for each customer."""
+    k = F.col("c_custkey")
+    return _read(spark, sf_dir, "customer").select(
+        k.alias("k"), F.radians(k * 37 % 120 - 60).alias("lat"), F.radians(k * 53 % 360 - 180).alias("lon"), (k * 13 % 3000).cast("double").alias("alt"),
+        F.radians(k * 61 % 360).alias("az"), F.radians(k * 7 % 90).alias("el"), (k * 977 % 604800).cast("double").alias("tow"))
+
+
+@_query(f"""WITH {_SKY}, air AS (SELECT *, 1013.25 * pow(1 - 2.2557e-5 * alt, 5.2568) AS p, 15 - 6.5e-3 * alt AS c, greatest(el, radians(2.0)) AS low FROM sky)
+SELECT k, round(0.002277 * (p + (1255 / (c + 273.15) + 0.05) * 0.5 * 6.108 * exp(17.15 * c / (c + 234.7))) / (1 - 0.00266 * cos(2 * lat) - 0.00028 * alt / 1000)
+  / sin(sqrt(low * low + 6.25 * radians(1.0) * radians(1.0))), 6) AS delay FROM air""")
+def troposphere_delay(spark, sf_dir):
+    return _sky(spark, sf_dir).select("k", _r(atmosphere.troposphere(F.col("lat"), F.col("alt"), F.col("el"))).alias("delay"))
+
+
+@_query(f"""WITH {_SKY}, a AS (SELECT *, 0.0137 / (el / pi() + 0.11) - 0.022 AS psi FROM sky),
+b AS (SELECT *, least(greatest(lat / pi() + psi * cos(az), -0.416), 0.416) AS fi FROM a), c AS (SELECT *, lon / pi() + psi * sin(az) / cos(fi * pi()) AS li FROM b),
+d AS (SELECT *, fi + 0.064 * cos((li - 1.617) * pi()) AS m, 43200 * li + tow AS s FROM c),
+e AS (SELECT *, greatest({_BETA[0]} + {_BETA[1]} * m + {_BETA[2]} * m * m + {_BETA[3]} * m * m * m, 72000) AS per,
+  greatest({_ALPHA[0]} + {_ALPHA[1]} * m + {_ALPHA[2]} * m * m + {_ALPHA[3]} * m * m * m, 0) AS amp, s - 86400 * floor(s / 86400) AS t FROM d),
+f AS (SELECT *, 2 * pi() * (t - 50400) / per AS x FROM e)
+SELECT k, round(299792458.0 * (1 + 16 * pow(0.53 - el / pi(), 3)) * (5e-9 + CASE WHEN abs(x) < 1.57 THEN amp * (1 - x * x / 2 + x * x * x * x / 24) ELSE 0 END), 6) AS delay FROM f""")
+def ionosphere_delay(spark, sf_dir):
+    c = {n: F.col(n) for n in ("lat", "lon", "az", "el", "tow")}
+    return _sky(spark, sf_dir).select("k", _r(atmosphere.ionosphere(_ALPHA, _BETA, **c)).alias("delay"))
+
+
+@_query("""WITH u AS (SELECT event_id, epoch_us(ts) - epoch_us(TIMESTAMP '1980-01-06') AS us FROM events)
+SELECT event_id, us // 604800000000 AS week, round((us % 604800000000) / 1e6, 6) AS tow FROM u""")
+def gps_week_tow(spark, sf_dir):
+    week, tow = signals.gps_week_tow(F.col("ts"))
+    return _read(spark, sf_dir, "events").select("event_id", week.alias("week"), _r(tow).alias("tow"))
+
+
+@_query(f"""WITH {_EV}, c AS (SELECT event_id, user_id, us, value AS l1, value * 0.75 AS l2, value * 0.5 AS p1, value * 0.25 AS p2 FROM ev),
+x AS (SELECT *, l1 * (299792458.0 / 1575.42e6) - l2 * (299792458.0 / 1227.60e6) AS gf,
+  l1 - l2 - (1575.42e6 * p1 + 1227.60e6 * p2) / (1575.42e6 + 1227.60e6) / (299792458.0 / (1575.42e6 - 1227.60e6)) AS mw FROM c)
+SELECT event_id, round(mw, 6) AS ambiguity, coalesce(abs(gf - lag(gf) OVER w) > 0.05, false) AS slip_gf, coalesce(abs(mw - lag(mw) OVER w) > 1.0, false) AS slip_mw,
+  coalesce(abs(l1 - lag(l1) OVER w) > 0.5, false) AS slip_td FROM x WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)""")
+def cycle_slips(spark, sf_dir):
+    """Three slip tests over each track, its readings standing for phases and ranges."""
+    v = F.col("value")
+    gf, mw = signals.geometry_free(v, v * 0.75), signals.wide_lane(v, v * 0.75, v * 0.5, v * 0.25)
+    rows = _events(spark, sf_dir).select("event_id", "user_id", "us", "value")
+    out = slips.jumps_over(rows, ["user_id"], ["us", "event_id"], {"slip_gf": (gf, 0.05), "slip_mw": (mw, 1.0), "slip_td": (v, 0.5)})
+    return out.select("event_id", _r(mw).alias("ambiguity"), "slip_gf", "slip_mw", "slip_td")
+
+
+@_query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_discount < 0.05 AS los, l_quantity AS cn0, l_partkey % 90 AS el FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN cn0 IS NULL OR el < 15 THEN 'ambiguous' WHEN los AND cn0 <= 25 THEN 'missing_building' WHEN NOT los AND cn0 >= 35 THEN 'phantom_building'
+  WHEN los AND cn0 >= 35 OR NOT los AND cn0 <= 25 THEN 'consistent' ELSE 'ambiguous' END AS label,
+  round(0.2 + 0.8 * least(greatest((cn0 - 10.0) / 30.0, 0.0), 1.0), 6) AS scale FROM s""")
+def sight_consistency(spark, sf_dir):
+    """Sight label and gate scale of each line, its quantity standing for signal strength."""
+    cn0 = F.col("l_quantity").cast("double")
+    label = signals.sight_label(F.col("l_discount") < 0.05, cn0, F.col("l_partkey") % 90, 35.0, 25.0, 15.0)
+    return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", label.alias("label"), _r(signals.ramp(cn0, 10.0, 40.0, 0.2)).alias("scale"))
+
+
+@_query("""SELECT coalesce(event_type, 'OVERALL') AS event_type, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS max FROM events GROUP BY GROUPING SETS ((event_type), ())""")
+def level_summary(spark, sf_dir):
+    """Counts by method and over all, in one pass."""
+    levels = _read(spark, sf_dir, "events").rollup("event_type").agg(F.count("*").alias("n"), _r(F.avg("value")).alias("mean"), F.max("value").alias("max"))
+    return levels.withColumn("event_type", F.coalesce("event_type", F.lit("OVERALL")))
+
+
+@_query("""SELECT l_orderkey, l_suppkey % 8 AS satellite, max_by(l_partkey, struct_pack(a := l_quantity, b := -l_linenumber, c := -l_partkey)) AS l_partkey, max(l_quantity) AS strength
+FROM lineitem GROUP BY ALL""")
+def strongest_per_satellite(spark, sf_dir):
+    """One line for each order and satellite, the strongest; a tie goes to the first line, then to the smallest part."""
+    rank = F.struct("l_quantity", -F.col("l_linenumber"), -F.col("l_partkey"))
+    li = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey", (F.col("l_suppkey") % 8).alias("satellite"))
+    return li.agg(F.max_by("l_partkey", rank).alias("l_partkey"), F.max("l_quantity").alias("strength"))

@@ -113,3 +113,22 @@ def test_nmea_lines(spark):
     assert [r.kind for r in got] == ["GGA", "RMC"]
     assert got[0].lat == pytest.approx(48.1173) and got[0].lon == pytest.approx(-11.516667, abs=1e-6) and got[0].altitude == 545.4
     assert got[1].lat == pytest.approx(-48.1173) and got[1].speed_knots == 22.4
+
+
+def test_slips_are_never_on_a_first_row_nor_beside_nulls(spark):
+    from orbitlake.operators import slips
+
+    rows = [("a", 1, 0.0), ("a", 2, 9.0), ("a", 3, None), ("a", 4, 9.0), ("b", 1, 50.0), ("b", 2, 50.5)]
+    df = spark.createDataFrame(rows, "sat string, t int, x double")
+    out = slips.jumps_over(df, ["sat"], ["t"], {"slip": (F.col("x"), 0.5)}).where("slip").collect()
+    assert [(r.sat, r.t) for r in out] == [("a", 2)]
+
+
+def test_ramps_clip_and_labels_name_the_side_that_is_wrong(spark):
+    from orbitlake.functions import signals
+
+    df = spark.createDataFrame([(True, 50.0, 40.0), (False, 50.0, 40.0), (True, 10.0, 40.0), (False, 10.0, 40.0), (True, None, 40.0), (True, 50.0, 1.0), (True, 30.0, 40.0)], "los boolean, cn0 double, el double")
+    label = signals.sight_label(F.col("los"), F.col("cn0"), F.col("el"), 35.0, 25.0, 15.0)
+    got = df.select(label.alias("l"), signals.ramp(F.col("cn0"), 20.0, 40.0, 0.5).alias("r")).collect()
+    assert [r.l for r in got] == ["consistent", "phantom_building", "missing_building", "consistent", "ambiguous", "ambiguous", "ambiguous"]
+    assert [r.r for r in got] == [1.0, 1.0, 0.5, 0.5, None, 1.0, 0.75]
