@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 from orbitlake.llm.common import stored
 from orbitlake.llm.line_dedup import dedup_lines
 from orbitlake.llm.packing import pack
-from orbitlake.llm.simhash import simhash_groups
+from orbitlake.llm.shingle_join import similar_groups
 from orbitlake.llm.suffix_dedup import dedup_repeats
 from orbitlake.llm.toxicity import fit, score
 
-#: Near copies: 64-bit fingerprints of five-word shingles differ in RADIUS bits at most, and two fingerprints together
-#: in BOTH of 128, which is what texts with a similarity of 0.8 differ in, give or take their spread.
-WIDTH, RADIUS, BLOCKS, BOTH = 5, 9, 2, 24
+#: Near copies: NUM/DEN or more of the distinct five-word shingles of two texts are in both.
+WIDTH, NUM, DEN = 5, 4, 5
 
 
 def _with_text(out: DataFrame, columns: list[str]) -> DataFrame:
@@ -44,7 +43,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     sid = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 60)))
     keyed = docs.withColumn("__sid", sid)
-    groups = simhash_groups(keyed, "__sid", "text", width=WIDTH, radius=RADIUS, blocks=BLOCKS, both=BOTH)
+    groups = similar_groups(keyed, "__sid", "text", width=WIDTH, num=NUM, den=DEN)
     roots = groups.where("id = component_id").select(F.col("id").alias("__sid")).distinct()
     first = Window.partitionBy("__sid", F.xxhash64("text")).orderBy(F.lit(0))
     return keyed.join(roots, "__sid", "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*docs.columns)
