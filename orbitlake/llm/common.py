@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -16,10 +15,10 @@ SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder of spark.checkpoint.dir; where that is unset, one in the warehouse, which executors share as well."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="orbitlake-")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 

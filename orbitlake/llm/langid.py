@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from .common import carried, renamed, spread, stored, text_bytes
 #: Longest context in bytes, and the documents of a language that its tree is grown from (a bounded sample by hash).
 ORDER = 4
 TRAIN_DOCS = 300
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _CHUNK = 1 << 20
 _PROBE = np.uint64(0x9E3779B97F4A7C15)
 

@@ -86,7 +86,10 @@ class PerfectHash:
 
 
 class Shard:
-    """Arrays in the order of the hash: a 64-bit fingerprint, the document count, the largest document id."""
+    """Arrays in the order of the hash: a 64-bit fingerprint, the document count, the largest document id.
+
+    The hash is over the distinct keys that two or more documents hold; any other key meets a foreign fingerprint.
+    """
 
     def __init__(self, a, b, counts, top):
         self.hash = PerfectHash(a, b)
@@ -95,11 +98,11 @@ class Shard:
         self.prints[at], self.counts[at], self.top[at] = b ^ a, np.minimum(counts, 0xFFFFFFFF), top
 
     def probe(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which keys are in the set, and their largest document id."""
+        """In how many documents each key is (0 for keys outside the set), and the largest id of those."""
         if not self.hash.n:
-            return np.zeros(len(a), bool), np.zeros(len(a), np.int64)
+            return np.zeros(len(a), np.uint32), np.zeros(len(a), np.int64)
         at = self.hash.index(a, b)
-        return (at >= 0) & (self.prints[at] == b ^ a), self.top[at]
+        return np.where((at >= 0) & (self.prints[at] == b ^ a), self.counts[at], 0), self.top[at]
 
 
 def _line_rows(least: int):
@@ -130,12 +133,15 @@ def _build(batches):
             yield pa.RecordBatch.from_arrays([pa.array([int(shard[s])], pa.int64()), pa.array([blob], pa.binary()), pa.array([len(blob)], pa.int64())], ["shard", "blob", "size"])
 
 
-def line_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """(shard, blob, size): the index of line keys of at least min_chars code points found in at least min_docs documents."""
+def line_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40) -> tuple[DataFrame, int]:
+    """(shard, blob, size) and the number of shards: the index of line keys of at least min_chars code points.
+
+    A key that one document alone holds needs no place in it: it can't be shared.
+    """
     base = docs.select(docs[text_col].cast("string").alias("t"), docs[id_col].cast("long").alias("c0"))
     lines = base.mapInArrow(_line_rows(min_chars), "h1 long, h2 long, doc long")
     common = stored(
-        lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.coalesce(F.max("doc"), F.lit(LOWEST)).alias("top")).where(F.col("n") >= min_docs), "lines"
+        lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.coalesce(F.max("doc"), F.lit(LOWEST)).alias("top")).where("n > 1"), "lines"
     )
     shards = max(1, -(-common.count() // SHARD_KEYS))
     by = common.withColumn("shard", F.pmod("h1", F.lit(shards)))
@@ -160,7 +166,7 @@ def _rebuilt(batch: pa.RecordBatch, lost: list[dict | set], parsed) -> pa.Record
     )
 
 
-def _probe_all(shared, shards: int, least: int, id_at: str):
+def _probe_all(shared, shards: int, least: int, min_docs: int, id_at: str):
     def rows(batches):
         index = {k: pickle.loads(v) for k, v in shared.value}
         for batch in batches:
@@ -175,7 +181,8 @@ def _probe_all(shared, shards: int, least: int, id_at: str):
                     if int(s) not in index:
                         continue
                     at = np.flatnonzero(shard == s)
-                    hit, top = index[int(s)].probe(h[at, 0], h[at, 1])
+                    n, top = index[int(s)].probe(h[at, 0], h[at, 1])
+                    hit = n >= min_docs
                     for j, best in zip(at[hit].tolist(), top[hit].tolist()):
                         d, i = where[j]
                         if (LOWEST if ids[d] is None else ids[d]) != best:
@@ -189,36 +196,38 @@ def _asks(shards: int, least: int, id_at: str):
     def rows(batches):
         for batch in batches:
             ids, out = batch[id_at].to_pylist(), []
-            for i, key, text in zip(ids, batch["key"].to_pylist(), text_bytes(batch["t"])):
+            for i, key, key2, text in zip(ids, batch["key"].to_pylist(), batch["key2"].to_pylist(), text_bytes(batch["t"])):
                 for at, k in enumerate(_split_keys(text, least)[1]):
                     if k is not None:
                         a, b = np.array(_hashes(k), np.uint64).view(np.int64).tolist()
-                        out.append((a % shards, a, b, LOWEST if i is None else i, key, at, None))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[j] for r in out], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["shard", "h1", "h2", "doc", "key", "at", "blob"]
-            )
+                        out.append((a % shards, a, b, LOWEST if i is None else i, key, key2, at, None))
+            kinds = (*[pa.int64()] * 6, pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds)], ["shard", "h1", "h2", "doc", "key", "key2", "at", "blob"])
 
     return rows
 
 
-def _answer(batches):
+def _answer(min_docs: int):
     """Rows sorted so that the index blob of a shard comes before the probes of it; a shard's probes pass in a stream."""
-    shard, index = None, None
-    for batch in batches:
-        of, blobs = batch["shard"].to_numpy(), batch["blob"]
-        bounds = group_bounds(of)
-        for s, e in zip(bounds[:-1], bounds[1:]):
-            if of[s] != shard:
-                shard, index = of[s], None
-            if blobs[int(s)].is_valid:
-                index, s = pickle.loads(blobs[int(s)].as_py()), s + 1
-            if index is None or s >= e:
-                continue
-            part = batch.slice(s, e - s)
-            a, b = (part[c].to_numpy().view(np.uint64) for c in ("h1", "h2"))
-            hit, top = index.probe(a, b)
-            gone = hit & (top != part["doc"].to_numpy())
-            yield pa.RecordBatch.from_arrays([part["key"].filter(pa.array(gone)), part["at"].filter(pa.array(gone))], ["key", "at"])
+
+    def rows(batches):
+        shard, index = None, None
+        for batch in batches:
+            of, blobs = batch["shard"].to_numpy(), batch["blob"]
+            bounds = group_bounds(of)
+            for s, e in zip(bounds[:-1], bounds[1:]):
+                if of[s] != shard:
+                    shard, index = of[s], None
+                if blobs[int(s)].is_valid:
+                    index, s = pickle.loads(blobs[int(s)].as_py()), s + 1
+                if index is None or s >= e:
+                    continue
+                part = batch.slice(s, e - s)
+                n, top = index.probe(*[part[c].to_numpy().view(np.uint64) for c in ("h1", "h2")])
+                gone = pa.array((n >= min_docs) & (top != part["doc"].to_numpy()))
+                yield part.select(["key", "key2", "at"]).filter(gone)
+
+    return rows
 
 
 def _drop(least: int):
@@ -242,7 +251,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     keep = [c for c in (keep if keep is not None else [id_col]) if c != text_col]
-    index, shards = line_index(docs, id_col, text_col, min_chars, min_docs)
+    index, shards = line_index(docs, id_col, text_col, min_chars)
     size = index.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     work = docs.withColumn("__id", docs[id_col].cast("long"))
     base, names = carried(work, text_col, ["__id", *keep], ["n_lines", "n_dropped"])
@@ -250,17 +259,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = f"t string, {kinds}, n_lines long, n_dropped long"
     if size <= broadcast_bytes:
         shared = spark.sparkContext.broadcast([(r["shard"], bytes(r["blob"])) for r in index.collect()])
-        out = base.mapInArrow(_probe_all(shared, shards, min_chars, "c0"), schema)
+        out = base.mapInArrow(_probe_all(shared, shards, min_chars, min_docs, "c0"), schema)
     else:
-        keyed = base.withColumn("key", F.xxhash64("c0", "t"))
+        keyed = base.withColumns({"key": F.xxhash64("c0", "t"), "key2": F.xxhash64(F.lit(1), "t", "c0")})
         salts = 16
-        asks = keyed.select("c0", "key", "t").mapInArrow(_asks(shards, min_chars, "c0"), "shard long, h1 long, h2 long, doc long, key long, at int, blob binary")
+        asks = keyed.select("c0", "key", "key2", "t").mapInArrow(_asks(shards, min_chars, "c0"), "shard long, h1 long, h2 long, doc long, key long, key2 long, at int, blob binary")
         asks = asks.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)))
-        blobs = index.select("shard", *[F.lit(None).cast(k).alias(c) for c, k in (("h1", "long"), ("h2", "long"), ("doc", "long"), ("key", "long"), ("at", "int"))], "blob", F.explode(F.array(*[F.lit(i).cast("long") for i in range(salts)])).alias("salt"))
+        blobs = index.select("shard", *[F.lit(None).cast(k).alias(c) for c, k in (("h1", "long"), ("h2", "long"), ("doc", "long"), ("key", "long"), ("key2", "long"), ("at", "int"))], "blob", F.explode(F.array(*[F.lit(i).cast("long") for i in range(salts)])).alias("salt"))
         met = asks.unionByName(blobs).withColumn("first", F.col("blob").isNull())
         # the same (shard, salt) must not share a run with another: shard and salt in one key
         met = met.withColumn("shard", F.col("shard") * salts + F.col("salt"))
-        hits = met.repartition("shard").sortWithinPartitions("shard", "first").drop("salt", "first").mapInArrow(_answer, "key long, at int")
-        gone = hits.groupBy("key").agg(F.collect_set("at").alias("gone"))
-        out = keyed.join(gone, "key", "left").drop("key").mapInArrow(_drop(min_chars), schema)
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards)
+        hits = met.repartition(parts, "shard").sortWithinPartitions("shard", "first").drop("salt", "first").mapInArrow(_answer(min_docs), "key long, key2 long, at int")
+        gone = hits.groupBy("key", "key2").agg(F.collect_set("at").alias("gone"))
+        out = keyed.join(gone, ["key", "key2"], "left").drop("key", "key2").mapInArrow(_drop(min_chars), schema)
     return renamed(out.withColumnRenamed("t", "__text"), names).drop("__id").withColumnRenamed("__text", text_col)

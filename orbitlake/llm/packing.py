@@ -15,8 +15,11 @@ from .common import carried, renamed, stored
 
 SEQUENCE = 4096
 END_ID = 2
-#: Lengths are rounded up to multiples of this in the linear program, so that its rows stay few.
-QUANTUM = 16
+#: Lengths go into the linear program as they are up to FINE, and above it rounded up to multiples of QUANTUM, so that
+#: its rows stay few.
+QUANTUM, FINE = 16, 32
+#: Rows of counts or slots that go to all tasks at most; more are joined by shuffles.
+BROADCAST_ROWS = 200_000
 #: Characters whose case, normal form and class are the same in every Unicode version; other texts go to the library whole.
 _PLAIN = re.compile("[\t\n\x0b\x0c\r -~À-ÖØ-öø-ÿ]*")
 _WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
@@ -35,7 +38,7 @@ class WordEncoder:
     The vocabulary splits texts into words before merging, so ids of a text are its words' ids in a row.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 300_000):
         self.tokenizer, self.known, self.limit = _tokenizer(path), {}, limit
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -197,7 +200,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     if not with_ids:
         cut = cut.drop("ids")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = F.least(F.ceil(F.col("length") / quantum) * quantum, F.lit(sequence)).cast("long")
+    size = F.when(F.col("length") <= FINE, F.col("length")).otherwise(F.least(F.ceil(F.col("length") / quantum) * quantum, F.lit(sequence))).cast("long")
     spread = F.pmod(F.xxhash64("ids_crc32", "doc_tokens", "start", F.monotonically_increasing_id()), F.lit(buckets))
     pieces = stored(cut.withColumns({"size": size, "bucket": spread}), "pieces")
     counts = stored(pieces.groupBy("size", "bucket").count(), "piece-counts")
@@ -213,8 +216,12 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     before = counts.withColumn("before", F.sum("count").over(Window.partitionBy("size").orderBy("bucket")) - F.col("count")).drop("count")
     order = ["doc_tokens", "ids_crc32", "start", *cols]
     ranked = pieces.withColumn("place", F.row_number().over(Window.partitionBy("size", "bucket").orderBy(*order)) - 1)
-    ranked = ranked.join(F.broadcast(before), ["size", "bucket"]).withColumn("rank", F.col("before") + F.col("place"))
-    placed = ranked.join(F.broadcast(slot_rows), (ranked["size"] == slot_rows["size"]) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+    if len(histogram) * buckets <= BROADCAST_ROWS:
+        before = F.broadcast(before)
+    ranked = ranked.join(before, ["size", "bucket"]).withColumn("rank", F.col("before") + F.col("place"))
+    if len(table) <= BROADCAST_ROWS:
+        slot_rows = F.broadcast(slot_rows)
+    placed = ranked.join(slot_rows, (ranked["size"] == slot_rows["size"]) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     placed = placed.withColumn("sequence_id", F.col("first") + F.floor((F.col("rank") - F.col("low")) / F.col("each")).cast("long"))
     within = Window.partitionBy("sequence_id").orderBy(F.col("length").desc(), "rank", slot_rows["size"])
     out = placed.withColumn("offset", F.sum("length").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length"))

@@ -16,6 +16,8 @@ from .common import carried, renamed
 
 MARK = "▁"
 _LONG = 64
+#: Words whose ids a worker keeps; a store of this size is emptied and filled anew.
+KNOWN_WORDS = 300_000
 _UNKNOWN = 10.0
 
 
@@ -79,6 +81,23 @@ class DoubleArray:
                 yield i + 1, int(value[s])
 
 
+def log_scores(scores: np.ndarray, normal: np.ndarray) -> np.ndarray:
+    """Log scores of the pieces. A file of log probabilities is taken as it stands.
+
+    A file of merge ranks (all scores whole numbers) tells only the order of the pieces. Their probabilities then follow
+    Zipf's law with Mandelbrot's shift, p ~ 1 / (rank + 2.7), and sum to 1 over the normal pieces: nothing is trained.
+    """
+    own = scores[normal]
+    if not len(own) or (own != np.rint(own)).any() or np.ptp(own) < 100:
+        return scores
+    order = np.empty(len(own), np.int64)
+    order[np.argsort(-own, kind="stable")] = np.arange(1, len(own) + 1)
+    p = 1.0 / (order + 2.7)
+    out = np.full(len(scores), -np.inf)
+    out[normal] = np.log(p / p.sum())
+    return out
+
+
 class Pieces:
     """The pieces of a model file with their log scores; encodes with unigram Viterbi and decodes.
 
@@ -99,7 +118,7 @@ class Pieces:
             if self.kinds[i] == "byte":
                 self.byte_ids[int(self.names[i][3:5], 16)] = i
         normal = [i for i in range(n) if self.kinds[i] == "normal"]
-        self.scores = np.array([sp.get_score(i) for i in range(n)])
+        self.scores = log_scores(np.array([sp.get_score(i) for i in range(n)]), np.array(normal))
         self.unknown = float(self.scores[normal].min()) - _UNKNOWN
         self.trie = DoubleArray({self.names[i].encode(): i for i in normal})
         self.longest = max(len(self.names[i].encode()) for i in normal)
@@ -196,7 +215,7 @@ class Pieces:
         """Ids of each text as little-endian unsigned 32-bit numbers; an empty text has none."""
         marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
         split = [self._words.findall(t) if self.apart else [t] for t in marked]
-        if len(self.known) > 1_000_000:
+        if len(self.known) > KNOWN_WORDS:
             self.known = {}
         new = {w for ws in split for w in ws if w not in self.known}
         tails = {w for w in new if w[-1] in self.ends and len(w) > 2 and w[-2].isalpha()}
@@ -211,7 +230,9 @@ class Pieces:
         for w in tails:
             ids = long.get(w[:-1]) or self.known[w[:-1]]
             (long if w[:-1] in long else self.known)[w] = ids + self.known[w[-1]]
-        known = self.known if not long else self.known | long
+        known = self.known
+        if long:
+            return [b"".join([long[w] if w in long else known[w] for w in ws]) for ws in split]
         return [b"".join([known[w] for w in ws]) for ws in split]
 
     def decode(self, ids: bytes) -> str:
@@ -262,7 +283,7 @@ def encode_texts(docs: DataFrame, model_path: str, text_col: str = "text", keep:
 
     round_trip tells if decoding gives the text back; it does unless the text holds the marker itself. Null or empty
     text: no ids, decoded to an empty text. Null ids and repeated rows each get their row; a carried column named like
-    a result gives way to it. No rows: no rows.
+    a result gives way to it. Of paths with equal scores the one whose last piece starts first wins. No rows: no rows.
     """
     keep = [c for c in (keep if keep is not None else docs.columns) if c != text_col]
     base, names = carried(docs, text_col, keep, ["n_tokens", "ids_crc32", "decoded_sha256", "round_trip", "ids"])

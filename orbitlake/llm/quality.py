@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,18 +11,16 @@ from pyspark.sql import functions as F
 from .common import stored
 
 SPACE = " \t\n\x0b\x0c\r"
-#: Each rule rejects values over its cutoff; cutoffs go from loose to strict. Values are whole thousandths.
+#: Values over which each rule rejects, one for each level from loose to strict. Values are whole thousandths.
 RULES = {
     "symbols": [2000, 1500, 1000, 700, 500, 300, 200, 150, 100, 70, 50],
-    "dup_lines": [900, 700, 500, 400, 300, 250, 200, 150, 100],
-    "repeat_words": [180, 150, 120, 100, 80, 60, 40, 20],
-    "long_words": [20000, 15000, 12000, 10000, 9000, 8000],
-    "short_words": [800, 700, 600, 500, 400, 300, 250],
+    "dup_lines": [900, 700, 500, 400, 300, 250, 200, 170, 150, 120, 100],
+    "repeat_words": [180, 160, 140, 120, 100, 80, 60, 50, 40, 30, 20],
+    "long_words": [20000, 18000, 16000, 14000, 12000, 11000, 10000, 9500, 9000, 8500, 8000],
+    "short_words": [800, 700, 600, 550, 500, 450, 400, 350, 300, 275, 250],
 }
-#: False rejections allowed for each rule and stratum, and the chance that any of all bounds fails.
-ALPHA, DELTA = 0.01, 0.05
-#: Labelled good documents that a stratum needs to have cutoffs of its own; it bounds the number of strata.
-LEAST_GOOD = 200
+#: Good documents that all rules together may reject in each stratum, and the chance that any stratum exceeds it.
+ALPHA, DELTA = 0.05, 0.05
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -94,55 +93,60 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k > n * p, F.lit(1.0)).when(k < 1, F.exp(first)).otherwise(total)
 
 
-def cutoffs(counted: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum_col: str = "lang", label_col: str = "quality", rules: dict[str, list[int]] = RULES, alpha: float = ALPHA, delta: float = DELTA, least_good: int = LEAST_GOOD) -> DataFrame:
-    """(stratum, rule, cutoff): for each stratum and rule the strictest cutoff that is shown to reject few good documents.
+def least_good(strata: int, alpha: float = ALPHA, delta: float = DELTA) -> int:
+    """The fewest good labels with which no rejection at all is proof enough, with that many strata and their pool tested."""
+    return math.ceil(math.log(delta / (strata + 1)) / math.log1p(-alpha))
 
-    Cutoffs are tested from loose to strict on the labelled good documents (label 1): one passes if, should its chance
-    of a false rejection be alpha or more, so few rejections would come with probability delta / (strata * rules) at
-    most (exact binomial; Bonferroni over strata and rules, fixed order within each). Strata with fewer than least_good
-    good documents, and null ones, are tested together as stratum ''. No passing cutoff: no row.
+
+def _first_rejecting(rules: dict[str, list[int]]) -> Column:
+    """The loosest level at which a rule rejects the row, from 1; one past the last level if none does."""
+    values, depth = _values(), len(next(iter(rules.values())))
+    passed = [F.when(reduce(lambda a, b: a & b, [values[r] <= cuts[j] for r, cuts in rules.items()]), 1).otherwise(0) for j in range(depth)]
+    return F.lit(1) + sum(passed, F.lit(0))
+
+
+def levels(counted: DataFrame, labels: DataFrame, id_col: str, stratum_col: str, label_col: str, rules: dict[str, list[int]] = RULES, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """(stratum, tested_with, good, level): the strictest level for each stratum that is shown to reject few good documents.
+
+    Labelled good documents (label 1) are the holdout. Levels are tested from loose to strict, all rules of a level
+    together: one passes if, should its chance of a false rejection be alpha or more, so few rejections would come with
+    probability delta / (strata + 1) at most (exact binomial; Bonferroni over strata and their pool, fixed order within).
+    So with chance 1 - delta no stratum that is tested alone loses alpha of its good documents. Strata with fewer good
+    labels than least_good() can't pass alone and are tested together (tested_with ''), the bound then holding for them
+    together. A level of null: nothing passed. Strata without good labels have no row.
     """
     good = labels.where(labels[label_col] == 1).select(labels[id_col].alias("__id")).where("__id is not null").distinct()
-    level = lambda v, cuts: F.lit(1) + sum((F.when(v <= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    values = _values()
-    levels = F.array(*[F.struct(F.lit(r).alias("rule"), level(values[r], cuts).alias("level")) for r, cuts in rules.items()])
-    of = counted.select(counted[id_col].alias("__id"), F.coalesce(counted[stratum_col].cast("string"), F.lit("")).alias("stratum"), levels.alias("levels"))
-    held = stored(of.join(good, "__id").select("stratum", F.explode("levels").alias("x")).groupBy("stratum", "x.rule", "x.level").agg(F.count("*").alias("n")), "quality-levels")
-    sizes = held.groupBy("stratum", "rule").agg(F.sum("n").alias("all"))
-    own = held.join(sizes, ["stratum", "rule"]).withColumn("stratum", F.when(F.col("all") >= least_good, F.col("stratum")).otherwise(F.lit("")))
-    own = own.groupBy("stratum", "rule", "level").agg(F.sum("n").alias("n"))
-    grid = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(j).alias("level"), F.lit(c).cast("long").alias("cutoff")) for r, cuts in rules.items() for j, c in enumerate(cuts, 1)])
-    strata = own.select("stratum").distinct()
-    tests = strata.count() * len(rules)
-    cells = strata.select("stratum", F.explode(grid).alias("x")).select("stratum", "x.*")
-    totals = own.groupBy("stratum", "rule").agg(F.sum("n").alias("all"))
-    run = Window.partitionBy("stratum", "rule").orderBy("level")
-    bounds = cells.join(own, ["stratum", "rule", "level"], "left").join(totals, ["stratum", "rule"])
-    bounds = bounds.withColumn("rejected", F.sum(F.coalesce("n", F.lit(0))).over(run))
-    bounds = bounds.withColumn("p", binomial_tail(F.col("all"), F.col("rejected"), alpha))
-    return stored(bounds.where(F.col("p") <= delta / max(tests, 1)).groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff")), "quality-cutoffs")
-
-
-def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality", rules: dict[str, list[int]] = RULES, alpha: float = ALPHA, delta: float = DELTA, least_good: int = LEAST_GOOD) -> DataFrame:
+    of = counted.select(counted[id_col].alias("__id"), counted[stratum_col].alias("stratum"), _first_rejecting(rules).alias("first"))
+    held = stored(of.join(good, "__id").groupBy("stratum", "first").agg(F.count("*").alias("n")), "quality-levels")
+    sizes = held.groupBy("stratum").agg(F.sum("n").alias("own"))
+    strata = sizes.count()
+    with_ = F.when(F.col("own") >= least_good(strata, alpha, delta), F.concat(F.lit("="), "stratum")).otherwise(F.lit(""))
+    named = sizes.withColumn("tested_with", with_)
+    tests = held.join(named, "stratum").groupBy("tested_with", "first").agg(F.sum("n").alias("n"))
+    steps = tests.groupBy("tested_with").agg(F.sum("n").alias("all")).withColumn("first", F.explode(F.sequence(F.lit(1), F.lit(len(next(iter(rules.values())))))))
+    run = Window.partitionBy("tested_with").orderBy("first")
+    bounds = steps.join(tests, ["tested_with", "first"], "left").withColumn("rejected", F.sum(F.coalesce("n", F.lit(0))).over(run))
+    fine = binomial_tail(F.col("all"), F.col("rejected"), alpha) <= delta / (strata + 1)
+    passed = bounds.groupBy("tested_with").agg(F.first("all").alias("good"), F.max(F.when(fine, F.col("first"))).alias("level"))
+    return stored(named.join(passed, "tested_with").select("stratum", "tested_with", "good", "level"), "quality-cutoffs")
+
+
+def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality", rules: dict[str, list[int]] = RULES, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The id, the counts of word_counts(), base_failed and kept.
 
     base_failed: under 10 words, or over a fifth of the words in repeated five-word windows. kept is false for those,
-    else no rule's value is over its cutoff for the document's stratum (of stratum '' where it has none of its own).
-    Null and empty texts fail the base. Null strata go with ''; null ids keep their row but can't be labelled. Repeated
-    rows each get their row, and each counts where labelled. Without labels no rule has a cutoff. No rows: no rows.
+    and for documents that a rule rejects at the level found for their stratum by levels(); a stratum without a level
+    (too few labels, or too many false rejections) loses none but by the base. Null and empty texts fail the base. Null
+    strata are a stratum of their own, as ''; null ids keep their row but can't be labelled. Repeated rows each get
+    their row, and each counts where labelled; ties of values share a level. Other columns are not read. No rows: no rows.
     """
     narrow = docs.select(docs[id_col].alias("__id"), docs[text_col].alias("__text"), F.coalesce(docs[stratum_col].cast("string"), F.lit("")).alias("__stratum"))
     counted = stored(word_counts(narrow, "__text").drop("__text"), "quality-counts")
-    table = cutoffs(counted, labels.select(labels[id_col].alias("__id"), labels[label_col].alias("__label")), "__id", "__stratum", "__label", rules, alpha, delta, least_good)
-    wide = table.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in rules])
-    # at most (labelled good documents / least_good + 1) strata; broadcast while that is few rows
-    own = F.broadcast(wide) if wide.count() <= 10_000 else wide
-    named = counted.join(own.withColumnRenamed("stratum", "__stratum").withColumn("found", F.lit(True)), "__stratum", "left")
-    rest = wide.where("stratum = ''").select(*[F.col(f"cut_{r}").alias(f"rest_{r}") for r in rules]).collect()
-    values = _values()
-    over = F.lit(False)
-    for r in rules:
-        pooled = F.lit(rest[0][f"rest_{r}"] if rest else None).cast("long")
-        over = over | F.coalesce(values[r] > F.when(F.col("found"), F.col(f"cut_{r}")).otherwise(pooled), F.lit(False))
+    table = levels(counted, labels.select(labels[id_col].alias("__id"), labels[label_col].alias("__label")), "__id", "__stratum", "__label", rules, alpha, delta)
+    own = table.where("level is not null").select(F.col("stratum").alias("__stratum"), "level")
+    if own.count() <= 10_000:  # a row for each stratum
+        own = F.broadcast(own)
+    named = counted.join(own, "__stratum", "left")
     failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
+    over = F.coalesce(_first_rejecting(rules) <= F.col("level"), F.lit(False))
     return named.select(F.col("__id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~over).alias("kept"))

@@ -50,7 +50,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op3_sql() -> str:
-    from .quality import ALPHA, DELTA, LEAST_GOOD, RULES
+    from .quality import ALPHA, DELTA, RULES
 
     grid = ", ".join(f"('{r}', {j}, {c})" for r, cuts in RULES.items() for j, c in enumerate(cuts, 1))
     return f"""
@@ -67,19 +67,17 @@ v AS (SELECT doc_id, stratum, unnest([{{'rule': 'symbols', 'v': 1000 * n_symbols
              {{'rule': 'dup_lines', 'v': 1000 * n_dup_lines // greatest(n_lines, 1)}}, {{'rule': 'repeat_words', 'v': 1000 * n_repeat_words // greatest(n_words, 1)}},
              {{'rule': 'long_words', 'v': 1000 * word_chars // greatest(n_words, 1)}}, {{'rule': 'short_words', 'v': 1000 * n_words // greatest(word_chars, 1)}}]) AS x FROM c),
 grid(rule, level, cutoff) AS (VALUES {grid}),
-good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
-sizes AS (SELECT stratum, count(*) AS n FROM c JOIN good USING (doc_id) GROUP BY stratum),
-held AS (SELECT CASE WHEN sizes.n >= {LEAST_GOOD} THEN v.stratum ELSE '' END AS stratum, v.x.rule AS rule, v.x.v AS v FROM v JOIN good USING (doc_id) JOIN sizes ON sizes.stratum = v.stratum),
-tests AS (SELECT held.stratum, held.rule, level, cutoff, count(*) AS n, count(*) FILTER (WHERE v > cutoff) AS k FROM held JOIN grid ON grid.rule = held.rule GROUP BY ALL),
-passed AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM tests
-  WHERE k <= n * {ALPHA} AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA}))))
-        <= {DELTA} / (SELECT count(DISTINCT stratum) * {len(RULES)} FROM tests) GROUP BY ALL),
-own AS (SELECT DISTINCT stratum FROM passed),
-over AS (SELECT v.doc_id FROM v LEFT JOIN own USING (stratum) JOIN passed ON passed.stratum = CASE WHEN own.stratum IS NULL THEN '' ELSE v.stratum END AND passed.rule = v.x.rule
-  WHERE v.x.v > passed.cutoff GROUP BY v.doc_id)
+rejected AS (SELECT v.doc_id, min(level) AS first FROM v JOIN grid ON grid.rule = v.x.rule AND v.x.v > cutoff GROUP BY v.doc_id),
+good AS (SELECT c.doc_id, stratum, first FROM c JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) USING (doc_id) LEFT JOIN rejected USING (doc_id)),
+sizes AS (SELECT stratum, count(*) AS own, count(*) OVER () AS strata FROM good GROUP BY stratum),
+pools AS (SELECT stratum, strata, CASE WHEN own >= ceil(ln({DELTA} / (strata + 1)) / ln(1 - {ALPHA})) THEN '=' || stratum ELSE '' END AS pool FROM sizes),
+tests AS (SELECT pool, any_value(strata) AS strata, level, count(*) AS n, count(*) FILTER (WHERE first <= level) AS k
+  FROM good JOIN pools USING (stratum) CROSS JOIN (SELECT DISTINCT level FROM grid) GROUP BY pool, level),
+passed AS (SELECT pool, max(level) AS level FROM tests WHERE k <= n * {ALPHA}
+  AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA})))) <= {DELTA} / (strata + 1) GROUP BY pool)
 SELECT c.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
-       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND over.doc_id IS NULL AS kept
-FROM c LEFT JOIN over USING (doc_id)
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND coalesce(rejected.first > passed.level, true) AS kept
+FROM c LEFT JOIN rejected USING (doc_id) LEFT JOIN pools USING (stratum) LEFT JOIN passed USING (pool)
 """
 
 

@@ -1,7 +1,14 @@
-"""Near copies by the exact similarity of their word shingles: rare-first prefixes find candidates, no pair is lost."""
+"""Near copies by the exact similarity of their word shingles: SimHash tables and rare-first prefixes find candidates.
+
+SimHash with covering masks links close copies at once. Sets of similarity 0.8 differ in some ten of 64 bits, past any
+radius that covering masks can pay for, so prefixes of the sets find what the tables leave; no pair is lost.
+"""
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -9,30 +16,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, drop_stored, group_bounds, stored, text_bytes, whole_groups
+from .simhash import link_edges
 
 #: Shingles that many sampled documents hold come last in the order; at most FREQUENT of them are told apart.
 SAMPLE, LEAST, FREQUENT = 16, 4, 1 << 18
 #: Pairs looked at in one step within a bucket.
 STEP = 1 << 20
+#: SimHash radius of the first candidates.
+RADIUS = 3
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
-class _Words(dict):
-    """XXH64 of words, kept between documents."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 18:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-def shingle_set(text: bytes | None, width: int, known: dict) -> np.ndarray:
+#: Bytes hashed at once; a cut falls on white space.
+CHUNK = 1 << 20
+_SPACE = re.compile(rb"[ \t\n\x0b\x0c\r]")
+_BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_BYTE = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = int(ODD[1])
+
+
+@lru_cache(maxsize=32)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2^64."""
+    run = lambda x: np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, x, np.uint64))])
+    return run(_BASE), run(pow(_BASE, -1, 1 << 64))
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text, in order: differences of one running sum over its bytes."""
+    parts, at, n = [], 0, len(text)
+    while at < n:
+        end = min(n, at + CHUNK)
+        if end < n:
+            cut = _SPACE.search(text, end)
+            end = cut.start() if cut else n
+        b = np.frombuffer(text, np.uint8, end - at, at)
+        edge = np.diff(_BLANK[b], prepend=True, append=True).nonzero()[0]
+        starts, ends = edge[::2], edge[1::2]
+        up, down = _powers(max(1 << 12, 1 << (len(b) - 1).bit_length()))
+        total = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(_BYTE[b] * up[: len(b)], out=total[1:])
+        h = (total[ends] - total[starts]) * down[starts]
+        parts.append((h ^ (h >> np.uint64(32))) * ODD[2])
+        at = end
+    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+
+
+def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes (signed) of all runs of `width` words, lower case; of the whole sequence if shorter."""
-    words = (text or b"").lower().split()
-    if not words:
+    w = word_hashes((text or b"").lower())
+    if not len(w):
         return np.empty(0, np.int64)
-    w = np.array([known[x] for x in words], np.uint64)
     k = min(width, len(w))
     n = len(w) - k + 1
     h = w[:n] * ODD[0]
@@ -43,6 +77,32 @@ def shingle_set(text: bytes | None, width: int, known: dict) -> np.ndarray:
     return np.unique((h ^ (h >> np.uint64(31))).view(np.int64))
 
 
+class _Sets(dict):
+    """Sets of the nodes met last, so that a node in many pairs is not made again for each."""
+
+    def __init__(self, width: int, room: int = 2_000_000):
+        self.width, self.room, self.held = width, room, 0
+
+    def of(self, node: int, text: bytes | None) -> np.ndarray:
+        s = self.get(node)
+        if s is None:
+            s = shingle_set(text, self.width)
+            if self.held > self.room:
+                self.clear()
+                self.held = 0
+            self[node] = s
+            self.held += len(s) + 20
+        return s
+
+
+def set_print(s: np.ndarray) -> int:
+    """SimHash of a set of 64-bit hashes as a signed number: each bit is what most of them have there."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(s), 1 << 16):
+        total += np.unpackbits(s[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(total * 2 > len(s), bitorder="little").view("<i8")[0])
+
+
 def _node(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) if len(s) else 0
 
@@ -54,29 +114,30 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 def _sets(width: int):
     def rows(batches):
-        known = _Words()
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
-                yield pa.RecordBatch.from_arrays([_lists([shingle_set(t, width, known) for t in text_bytes(batch.slice(at, 2000)["t"])])], ["h"])
+                yield pa.RecordBatch.from_arrays([_lists([shingle_set(t, width) for t in text_bytes(batch.slice(at, 2000)["t"])])], ["h"])
 
     return rows
 
 
 def _prefixes(width: int, num: int, den: int, frequent):
     def rows(batches):
-        known, (often, count), seen = _Words(), frequent.value, set()
+        (often, count), seen = frequent.value, set()
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                nodes, sizes, firsts = [], [], []
+                nodes, sizes, prints, firsts = [], [], [], []
                 for t in text_bytes(part["t"]):
-                    s = shingle_set(t, width, known)
+                    s = shingle_set(t, width)
                     n = len(s)
                     nodes.append(_node(s))
                     sizes.append(n)
                     if nodes[-1] in seen:  # one prefix of a class is enough
                         firsts.append(s[:0])
+                        prints.append(None)
                         continue
+                    prints.append(set_print(s))
                     if len(seen) >= 1 << 20:
                         seen.clear()
                     seen.add(nodes[-1])
@@ -86,7 +147,7 @@ def _prefixes(width: int, num: int, den: int, frequent):
                         if c.any():
                             s = s[np.argsort(c, kind="stable")]
                     firsts.append(s[: n - -(-num * n // den) + 1] if n else s)
-                yield pa.RecordBatch.from_arrays([part["id"], part["key"], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), _lists(firsts)], ["id", "key", "node", "size", "prefix"])
+                yield pa.RecordBatch.from_arrays([part["id"], part["key"], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), _lists(firsts)], ["id", "key", "node", "size", "print", "prefix"])
 
     return rows
 
@@ -155,11 +216,11 @@ def _edges(held: list[np.ndarray]) -> pa.RecordBatch:
 
 def _alike(width: int, num: int, den: int):
     def rows(batches):
-        known = _Words()
+        sets = _Sets(width)
         for batch in batches:
             keep = []
-            for ta, tb in zip(text_bytes(batch["ta"]), text_bytes(batch["tb"])):
-                x, y = shingle_set(ta, width, known), shingle_set(tb, width, known)
+            for a, b, ta, tb in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), batch["ta"], batch["tb"]):
+                x, y = (sets.of(node, None if node in sets else t.as_py().encode()) for node, t in ((a, ta), (b, tb)))
                 keep.append(len(np.intersect1d(x, y, assume_unique=True)) * (num + den) >= (len(x) + len(y)) * num)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -177,14 +238,15 @@ def _similar(pairs: DataFrame, base: DataFrame, classes: DataFrame, width: int,
     return links
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 4, den: int = 5, sample: int = SAMPLE, least: int = LEAST) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 4, den: int = 5, radius: int = RADIUS, sample: int = SAMPLE, least: int = LEAST) -> DataFrame:
     """(id, component_id) for each row: the smallest id reachable over pairs whose shingle sets are num/den similar or more.
 
     Similarity: distinct shingles in common over distinct shingles in either. Shingles have one order, from rare to
     frequent (by a sample; any order is right), and two sets of that similarity share one in the prefixes of a
     (1 - num/den) part of each; so every such pair is a candidate, and each candidate is decided on the whole sets.
-    First each set of a bucket meets the smallest only; then all those that are not in one component yet meet. Equal
-    sets are one class from the start. Null or blank text: the empty set, similar to none but its like. Ids not null.
+    First meet the sets whose SimHash is within the radius (each pair of such prints shares a table), and in a prefix
+    bucket each set and the smallest; then all those of a bucket that are not in one component yet. Equal sets are one
+    class from the start. Null or blank text: the empty set, similar to none but its like. Ids not null.
     """
     spark = docs.sparkSession
     base = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("t")).withColumn("key", F.xxhash64("t"))
@@ -192,9 +254,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     often = part.select(F.explode("h").alias("g")).groupBy("g").count().where(F.col("count") >= least)
     often = often.orderBy(F.desc("count"), "g").limit(FREQUENT).toArrow().sort_by("g")
     frequent = spark.sparkContext.broadcast((often["g"].to_numpy(), often["count"].to_numpy()))
-    full = stored(base.select("id", "key", "t").mapInArrow(_prefixes(width, num, den, frequent), "id long, key long, node long, size long, prefix array<long>"), "prefixes")
+    full = stored(base.select("id", "key", "t").mapInArrow(_prefixes(width, num, den, frequent), "id long, key long, node long, size long, print long, prefix array<long>"), "prefixes")
     prints = stored(full.select("id", "key", "node"), "prints")
-    classes = stored(prints.groupBy("node").agg(F.min(F.struct("id", "key")).alias("low")), "classes")
+    classes = stored(full.groupBy("node").agg(F.min(F.struct("id", "key")).alias("low"), F.max("print").alias("fp0")), "classes")
     posts = full.select("node", "size", F.posexplode("prefix").alias("pos", "g")).select("g", (F.shiftleft("size", 32) + F.col("pos")).alias("place"), "node")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     fields = "g long, node long, size long, pos long"
@@ -202,8 +264,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = stored(by_shingle.mapInArrow(_shared, f"{fields}, lead long, lead_size long, lead_pos long"), "shared")
     drop_stored(full)
     fits = (F.col("lead_size") * den >= F.col("size") * num) & ((F.col("size") + F.col("lead_size")) * num <= F.least(F.col("size") - F.col("pos"), F.col("lead_size") - F.col("lead_pos")) * (num + den))
-    first = shared.where(fits & (F.col("node") != F.col("lead"))).select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-    first = stored(first, "first-pairs")
+    leads = shared.where(fits & (F.col("node") != F.col("lead"))).select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
+    close = link_edges(classes.select("node", "fp0"), radius).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    first = stored(leads.union(close).distinct(), "first-pairs")
     links = _similar(first, base, classes, width, num, den, "first")
     comp = components(links, name="first-cc")
     rest = shared.select("g", "node", "size", "pos").join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")

@@ -48,10 +48,14 @@ def covering_masks(radius: int, bits: range | list[int] = range(BITS)) -> list[i
     return [sum(1 << b for b, x in vector.items() if (x & v).bit_count() & 1) for v in range(1, size + 1)]
 
 
-def table_masks(radius: int, blocks: int = 1) -> list[int]:
+#: The bits in another order, from which hot buckets get masks of their own.
+SHUFFLED = [(i * 37 + 11) % BITS for i in range(BITS)]
+
+
+def table_masks(radius: int, blocks: int = 1, order: list[int] | range = range(BITS)) -> list[int]:
     """Masks for the radius over `blocks` equal parts of the bits: one part holds at most radius // blocks of the differences."""
     width = BITS // blocks
-    return [m for b in range(blocks) for m in covering_masks(radius // blocks, range(b * width, (b + 1) * width))]
+    return [m for b in range(blocks) for m in covering_masks(radius // blocks, order[b * width : (b + 1) * width])]
 
 
 def _signed(x: int) -> int:
@@ -134,8 +138,9 @@ def link_edges(fps: DataFrame, radius: int, blocks: int = 1, both: int | None =
     hot = stored(hot, "hot-buckets")
     n_hot = hot.count()
     if n_hot:
-        # split by the masks of a family for the same radius that deals the bits in another order
-        rest = covering_masks(min(radius, 4), [(i * 37 + 11) % BITS for i in range(BITS)]) if radius <= 4 else table_masks(radius, blocks)
+        # split by the masks of a family for the same radius that deals the bits in another order; what then is still
+        # in one bucket agrees in most bits, and a dense bucket costs one pass
+        rest = table_masks(radius, blocks, SHUFFLED)
         joined = tables.join(hot, ["m", "k"], "left")
         calm = joined.where("hot is null").select("m", "k", *cols)
         split = _masked(joined.where("hot").select(*cols, F.col("m").alias("m0"), F.col("k").alias("k0")), rest)
@@ -151,7 +156,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Fingerprints link at `radius` or fewer differing bits; with `both`, a second fingerprint (another seed) is made and
     the two may differ in at most `both` bits together. Rows with equal fingerprints are one class from the start, so
     copies cost nothing further. Null or blank text: fingerprint zero, linked like any other. A null id never is the
-    smallest; if a whole component has null ids, component_id is null. Repeated rows each get their row.
+    smallest; if a whole component has null ids, component_id is null. Repeated rows each get their row. Texts of any
+    length are read whole; of the other columns none is read, so their names do not matter.
     """
     seeds = (42,) if both is None else (42, 43)
     names = [f"fp{i}" for i in range(len(seeds))]

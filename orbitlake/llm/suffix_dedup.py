@@ -20,6 +20,8 @@ from .common import carried, drop_stored, group_bounds, renamed, stored, text_by
 ANCHOR_BYTES = 40
 #: Different contexts of one anchor string beyond which its windows are counted by hash instead, which Spark spreads.
 GROUP_LIMIT = 4_000
+#: Keys of texts that a task remembers when it leaves out copies; beyond it, it starts anew.
+SEEN_TEXTS = 500_000
 _BLOCK = 1 << 18
 _LOW = np.uint64((1 << 20) - 1)
 _rng = np.random.default_rng(20)
@@ -100,6 +102,19 @@ def _anchor_rows(least: int, k: int):
     return rows
 
 
+def _one_of_each(batches):
+    """One copy of each text of a task, by its key."""
+    seen: set = set()
+    for batch in batches:
+        fresh = []
+        for key in zip(batch["k"].to_pylist(), batch["n"].to_pylist()):
+            fresh.append(key not in seen)
+            seen.add(key)
+        if len(seen) > SEEN_TEXTS:
+            seen.clear()
+        yield batch.filter(pa.array(fresh, pa.bool_()))
+
+
 def _contexts(least: int, k: int):
     def rows(batches):
         for batch in batches:
@@ -287,7 +302,8 @@ def _candidates(texts: DataFrame, least: int, k: int) -> DataFrame:
     anchors = stored(texts.where(F.col("n") >= least).mapInArrow(_anchor_rows(least, k), "h long, c long, k long, n long, at long, w long"), "anchors")
     same = anchors.groupBy("h", "c").agg(F.sum("w").alias("times"))
     strings = same.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("times").alias("all")).where("all > 1").drop("all")
-    found = stored(anchors.drop("w").join(same.join(strings, "h"), ["h", "c"]), "repeats")
+    # copies of a text have the same anchors at the same places: one row for all
+    found = stored(anchors.drop("w").join(same.join(strings, "h"), ["h", "c"]).distinct(), "repeats")
     drop_stored(anchors)
     return found
 
@@ -296,7 +312,7 @@ def _contexts_of(texts: DataFrame, found: DataFrame, least: int, k: int) -> Data
     """(h, c, before, after, kinds): the bytes around one anchor for each context that has others to compare with."""
     one = found.where("kinds > 1").groupBy("h", "c").agg(F.first("k").alias("k"), F.first("n").alias("n"), F.first("at").alias("at"))
     needs = one.groupBy("k", "n").agg(F.collect_list(F.struct("h", "c", "at")).alias("needs"))
-    return texts.join(needs, ["k", "n"]).select("k", "t", "needs").mapInArrow(_contexts(least, k), "h long, c long, before binary, after binary")
+    return texts.where(F.col("n") >= least).mapInArrow(_one_of_each, "t string, k long, n long").join(needs, ["k", "n"]).select("k", "t", "needs").mapInArrow(_contexts(least, k), "h long, c long, before binary, after binary")
 
 
 def repeat_groups(docs: DataFrame, text_col: str = "text", min_bytes: int = 200, anchor_bytes: int = ANCHOR_BYTES) -> DataFrame:
@@ -342,10 +358,12 @@ def dedup_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lead = F.when(whole, F.lit(min_bytes - anchor_bytes)).otherwise(F.col("lead"))
     depth = F.when(whole, F.lit(min_bytes)).otherwise(F.col("depth"))
     spans = found.join(covers, ["h", "c"], "left").select("k", "n", (F.col("at") - lead).alias("s"), (F.col("at") + depth).alias("e")).where("s is not null")
-    by = stored(spans.groupBy("k", "n").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
+    by = stored(spans.distinct().groupBy("k", "n").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
     keep = [c for c in (keep if keep is not None else [id_col]) if c != text_col]
     base, names = carried(docs, text_col, keep, ["kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-    base = base.withColumns({"k": F.xxhash64("t"), "n": F.coalesce(F.octet_length("t"), F.lit(0)).cast("long")})
+    size = F.coalesce(F.octet_length("t"), F.lit(0)).cast("long")
+    # texts too short for a span, null and empty ones with them, are dealt out by number instead of meeting in one key
+    base = base.withColumns({"k": F.when(size >= min_bytes, F.xxhash64("t")).otherwise(F.monotonically_increasing_id()), "n": F.when(size >= min_bytes, size).otherwise(-1)})
     cols = [f"c{i}" for i in range(len(names))]
     kinds = "".join(f"{c} {base.schema[c].dataType.simpleString()}, " for c in cols)
     out = base.join(by, ["k", "n"], "left").select("t", *cols, "spans").mapInArrow(_cut(cols, characters), f"kept binary, {kinds}n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -8,16 +8,17 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import carried, renamed, spread, stored
 
-#: Bound of the labelled rows that the model is fitted on, and of the units it keeps.
+#: Bound of the labelled rows that the model is fitted on; its units are at most those of the rows with label 1.
 TRAIN_ROWS = 100_000
-MODEL_UNITS = 50_000
 _WORD = re.compile(r"[^\W\d_]+")
 _STEMS = (6, 5, 4)
+#: Score of a word without a known unit, at most.
+REST = -0.05
 
 
 def units(word: str) -> list[str]:
@@ -28,46 +29,63 @@ def units(word: str) -> list[str]:
 def _counted(batches):
     for batch in batches:
         total: Counter = Counter()
+        clean: Counter = Counter()
         for text, toxic in zip(batch["t"].to_pylist(), batch["toxic"].to_pylist()):
-            words = _WORD.findall((text or "").lower())
-            total["", toxic] += len(words)  # the empty unit counts all words
-            for u in {u for w in set(words) for u in units(w)}:
+            words = Counter(_WORD.findall((text or "").lower()))
+            if not toxic:
+                clean.update(words)
+            for u in {u for w in words for u in units(w)}:
                 total[u, toxic] += 1
         rows = list(total.items())
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.int32()), pa.array([n for _, n in rows], pa.int64())], ["unit", "toxic", "n"])
+        times = [clean[k[0]] if k[1] == 0 else 0 for k, _ in rows]
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.int32()), pa.array([n for _, n in rows], pa.int64()), pa.array(times, pa.int64())], ["unit", "toxic", "n", "words"])
 
 
-def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, strength: float) -> tuple[np.ndarray, np.ndarray]:
+def _word_scores(model):
+    """Scores of distinct words with the times that clean documents hold them."""
+
+    def rows(batches):
+        known = model.value.known
+        for batch in batches:
+            total: Counter = Counter()
+            for w, n in zip(batch["unit"].to_pylist(), batch["words"].to_pylist()):
+                total[next((known[u] for u in units(w) if u in known), 0.0)] += n
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.float64()), pa.array(list(total.values()), pa.int64())], ["score", "words"])
+
+    return rows
+
+
+def log_odds(toxic: Column, clean: Column, n_toxic: int, n_clean: int, strength: float) -> tuple[Column, Column]:
     """Log-odds of document frequencies under a Dirichlet prior in proportion to the whole, and their z values."""
     prior = strength * (toxic + clean) / max(n_toxic + n_clean, 1)
     a, b = toxic + prior, clean + prior
-    odds = np.log(a / (n_toxic + strength - a)) - np.log(b / (n_clean + strength - b))
-    return odds, odds / np.sqrt(1 / a + 1 / b)
+    odds = F.log(a / (n_toxic + strength - a)) - F.log(b / (n_clean + strength - b))
+    return odds, odds / F.sqrt(1 / a + 1 / b)
 
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     """(first, past, sum) of all maximal scoring segments, left to right, in linear time.
 
-    Each candidate keeps the running total at its left and right end; a new one joins back to the latest candidate that
-    starts lower, as long as that one also ends lower.
+    Each candidate keeps the running total at its left and right end, and the place of the latest candidate before it
+    that starts lower. A new one follows these places, and joins back as long as the one it finds also ends lower.
     """
-    kept: list[list] = []
+    kept: list[tuple[int, int, float, float, int]] = []
     total = 0.0
     for i, s in enumerate(scores):
         before, total = total, total + s
         if s <= 0:
             continue
-        new = [i, i + 1, before, total]
+        first, low, j = i, before, len(kept) - 1
         while True:
-            j = len(kept) - 1
-            while j >= 0 and kept[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or kept[j][3] >= new[3]:
-                kept.append(new)
+            while j >= 0 and kept[j][2] >= low:
+                j = kept[j][4]
+            if j < 0 or kept[j][3] >= total:
                 break
-            new = [kept[j][0], new[1], kept[j][2], new[3]]
+            first, low, back = kept[j][0], kept[j][2], kept[j][4]
             del kept[j:]
-    return [(a, b, hi - lo) for a, b, lo, hi in kept]
+            j = back
+        kept.append((first, i + 1, low, total, j))
+    return [(a, b, hi - lo) for a, b, lo, hi, _ in kept]
 
 
 def karlin(scores: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
@@ -145,7 +163,8 @@ def _evidence(model):
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS, strength: float = 0.01, least_z: float = 2.0, least_odds: float = 3.0) -> Model:
     """Fit on at most train_rows labelled rows, taken by the hash of their id; counts are made by Spark.
 
-    The prior weighs strength times the training rows, 10 at least. Null labels or ids teach nothing. Without both labels the model knows no unit and every score is the base rate.
+    The prior weighs strength times the training rows, 10 at least. Null labels or ids teach nothing; an id with both
+    labels counts as 1. Without both labels the model knows no unit, and every document scores alike and under 0.5.
     """
     spark = docs.sparkSession
     chosen = labels.select(labels[id_col].cast("long").alias("id"), labels[label_col].cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)")
@@ -155,22 +174,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = stored(near.orderBy("place", "id").limit(train_rows).select("id", "toxic"), "toxic-labels")
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("t"))
     train = texts.join(F.broadcast(chosen), "id").select("t", "toxic")  # at most train_rows rows
-    counts = stored(train.mapInArrow(_counted, "unit string, toxic int, n long").groupBy("unit").agg(F.sum(F.expr("if(toxic = 1, n, 0)")).alias("a"), F.sum(F.expr("if(toxic = 0, n, 0)")).alias("b")), "toxic-units")
+    tallies = train.mapInArrow(_counted, "unit string, toxic int, n long, words long").groupBy("unit")
+    counts = stored(tallies.agg(F.sum(F.expr("if(toxic = 1, n, 0)")).alias("a"), F.sum(F.expr("if(toxic = 0, n, 0)")).alias("b"), F.sum("words").alias("words")), "toxic-units")
     sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    base = math.log((n1 + 0.5) / (n0 + 0.5)) if n1 + n0 else 0.0
-    n_words = max([r["b"] for r in counts.where("unit = ''").collect()], default=0)
-    # only units that lean to label 1 can start a segment; others score as the rest of the words do
-    lean = counts.where((F.col("unit") != "") & (F.col("a") >= 2) & (F.col("a") * max(n0, 1) > F.col("b") * max(n1, 1))).orderBy(F.col("a").desc(), "b", "unit").limit(MODEL_UNITS)
-    table = lean.toPandas() if n1 and n0 else None
-    model = Model({}, -0.05, 1.0, 1.0)
-    if table is not None and len(table):
-        odds, z = log_odds(table["a"].to_numpy(float), table["b"].to_numpy(float), n1, n0, max(10.0, strength * (n1 + n0)))
-        good = (z >= least_z) & (odds > least_odds)
-        model.known = {u: round(float(s), 6) for u, s in zip(table["unit"][good], odds[good])}
-        if model.known:
-            rate = min(0.01, (float(table["b"][good].max()) + 1.0) / max(n_words, 1.0))  # chance hits a word
-            model.lam, model.k = karlin(np.array([odds[good].mean(), model.rest]), np.array([rate, 1 - rate]))
+    model = Model({}, REST, 1.0, 1.0)
+    if n1 and n0:
+        # only units that lean to label 1 can start a segment; others score as the rest of the words do
+        odds, z = log_odds(F.col("a"), F.col("b"), n1, n0, max(10.0, strength * (n1 + n0)))
+        lean = counts.where("a >= 2").select("unit", odds.alias("odds"), z.alias("z")).where((F.col("z") >= least_z) & (F.col("odds") > least_odds))
+        model.known = {r["unit"]: round(r["odds"], 6) for r in lean.select("unit", "odds").collect()}
+    if model.known:
+        # how often clean words get each score, from the distinct words and their counts
+        hits = counts.where("words > 0").select("unit", "words").mapInArrow(_word_scores(spark.sparkContext.broadcast(model)), "score double, words long")
+        table = hits.groupBy("score").agg(F.sum("words").alias("words")).orderBy("score").toPandas()
+        points, weights = table["score"].to_numpy(), table["words"].to_numpy(float)
+        mean = float((points * weights).sum() / max(weights.sum(), 1.0))
+        model.rest = min(REST, -2 * mean)  # chance alone must lower the sum
+        points = np.where(points == 0, model.rest, points)
+        if not (points > 0).any():  # no clean word hits: as if one had
+            points, weights = np.append(points, max(model.known.values())), np.append(weights, 1.0)
+        model.lam, model.k = karlin(points, weights)
+    base = min(math.log((n1 + 0.5) / (n0 + 1.5)), math.log(1 / 3))
     shared = spark.sparkContext.broadcast(model)
     levels = train.mapInArrow(_evidence(shared), "level long, toxic int").groupBy("level", "toxic").count().collect()
     x = np.array([r["level"] / 4 for r in levels])
@@ -212,6 +237,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     """The columns in `keep` (default: all but the text), the text, score (0 to 1) and the toxic passages in characters.
 
     Null or empty text: the score of no evidence, and no passages. Passages count characters of the lower-cased text.
+    Equal texts score alike; texts of any length are scanned whole.
     Null ids and repeated rows each get their row; a carried column named like a result gives way to it.
     """
     keep = [c for c in (keep if keep is not None else docs.columns) if c != text_col]

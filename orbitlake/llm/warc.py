@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import re
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 from .common import drop_stored, scratch_path, stored
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: Records in a file at most: a file is read in one piece, and chains of n records take log2(n) rounds.
+#: Records in a file at most, and payload bytes in a file on average: a file is read in one piece, and chains of n
+#: records take log2(n) rounds.
 RECORDS_PER_FILE = 1000
-_MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
+BYTES_PER_FILE = 32 << 20
+#: A record can only start where a file does or behind a blank line.
+_MAGIC = re.compile(rb"(?:\A|(?<=\r\n\r\n))WARC/1\.[01]\r\n")
 _FIELD = re.compile(rb"^([A-Za-z0-9-]+):[ \t]*(.*?)[ \t]*$", re.M)
 
 
@@ -29,9 +32,12 @@ def base32_of_hex(digest: Column) -> Column:
     return F.concat(*letters)
 
 
-def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE, compression: str = "gzip") -> None:
+def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE, bytes_per_file: int = BYTES_PER_FILE, compression: str = "gzip") -> None:
     """One record a row, in WARC 1.1 files under `path`, gzipped as wholes unless compression is "none".
 
+    Records are dealt to files by the digest of their payload, as many files as make bytes_per_file on average; copies
+    of a payload meet in one file without it, as revisits.
+
     Among rows with equal payloads of at least min_bytes bytes, the one with the largest id is a response and the others
     are revisits of it. Null payload: empty. Null url: urn:none; blanks and control characters in a url are escaped.
     A null id is written as `none` and ranks lowest; rows that tie on the largest id are all responses. Only the digest
@@ -41,7 +47,9 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     rows = pages.select(pages[id_col].cast("long").alias("id"), F.coalesce(pages[url_col].cast("string"), F.lit("urn:none")).alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
     top = rows.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.max("id").alias("top"))
-    met = rows.join(top, ["digest", "size"], "left").withColumn("again", (F.col("size") >= min_bytes) & F.col("top").isNotNull() & ~F.col("id").eqNullSafe(F.col("top")))
+    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    files = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // bytes_per_file))
+    met = rows.repartition(files, "digest", "size").join(top, ["digest", "size"], "left").withColumn("again", (F.col("size") >= min_bytes) & F.col("top").isNotNull() & ~F.col("id").eqNullSafe(F.col("top")))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     url = F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20")
     line = lambda name, v: F.concat(F.lit(name + ": "), v, F.lit("\r\n"))
@@ -67,8 +75,29 @@ def _page(urn: bytes | None) -> int | None:
     return int(m[1]) if m else None
 
 
+def plain(content: bytes) -> bytes:
+    """The bytes of a file as they are, or unpacked, gzip members in a row; up to where a damaged or cut one breaks."""
+    out = []
+    while content[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            for at in range(0, len(content), 1 << 20):
+                out.append(member.decompress(content[at : at + (1 << 20)]))
+                if member.eof:
+                    break
+        except zlib.error:
+            return b"".join(out)
+        if not member.eof:
+            return b"".join(out)
+        content = member.unused_data + content[at + (1 << 20) :]
+    return b"".join(out) if out else content
+
+
 def candidates(content: bytes):
-    """(offset, successor, fields, payload span) wherever a record could start: magic, header, length and end fit."""
+    """(offset, successor, fields, payload span) wherever a record could start: magic, header, length and end fit.
+
+    A header holds no blank line, so the headers of two candidates never overlap and are read once.
+    """
     for m in _MAGIC.finditer(content):
         end = content.find(b"\r\n\r\n", m.end() - 2)
         if end < 0:
@@ -90,9 +119,7 @@ def _candidate_rows(with_payload: bool):
     def rows(batches):
         for batch in batches:
             for path, content in zip(batch["path"].to_pylist(), batch["content"]):
-                content = content.as_py()
-                if content[:2] == b"\x1f\x8b":
-                    content = gzip.decompress(content)
+                content = plain(content.as_py())
                 out = []
                 for at, after, f, (s, e) in candidates(content):
                     kind = f.get(b"warc-type", b"").decode("utf-8", "replace")
@@ -135,7 +162,8 @@ def read_archive(spark: SparkSession, path: str, with_payload: bool = True) -> D
     Magic inside a payload is a candidate like any other, but nothing on the chain leads to it. payload_bytes and
     payload_digest are of the payload as read (of a revisit: as its record states); intact tells if a response's
     payload has its stated digest. A file that does not open with a record gives none; after a damaged record the rest
-    of its file is not told. Files, gzipped or not, are read in one piece each; offsets are in the plain bytes.
+    of its file is not told, while other files are whole. A gzipped file that is cut or damaged gives what comes before
+    the break. Files, gzipped or not, are read in one piece each; offsets are in the plain bytes.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     found = stored(files.mapInArrow(_candidate_rows(with_payload), _COLUMNS + (", payload binary" if with_payload else "")), "warc-candidates")
@@ -143,7 +171,10 @@ def read_archive(spark: SparkSession, path: str, with_payload: bool = True) -> D
 
 
 def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, with_payload: bool = False) -> DataFrame:
-    """Write pages to an archive in the shared folder and read it back. No rows: no rows."""
+    """Write pages to an archive in the shared folder and read it back. No rows: no rows.
+
+    Other columns of the pages are not read. Payloads of any length are one record each.
+    """
     path = scratch_path(pages.sparkSession, "warc")
     write_archive(pages, path, id_col, url_col, payload_col, min_bytes)
     return read_archive(pages.sparkSession, path, with_payload)

@@ -38,6 +38,15 @@ def test_links_match_brute_force(spark, tile):
     assert embeddings.embedding_groups(df.limit(0)).count() == 0
 
 
+def test_pairs_at_the_threshold_are_decided_on_the_vectors_as_given(spark):
+    v = [[3.0, 4.0, 0.0], [4.0, 3.0, 0.0], [3.0, 4.0, 1e-7], [0.0, 5.0, 0.0]]
+    rows = [(i, x) for i, x in enumerate(v)]
+    dot = lambda a, b: sum(p * q for p, q in zip(a, b)) / (sum(p * p for p in a) ** 0.5 * sum(q * q for q in b) ** 0.5)
+    for t in (0.96, 0.8, dot(v[1], v[2])):
+        got = {x.id: x.n_links for x in embeddings.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), threshold=t).collect()}
+        assert got == {i: sum(j != i and dot(a, b) >= t for j, b in rows) for i, a in rows}
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(200).selectExpr("id as a", "id + 1 as b").union(spark.createDataFrame([(900, 901), (901, 900), (7, 7), (None, 3)], "a long, b long"))
     got = {r.node: r.component for r in components(edges).collect()}
