@@ -17,27 +17,32 @@ from orbitlake.llm.toxicity import fit, score
 WIDTH, NUM, DEN = 5, 4, 5
 
 
-def _with_text(out: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns of documents, with n_chars of the text as it is now."""
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*columns)
+def _apart(docs: DataFrame) -> DataFrame:
+    """The documents with all columns but doc_id and text under names that no operator uses."""
+    return docs.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"`{c}`").alias(f"own{i}__") for i, c in enumerate(docs.columns)])
+
+
+def _back(out: DataFrame, columns: list[str], new_text: bool = False) -> DataFrame:
+    """The columns of documents under their own names, with n_chars of the text as it is now."""
+    at = lambda c, i: "text" if c == "text" else "doc_id" if c == "doc_id" else f"own{i}__"
+    length = F.length("text").cast("long")
+    return out.select(*[length.alias(c) if new_text and c == "n_chars" else F.col(at(c, i)).alias(c) for i, c in enumerate(columns)])
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that score 0.5 or more. Null and empty texts hold no toxic passage and stay."""
+    """Drop documents that score 0.5 or more. Null and empty texts hold no toxic passage and stay; without labels all stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0)
     model = fit(docs, labels)
-    return score(docs.withColumnRenamed("score", "__score") if "score" in docs.columns else docs, model).where("score < 0.5").select(*docs.columns)
+    return _back(score(_apart(docs), model).where("score < 0.5"), docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop lines of 40 characters or more that five documents share, except in the largest doc_id. Null text: empty."""
-    return _with_text(dedup_lines(docs, keep=docs.columns), docs.columns)
+    return _back(dedup_lines(own := _apart(docs), keep=own.columns), docs.columns, new_text=True)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each group of near copies.
+    """Keep the smallest doc_id of each group of near copies: SimHash tables, then shingle prefixes for what is past the radius.
 
     Null ids rank after all others; of rows with equal id and text one stays. Null and blank texts are one group.
     """
@@ -51,8 +56,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove whole characters covered by 200-byte strings that occur again. Null texts stay null."""
-    out = dedup_repeats(docs, keep=docs.columns, characters=True)
-    return _with_text(out.withColumn("text", F.col("kept").cast("string")), docs.columns)
+    out = dedup_repeats(own := _apart(docs), keep=own.columns, characters=True)
+    return _back(out.withColumn("text", F.col("kept").cast("string")), docs.columns, new_text=True)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +67,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("line_dedup", lines), ("simhash_near_dedup", near_copies), ("suffix_array_dedup", repeats), ("packing", packing)]
 
-#: The stages go beyond SQL (a fitted model, fingerprints, token ids); tests hold the operators against plain versions, and the stages on small odd tables.
+#: The stages go beyond SQL (a fitted model, fingerprints, token ids); a test holds the rows of all stages against a brute-force version.
 ORACLE_SQL = None
 
 
