@@ -15,9 +15,9 @@ from .common import carried, renamed, stored
 
 SEQUENCE = 4096
 END_ID = 2
-#: Lengths go into the linear program as they are up to FINE, and above it rounded up to multiples of QUANTUM, so that
-#: its rows stay few.
-QUANTUM, FINE = 16, 32
+#: Lengths are rounded up to multiples of this in the linear program, so that its rows stay few. Shorter pieces of one
+#: length share a slot of this size, as many as it holds.
+QUANTUM = 16
 #: Rows of counts or slots that go to all tasks at most; more are joined by shuffles.
 BROADCAST_ROWS = 200_000
 #: Characters whose case, normal form and class are the same in every Unicode version; other texts go to the library whole.
@@ -38,7 +38,7 @@ class WordEncoder:
     The vocabulary splits texts into words before merging, so ids of a text are its words' ids in a row.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         self.tokenizer, self.known, self.limit = _tokenizer(path), {}, limit
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -200,29 +200,40 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     if not with_ids:
         cut = cut.drop("ids")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = F.when(F.col("length") <= FINE, F.col("length")).otherwise(F.least(F.ceil(F.col("length") / quantum) * quantum, F.lit(sequence))).cast("long")
+    size = F.when(F.col("length") <= quantum, F.col("length")).otherwise(F.least(F.ceil(F.col("length") / quantum) * quantum, F.lit(sequence))).cast("long")
     spread = F.pmod(F.xxhash64("ids_crc32", "doc_tokens", "start", F.monotonically_increasing_id()), F.lit(buckets))
     pieces = stored(cut.withColumns({"size": size, "bucket": spread}), "pieces")
     counts = stored(pieces.groupBy("size", "bucket").count(), "piece-counts")
     histogram = {r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("count").alias("n")).collect()}
-    full = histogram.pop(sequence, 0)
+    full, first_slot, shared = histogram.pop(sequence, 0), {}, 0
+    for length in [n for n in sorted(histogram) if n <= quantum]:
+        first_slot[length] = shared
+        shared += -(-histogram.pop(length) // (quantum // length))
+    cells = len(histogram) + len(first_slot)
+    if shared:
+        histogram[quantum] = shared
     classes = np.array(sorted(histogram, reverse=True), np.int64)
     plan = integer_patterns(classes, np.array([histogram[c] for c in classes.tolist()]), sequence) if len(classes) else []
     table = slots(plan, classes)
     n_planned = sum(n for _, n in plan)
     if full:
         table.append((sequence, 0, full, 1, n_planned))
-    slot_rows = spark.createDataFrame(table or [(0, 0, 0, 1, 0)], "size long, low long, high long, each long, first long")
+    slot_rows = spark.createDataFrame(table or [(0, 0, 0, 1, 0)], "of long, low long, high long, each long, first long")
     before = counts.withColumn("before", F.sum("count").over(Window.partitionBy("size").orderBy("bucket")) - F.col("count")).drop("count")
     order = ["doc_tokens", "ids_crc32", "start", *cols]
     ranked = pieces.withColumn("place", F.row_number().over(Window.partitionBy("size", "bucket").orderBy(*order)) - 1)
-    if len(histogram) * buckets <= BROADCAST_ROWS:
+    if cells * buckets <= BROADCAST_ROWS:
         before = F.broadcast(before)
     ranked = ranked.join(before, ["size", "bucket"]).withColumn("rank", F.col("before") + F.col("place"))
+    slot = F.col("rank")
+    for length, at in first_slot.items():
+        slot = F.when(F.col("size") == length, F.lit(at) + F.floor(F.col("rank") / (quantum // length))).otherwise(slot)
+    kind = F.when(F.col("size") <= quantum, F.lit(quantum)).otherwise(F.col("size"))
+    ranked = ranked.withColumns({"slot": slot.cast("long"), "kind": kind.cast("long")})
     if len(table) <= BROADCAST_ROWS:
         slot_rows = F.broadcast(slot_rows)
-    placed = ranked.join(slot_rows, (ranked["size"] == slot_rows["size"]) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
-    placed = placed.withColumn("sequence_id", F.col("first") + F.floor((F.col("rank") - F.col("low")) / F.col("each")).cast("long"))
-    within = Window.partitionBy("sequence_id").orderBy(F.col("length").desc(), "rank", slot_rows["size"])
+    placed = ranked.join(slot_rows, (F.col("kind") == F.col("of")) & (F.col("slot") >= F.col("low")) & (F.col("slot") < F.col("high")))
+    placed = placed.withColumn("sequence_id", F.col("first") + F.floor((F.col("slot") - F.col("low")) / F.col("each")).cast("long"))
+    within = Window.partitionBy("sequence_id").orderBy(F.col("length").desc(), "size", "rank")
     out = placed.withColumn("offset", F.sum("length").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length"))
     return renamed(out.select(*cols[: len(names)], "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else []), "sequence_id", "offset"), names)

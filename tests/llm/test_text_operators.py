@@ -247,6 +247,15 @@ def test_packing_holds_each_id_once(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), TOKENS).count() == 0
 
 
+def test_tiny_texts_share_slots(spark):
+    rows = [(i, "" if i % 3 else "a b c") for i in range(6000)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), TOKENS).toPandas()
+    assert len(out) == 6000 and out.groupby("sequence_id").length.sum().max() <= 4096
+    assert out.sequence_id.nunique() <= out.length.sum() / 4096 + 2
+    for _, s in out.sort_values("offset").groupby("sequence_id"):
+        assert s.offset.tolist() == [0, *s.length.cumsum().tolist()[:-1]]
+
+
 def test_plan_meets_demand_with_few_sequences():
     w = np.arange(64, 0, -1) * 64
     d = (3e4 * np.exp(-w / 900)).astype(int) + 1
