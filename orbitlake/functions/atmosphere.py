@@ -22,6 +22,12 @@ def troposphere(lat: Column, alt: Column, el: Column) -> Column:
     return zenith / F.sin(F.sqrt(low * low + 6.25 * DEGREE * DEGREE))
 
 
+def corrected(pr: Column, el: Column, tropo: Column, iono: Column, mask: float = 0.087) -> tuple[Column, Column]:
+    """Range less the delays and a weight by elevation; under the mask the range as it is, with a weight of 0.01."""
+    high = F.greatest(F.sin(el), F.lit(0.1))
+    return F.when(el < mask, pr).otherwise(pr - (tropo + iono)), F.when(el < mask, F.lit(0.01)).otherwise(high * high)
+
+
 def _polynomial(factors: list[float], x: Column) -> Column:
     value = F.lit(0.0)
     for c in reversed(factors):

@@ -37,6 +37,12 @@ def ecef_to_enu(dx: Column, dy: Column, dz: Column, lat: Column, lon: Column) ->
     return east, north, up
 
 
+def enu_to_ecef(east: Column, north: Column, up: Column, lat: Column, lon: Column) -> tuple[Column, Column, Column]:
+    x = -F.sin(lon) * east - F.sin(lat) * F.cos(lon) * north + F.cos(lat) * F.cos(lon) * up
+    y = F.cos(lon) * east - F.sin(lat) * F.sin(lon) * north + F.cos(lat) * F.sin(lon) * up
+    return x, y, F.cos(lat) * north + F.sin(lat) * up
+
+
 def azimuth_elevation(east: Column, north: Column, up: Column) -> tuple[Column, Column]:
     azimuth = F.atan2(east, north)
     return F.when(azimuth < 0, azimuth + 2 * 3.141592653589793).otherwise(azimuth), F.atan2(up, F.sqrt(east * east + north * north))
@@ -60,6 +66,12 @@ def tangent_offsets(lat: Column, lon: Column, lat0: Column, lon0: Column) -> tup
     return (lon - lon0) * (A / w) * F.cos(lat0), (lat - lat0) * A * (1 - E2) / (w * w * w)
 
 
+def tangent_position(east: Column, north: Column, lat0: Column, lon0: Column) -> tuple[Column, Column]:
+    """Latitude and longitude of metres from an origin."""
+    w = F.sqrt(1 - F.lit(E2) * F.sin(lat0) * F.sin(lat0))
+    return lat0 + north * (w * w * w) / (A * (1 - E2)), lon0 + east * w / (A * F.cos(lat0))
+
+
 def wrap_cycles(x: Column) -> Column:
     """Distance to the nearest whole cycle; halves go to the even one."""
     return x - F.rint(x)

@@ -29,16 +29,21 @@ def wide_lane(l1: Column, l2: Column, p1: Column, p2: Column) -> Column:
     return l1 - l2 - (L1 * p1 + L2 * p2) / (L1 + L2) / WIDE_LANE
 
 
-def ramp(x: Column, low: float, high: float, least: float = 0.0, most: float = 1.0) -> Column:
-    """least at or under low, most at or over high, straight in between; null stays null."""
+def finite(x: Column) -> Column:
+    """Not null, NaN or infinite."""
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+
+
+def ramp(x: Column, low: float, high: float, least: float = 0.0, most: float = 1.0, missing: float = 1.0) -> Column:
+    """least at or under low, most at or over high, straight in between; `missing` where x is not finite."""
     share = F.least(F.greatest((x - low) / (high - low), F.lit(0.0)), F.lit(1.0))
-    return F.when(x.isNotNull(), least + (most - least) * share)
+    return F.when(finite(x), least + (most - least) * share).otherwise(F.lit(missing))
 
 
 def sight_label(los: Column, cn0: Column, el_deg: Column, strong: float, weak: float, least_el: float) -> Column:
     """Whether predicted sight and measured strength agree; low or unmeasured ones are ambiguous."""
     unsure = cn0.isNull() | F.isnan(cn0) | (el_deg < least_el)
     return (
-        F.when(unsure, "ambiguous").when(los & (cn0 <= weak), "missing_building").when(~los & (cn0 >= strong), "phantom_building")
-        .when(los & (cn0 >= strong) | ~los & (cn0 <= weak), "consistent").otherwise("ambiguous")
+        F.when(unsure, "ambiguous").when(los & (cn0 < weak), "missing_building").when(~los & (cn0 >= strong), "phantom_building")
+        .when(los & (cn0 >= strong) | ~los & (cn0 < weak), "consistent").otherwise("ambiguous")
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.signals import finite
+
 
 def error_metrics(df: DataFrame, by: list[str], error: str) -> DataFrame:
     """n, RMS, mean, population deviation, P50, P67, P95 (straight-line percentiles) and maximum of finite errors."""
@@ -22,8 +24,8 @@ def with_overall(df: DataFrame, by: str, aggs: list[Column], name: str = "OVERAL
 
 
 def weighted_median(df: DataFrame, by: list[str], value: str, weight: str) -> DataFrame:
-    """The smallest value whose cumulative weight reaches half; rows without a positive weight count for nothing."""
-    fine = df.where((F.col(weight) > 0) & F.col(value).isNotNull()).groupBy(*by, value).agg(F.sum(weight).alias("__w"))
+    """The smallest value whose cumulative weight reaches half; rows without a positive finite weight and a finite value count for nothing."""
+    fine = df.where((F.col(weight) > 0) & finite(F.col(weight).cast("double")) & finite(F.col(value).cast("double"))).groupBy(*by, value).agg(F.sum(weight).alias("__w"))
     w = Window.partitionBy(*by)
     run = fine.withColumns({"__c": F.sum("__w").over(w.orderBy(value)), "__t": F.sum("__w").over(w)})
     return run.where(F.col("__c") * 2 >= F.col("__t")).groupBy(*by).agg(F.min(value).alias("weighted_median"))

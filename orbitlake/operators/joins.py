@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 def nearest_asof(left: DataFrame, right: DataFrame, by: str, at: str, value: str, tolerance: float | None = None) -> DataFrame:
     """Each left row with the nearest right row of its key: columns `{value}`, `{at}_right`; a tie goes to the earlier.
 
-    One shuffle by key: both sides are put in one time order, and windows look back and ahead for the last and next
-    right row. A right row at the same time counts as before. Beyond the tolerance, and for keys without a right row,
+    One shuffle by key: both sides are put in one time order, and a running window in each direction finds the last and
+    the next right row in one pass. A right row at the same time counts as before. Beyond the tolerance, and for keys without a right row,
     the columns are null.
     """
     cols = [c for c in left.columns if c not in (by, at)]
@@ -19,7 +19,7 @@ def nearest_asof(left: DataFrame, right: DataFrame, by: str, at: str, value: str
     b = right.select(by, at, F.lit(None).cast(a.schema["own"].dataType).alias("own"), hit.alias("hit"), F.lit(0).alias("side"))
     order = Window.partitionBy(by).orderBy(at, "side")
     back = F.last("hit", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("hit", True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    ahead = F.last("hit", True).over(Window.partitionBy(by).orderBy(F.col(at).desc(), F.desc("side")).rowsBetween(Window.unboundedPreceding, 0))
     both = a.unionByName(b).withColumns({"p": back, "n": ahead}).where("side = 1")
     near = F.when(F.col("p").isNull() | (F.col("n")["at"] - F.col(at) < F.col(at) - F.col("p")["at"]), F.col("n")).otherwise(F.col("p"))
     out = both.withColumn("m", near)
@@ -34,8 +34,9 @@ def interpolated_join(left: DataFrame, right: DataFrame, by: str, at: str, value
     a = left.select(by, at, F.lit(None).cast(right.select(hit.alias("h")).schema["h"].dataType).alias("hit"), F.lit(True).alias("own"))
     order = Window.partitionBy(by).orderBy(at)
     both = a.unionByName(right.select(by, at, hit.alias("hit"), F.lit(False).alias("own")))
-    span = order.rangeBetween
-    both = both.withColumns({"p": F.last("hit", True).over(span(Window.unboundedPreceding, -1)), "n": F.first("hit", True).over(span(1, Window.unboundedFollowing))}).where("own")
+    strictly = lambda w: w.rangeBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy(by).orderBy(F.col(at).desc())
+    both = both.withColumns({"p": F.last("hit", True).over(strictly(order)), "n": F.last("hit", True).over(strictly(back))}).where("own")
     gap = F.col("n")["at"] - F.col("p")["at"]
     share = (F.col(at) - F.col("p")["at"]) / gap
     return both.select(by, at, F.when(gap <= max_gap, F.col("p")["v"] + share * (F.col("n")["v"] - F.col("p")["v"])).alias(value))

@@ -18,11 +18,17 @@ def centred_mean(df: DataFrame, by: str, order: list[str], value: str, half: int
 
 
 def gradient(df: DataFrame, by: str, order: list[str], at: str, value: str) -> DataFrame:
-    """Central differences per unit of `at`, one-sided at both ends; null for a lone row."""
+    """Second-order differences per unit of `at`, each side weighted by the step of the other; one-sided at both ends.
+
+    0 for a lone row, null beside rows at the same time.
+    """
     w = Window.partitionBy(by).orderBy(*order)
-    before, after = (lambda f, c: F.coalesce(f(c, 1).over(w), F.col(c)))(F.lag, value), (lambda f, c: F.coalesce(f(c, 1).over(w), F.col(c)))(F.lead, value)
-    t0, t1 = F.coalesce(F.lag(at, 1).over(w), F.col(at)), F.coalesce(F.lead(at, 1).over(w), F.col(at))
-    return df.withColumn(f"{value}_rate", F.when(t1 > t0, (after - before) / (t1 - t0)))
+    back, ahead = F.col(at) - F.lag(at).over(w), F.lead(at).over(w) - F.col(at)
+    left = F.when(back > 0, (F.col(value) - F.lag(value).over(w)) / back)
+    right = F.when(ahead > 0, (F.lead(value).over(w) - F.col(value)) / ahead)
+    inner = (left * ahead + right * back) / (back + ahead)
+    rate = F.when(back.isNull() & ahead.isNull(), F.lit(0.0)).when(back.isNull(), right).when(ahead.isNull(), left).otherwise(inner)
+    return df.withColumn(f"{value}_rate", rate)
 
 
 def unwrap(df: DataFrame, by: str, order: list[str], value: str, period: float) -> DataFrame:
@@ -58,9 +64,10 @@ def jumps(df: DataFrame, by: list[str], order: list[str], value: str, limit: flo
 def fill_linear(df: DataFrame, by: str, at: str, value: str) -> DataFrame:
     """Nulls filled on the line between the last and next value; at the ends with the nearest one."""
     w = Window.partitionBy(by).orderBy(at)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    back = w.rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(by).orderBy(F.col(at).desc()).rowsBetween(Window.unboundedPreceding, 0)
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(at).alias("t"), F.col(value).alias("v")))
-    p, n = F.last(known, True).over(back), F.first(known, True).over(ahead)
+    p, n = F.last(known, True).over(back), F.last(known, True).over(ahead)
     out = df.withColumns({"__p": p, "__n": n})
     line = F.col("__p.v") + (F.col("__n.v") - F.col("__p.v")) * (F.col(at) - F.col("__p.t")) / (F.col("__n.t") - F.col("__p.t"))
     filled = F.coalesce(F.col(value), F.when(F.col("__n.t") > F.col("__p.t"), line), F.col("__p.v"), F.col("__n.v"))

@@ -203,11 +203,11 @@ def feature_left_join(spark, sf_dir):
     return base.join(totals, "c_custkey", "left").na.fill(0.0, ["total"]).select("c_custkey", "n_name", "r_name", "total")
 
 
-@_query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0)""")
+@_query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000) AND c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0)""")
 def semi_anti_filters(spark, sf_dir):
     c, n, o = (_read(spark, sf_dir, t) for t in ("customer", "nation", "orders"))
     near = n.where("n_regionkey = 0").select(F.col("n_nationkey").alias("c_nationkey"))
-    return c.join(o.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").join(near, "c_nationkey", "left_semi").select("c_custkey")
+    return c.join(o.where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").join(near, "c_nationkey", "left_semi").select("c_custkey")
 
 
 _ORD = "PARTITION BY user_id ORDER BY us, event_id"
@@ -225,8 +225,9 @@ def centred_rolling_mean(spark, sf_dir):
     return windows.centred_mean(_events(spark, sf_dir), "user_id", ["us", "event_id"], "value", 3).select("event_id", _r("value_smooth").alias("value_smooth"))
 
 
-@_query(f"""WITH {_EV}, g AS (SELECT event_id, coalesce(lag(value) OVER w, value) AS v0, coalesce(lead(value) OVER w, value) AS v1, coalesce(lag(t) OVER w, t) AS t0, coalesce(lead(t) OVER w, t) AS t1 FROM ev WINDOW w AS ({_ORD}))
-SELECT event_id, round(CASE WHEN t1 > t0 THEN (v1 - v0) / (t1 - t0) END, 6) AS value_rate FROM g""")
+@_query(f"""WITH {_EV}, g AS (SELECT event_id, value AS v, lag(value) OVER w AS v0, lead(value) OVER w AS v1, t - lag(t) OVER w AS h0, lead(t) OVER w - t AS h1 FROM ev WINDOW w AS ({_ORD}))
+SELECT event_id, round(CASE WHEN h0 IS NULL AND h1 IS NULL THEN 0 WHEN h0 IS NULL THEN (v1 - v) / h1 WHEN h1 IS NULL THEN (v - v0) / h0
+  ELSE (h0 * h0 * v1 + (h1 * h1 - h0 * h0) * v - h1 * h1 * v0) / (h0 * h1 * (h0 + h1)) END, 6) AS value_rate FROM g""")
 def value_gradient(spark, sf_dir):
     return windows.gradient(_events(spark, sf_dir), "user_id", ["us", "event_id"], "t", "value").select("event_id", _r("value_rate").alias("value_rate"))
 
@@ -407,8 +408,8 @@ def cycle_slips(spark, sf_dir):
 
 
 @_query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_discount < 0.05 AS los, l_quantity AS cn0, l_partkey % 90 AS el FROM lineitem)
-SELECT l_orderkey, l_linenumber, CASE WHEN cn0 IS NULL OR el < 15 THEN 'ambiguous' WHEN los AND cn0 <= 25 THEN 'missing_building' WHEN NOT los AND cn0 >= 35 THEN 'phantom_building'
-  WHEN los AND cn0 >= 35 OR NOT los AND cn0 <= 25 THEN 'consistent' ELSE 'ambiguous' END AS label,
+SELECT l_orderkey, l_linenumber, CASE WHEN cn0 IS NULL OR el < 15 THEN 'ambiguous' WHEN los AND cn0 < 25 THEN 'missing_building' WHEN NOT los AND cn0 >= 35 THEN 'phantom_building'
+  WHEN los AND cn0 >= 35 OR NOT los AND cn0 < 25 THEN 'consistent' ELSE 'ambiguous' END AS label,
   round(0.2 + 0.8 * least(greatest((cn0 - 10.0) / 30.0, 0.0), 1.0), 6) AS scale FROM s""")
 def sight_consistency(spark, sf_dir):
     """Sight label and gate scale of each line, its quantity standing for signal strength."""
@@ -417,13 +418,6 @@ def sight_consistency(spark, sf_dir):
     return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", label.alias("label"), _r(signals.ramp(cn0, 10.0, 40.0, 0.2)).alias("scale"))
 
 
-@_query("""SELECT coalesce(event_type, 'OVERALL') AS event_type, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS max FROM events GROUP BY GROUPING SETS ((event_type), ())""")
-def level_summary(spark, sf_dir):
-    """Counts by method and over all, in one pass."""
-    levels = _read(spark, sf_dir, "events").rollup("event_type").agg(F.count("*").alias("n"), _r(F.avg("value")).alias("mean"), F.max("value").alias("max"))
-    return levels.withColumn("event_type", F.coalesce("event_type", F.lit("OVERALL")))
-
-
 @_query("""SELECT l_orderkey, l_suppkey % 8 AS satellite, max_by(l_partkey, struct_pack(a := l_quantity, b := -l_linenumber, c := -l_partkey)) AS l_partkey, max(l_quantity) AS strength
 FROM lineitem GROUP BY ALL""")
 def strongest_per_satellite(spark, sf_dir):

@@ -131,4 +131,4 @@ def test_ramps_clip_and_labels_name_the_side_that_is_wrong(spark):
     label = signals.sight_label(F.col("los"), F.col("cn0"), F.col("el"), 35.0, 25.0, 15.0)
     got = df.select(label.alias("l"), signals.ramp(F.col("cn0"), 20.0, 40.0, 0.5).alias("r")).collect()
     assert [r.l for r in got] == ["consistent", "phantom_building", "missing_building", "consistent", "ambiguous", "ambiguous", "ambiguous"]
-    assert [r.r for r in got] == [1.0, 1.0, 0.5, 0.5, None, 1.0, 0.75]
+    assert [r.r for r in got] == [1.0, 1.0, 0.5, 0.5, 1.0, 1.0, 0.75]

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from orbitlake.plans.queries import QUERIES, SQL
+from orbitlake.plans.all_queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
 
