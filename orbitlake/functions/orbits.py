@@ -58,10 +58,11 @@ def clock_polynomial(eph: dict[str, Column], t: Column) -> Column:
     return eph["af0"] + eph["af1"] * dt + eph["af2"] * dt * dt
 
 
-def group_delay(system: Column, code: Column, tgd: Column, bgd_a: Column, bgd_b: Column) -> Column:
-    """Group delay by system and observation code: Galileo has one for E5a and one for E5b, the others one."""
-    galileo = F.when(code.substr(2, 1) == "7", bgd_b).otherwise(bgd_a)
-    return F.coalesce(F.when(system == "E", galileo).when(system == "R", F.lit(0.0)).otherwise(tgd), F.lit(0.0))
+def group_delay(system: Column, code: Column, sources: Column, tgd: Column, bgd_a: Column, bgd_b: Column) -> Column:
+    """Group delay by system and observation code: Galileo's first band has one by the data sources of its message."""
+    b = F.when(bgd_b != 0.0, bgd_b).otherwise(bgd_a)
+    first = F.when(sources.bitwiseAND(F.lit(0x200)) != 0, bgd_b).when(sources.bitwiseAND(F.lit(0x100)) != 0, bgd_a).otherwise(b)
+    return F.when((system == "E") & (code.substr(2, 1) == "1"), first).otherwise(tgd)
 
 
 def sagnac_term(sx: Column, sy: Column, rx: Column, ry: Column) -> Column:
@@ -86,13 +87,23 @@ def split_label(label: Column) -> tuple[Column, Column]:
 
 
 # fixed values: carrier frequencies by band, in hertz
-BANDS = {"L1": [1575.42e6, 1602.0e6, 1561.098e6], "L5": [1176.45e6]}
+BANDS = {"L1": [1575.42e6, 1561.098e6], "L5": [1176.45e6]}
 
 
-def carrier_band(hertz: Column) -> Column:
-    """The band whose frequency is nearest; null without a frequency."""
+def carrier_band(hertz: Column, constellation: Column) -> Column:
+    """The band whose frequency is nearest, the first one for all GLONASS channels (3); null without a frequency."""
     near = F.array_min(F.array(*[F.struct(F.abs(hertz - f).alias("d"), F.lit(b).alias("b")) for b, fs in BANDS.items() for f in fs]))
-    return F.when(hertz.isNotNull() & ~F.isnan(hertz), near["b"])
+    return F.when(hertz.isNotNull() & ~F.isnan(hertz), F.when(constellation == 3, F.lit("L1")).otherwise(near["b"]))
+
+
+def signal_band(signal: Column) -> Column:
+    """The band of a signal name: L5, E5 and B2 are L5, others L1."""
+    return F.when(F.upper(F.coalesce(signal, F.lit(""))).rlike("L5|E5|B2"), F.lit("L5")).otherwise(F.lit("L1"))
+
+
+def system_rank(constellation: Column) -> Column:
+    """Order of the systems in a list of slots: GPS, Galileo, QZSS, the rest."""
+    return F.when(constellation == 1, 0).when(constellation == 6, 1).when(constellation == 4, 2).otherwise(99)
 
 
 def chips_of_lag(lag: Column, rate: float, chips: float = 1.023e6, length: int = 1023) -> Column:

@@ -54,3 +54,19 @@ def win_rates(metrics: DataFrame, keys: list[str], method: str, baseline: str, c
     base = metrics.where(F.col(method) == baseline).select(*keys, *[F.col(c).alias(f"base_{c}") for c in columns])
     met = metrics.where(F.col(method) != baseline).join(base, keys)
     return met.groupBy(method).agg(F.count("*").alias("windows"), *[F.avg((F.col(c) < F.col(f"base_{c}")).cast("double")).alias(f"{c}_win_rate") for c in columns])
+
+
+def carrier_to_noise(df: DataFrame, by: list[str], inphase: str, quadrature: str, interval: float) -> DataFrame:
+    """C/N0 in dB-Hz from the ratio of narrow to wide power of a channel's correlations; 0 where it can't be told."""
+    i, q = F.col(inphase), F.col(quadrature)
+    s = df.groupBy(*by).agg(F.count("*").alias("__n"), F.sum(i).alias("__i"), F.sum(q).alias("__q"), F.sum(i * i + q * q).alias("__p"))
+    ratio = (F.col("__i") * F.col("__i") + F.col("__q") * F.col("__q")) / F.col("__p")
+    told = (ratio > 1.0) & (ratio < F.col("__n"))
+    return s.select(*by, F.when(told, 10.0 * F.log10((ratio - 1.0) / (F.col("__n") - ratio) / interval)).otherwise(F.lit(0.0)).alias("cn0"))
+
+
+def first_preferred(df: DataFrame, by: list[str], preferred: Column, order: list[str], columns: list[str]) -> DataFrame:
+    """The first row of each group among the preferred ones, or of all where there is none."""
+    key = F.struct((~F.coalesce(preferred, F.lit(False))).alias("p"), *order, *[c for c in columns if c not in order])
+    best = df.groupBy(*by).agg(F.min(key).alias("b"))
+    return best.select(*by, *[F.col(f"b.{c}").alias(c) for c in columns])

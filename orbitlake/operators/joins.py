@@ -64,3 +64,59 @@ def offset_lookup(left: DataFrame, right: DataFrame, by: str, at: str, value: st
     return left.join(best, [by, at], "left")
 
 
+
+
+def trim_to_span(rows: DataFrame, other: DataFrame, by: str, at: str, margin: float) -> DataFrame:
+    """Rows within the time span of the other table's key, widened by a margin to both sides."""
+    span = other.groupBy(by).agg(F.min(at).alias("__lo"), F.max(at).alias("__hi"))
+    return rows.join(span, by).where(F.col(at).between(F.col("__lo") - margin, F.col("__hi") + margin)).drop("__lo", "__hi")
+
+
+def in_both_epochs(rows: DataFrame, by: list[str], epoch: str, value: str) -> DataFrame:
+    """Rows whose key was there in the epoch just before, with `step`, the change since; one row for each key and epoch."""
+    w = Window.partitionBy(*by).orderBy(epoch)
+    out = rows.withColumns({"__e": F.lag(epoch).over(w), "step": F.col(value) - F.lag(value).over(w)})
+    return out.where(F.col("__e") == F.col(epoch) - 1).drop("__e")
+
+
+def best_record(queries: DataFrame, records: DataFrame, by: str, at: str, reference: str, width: float, priority: str, week: float = 604800.0) -> DataFrame:
+    """Each query with the record of its key whose reference time is nearest and within `width`; then the higher priority.
+
+    Times are seconds of a week that wraps round. An equi join on the key and cells of `width` seconds: a record goes to
+    its own cell and the ones beside it, so no query meets more than the records of three cells.
+    """
+    cells = int(week // width)
+    cell = lambda c: F.floor(F.pmod(F.col(c), F.lit(week)) / width).cast("long")
+    wide = records.withColumn("__c", F.explode(F.array(*[F.pmod(cell(reference) + i, F.lit(cells + 1)) for i in (-2, -1, 0, 1, 2)]))).distinct()
+    met = queries.withColumn("__c", cell(at)).join(wide, [by, "__c"])
+    apart = F.abs(F.col(at) - F.col(reference))
+    dt = F.when(apart > week / 2, week - apart).otherwise(apart)
+    met = met.withColumn("__dt", dt).where(F.col("__dt") <= width)
+    keys = queries.columns
+    own = [c for c in records.columns if c != by]
+    best = met.groupBy(*keys).agg(F.min(F.struct("__dt", (-F.col(priority)).alias("p"), *own)).alias("b"))
+    return best.select(*keys, F.col("b.__dt").alias("dt"), *[F.col(f"b.{c}") for c in own])
+
+
+def double_differences(rover: DataFrame, base: DataFrame, epoch: list[str], satellite: str, system: str, value: str, elevation: str, least: int = 2) -> DataFrame:
+    """Differences of rover and base, less those of the highest satellite of the same system and epoch.
+
+    Satellites that both receivers have, at least `least` in a system: (epoch, system, satellite, reference, dd).
+    """
+    both = rover.join(base.select(*epoch, satellite, F.col(value).alias("__b")), [*epoch, satellite])
+    single = both.select(*epoch, system, satellite, elevation, (F.col(value) - F.col("__b")).alias("sd"))
+    top = single.groupBy(*epoch, system).agg(F.min(F.struct(-F.col(elevation), satellite, "sd")).alias("t"), F.count("*").alias("n")).where(F.col("n") >= least)
+    out = single.join(top, [*epoch, system]).where(F.col(satellite) != F.col(f"t.{satellite}"))
+    return out.select(*epoch, system, satellite, F.col(f"t.{satellite}").alias("reference"), (F.col("sd") - F.col("t.sd")).alias("dd"))
+
+
+def nearest_point(points: DataFrame, references: DataFrame, key: str, xy: list[str], label: str, reach: float) -> DataFrame:
+    """(key, label, distance) of the nearest reference point within `reach`, by cells of that size and the ones beside."""
+    cell = lambda c: F.floor(F.col(c) / reach).cast("long")
+    near = references.select(F.col(label), *[F.col(c).alias(f"__{c}") for c in xy], *[F.explode(F.array(*[cell(c) + i for i in (-1, 0, 1)])).alias(f"c_{c}") if j == 0 else cell(c).alias(f"r_{c}") for j, c in enumerate(xy)])
+    for c in xy[1:]:
+        near = near.withColumn(f"c_{c}", F.explode(F.array(*[F.col(f"r_{c}") + i for i in (-1, 0, 1)])))
+    met = points.select(key, *xy, *[cell(c).alias(f"c_{c}") for c in xy]).join(near, [f"c_{c}" for c in xy])
+    d = F.sqrt(sum(((F.col(c) - F.col(f"__{c}")) * (F.col(c) - F.col(f"__{c}")) for c in xy), F.lit(0.0)))
+    best = met.withColumn("distance", d).where(F.col("distance") <= reach).groupBy(key).agg(F.min(F.struct("distance", label)).alias("b"))
+    return best.select(key, F.col(f"b.{label}").alias(label), F.col("b.distance").alias("distance"))

@@ -55,7 +55,7 @@ def count_windows(df: DataFrame, by: list[str], order: list[str], size: int, str
     return numbered.where((F.col("__n") >= size) & (last >= first)).withColumn("window", F.explode(F.sequence(first, last))).drop("__r", "__n")
 
 
-def jumps(df: DataFrame, by: list[str], order: list[str], value: str, limit: float) -> DataFrame:
+def jumps(df: DataFrame, by: list[str], order: list[str], value: str, limit: float | Column) -> DataFrame:
     """Flag rows that differ from the one before by more than the limit; the first row never is."""
     step = F.abs(F.col(value) - F.lag(value).over(Window.partitionBy(*by).orderBy(*order)))
     return df.withColumn("jump", F.coalesce(step > limit, F.lit(False)))

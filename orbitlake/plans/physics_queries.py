@@ -102,12 +102,13 @@ def broadcast_clocks(spark, sf_dir):
     return _ephemerides(spark, sf_dir).select("prn", _r(orbits.clock_polynomial({c: F.col(c) for c in _FIELDS}, F.lit(300000.0)) * 1e9, 4).alias("clock_ns"))
 
 
-@_query("""WITH s AS (SELECT s_suppkey, substr('GERC', s_suppkey % 4 + 1, 1) AS sys, CASE WHEN s_suppkey % 3 = 0 THEN 'C7Q' ELSE 'C1C' END AS code, s_suppkey * 1e-9 AS tgd FROM supplier)
-SELECT s_suppkey, round(CASE sys WHEN 'E' THEN CASE WHEN code = 'C7Q' THEN tgd * 3 ELSE tgd * 2 END WHEN 'R' THEN 0 ELSE tgd END * 1e9, 6) AS delay_ns FROM s""")
+@_query("""WITH s AS (SELECT s_suppkey, substr('GERC', s_suppkey % 4 + 1, 1) AS sys, CASE WHEN s_suppkey % 3 = 0 THEN 'C7Q' ELSE 'C1C' END AS code, s_suppkey % 8 * 256 AS src, s_suppkey * 1e-9 AS tgd,
+  s_suppkey % 5 * 1e-9 AS b FROM supplier)
+SELECT s_suppkey, round(CASE WHEN sys = 'E' AND code = 'C1C' THEN CASE WHEN src & 512 <> 0 THEN b WHEN src & 256 <> 0 THEN tgd * 2 WHEN b <> 0 THEN b ELSE tgd * 2 END ELSE tgd END * 1e9, 6) AS delay_ns FROM s""")
 def group_delays(spark, sf_dir):
     k = F.col("s_suppkey")
     tgd = k * 1e-9
-    delay = orbits.group_delay(F.substring(F.lit("GERC"), k % 4 + 1, F.lit(1)), F.when(k % 3 == 0, "C7Q").otherwise("C1C"), tgd, tgd * 2, tgd * 3)
+    delay = orbits.group_delay(F.substring(F.lit("GERC"), k % 4 + 1, F.lit(1)), F.when(k % 3 == 0, "C7Q").otherwise("C1C"), k % 8 * 256, tgd, tgd * 2, k % 5 * 1e-9)
     return _read(spark, sf_dir, "supplier").select("s_suppkey", _r(delay * 1e9).alias("delay_ns"))
 
 
@@ -120,9 +121,9 @@ def satellite_labels(spark, sf_dir):
     return _read(spark, sf_dir, "supplier").select("s_suppkey", system.alias("system"), prn.alias("prn"))
 
 
-@_query("""SELECT event_id, CASE WHEN 1.1e9 + value * 5e6 < (1176.45e6 + 1561.098e6) / 2 THEN 'L5' ELSE 'L1' END AS band FROM events WHERE value IS NOT NULL""")
+@_query("""SELECT event_id, CASE WHEN user_id % 7 <> 3 AND 1.1e9 + value * 5e6 < (1176.45e6 + 1561.098e6) / 2 THEN 'L5' ELSE 'L1' END AS band FROM events WHERE value IS NOT NULL""")
 def carrier_bands(spark, sf_dir):
-    return _read(spark, sf_dir, "events").where("value is not null").select("event_id", orbits.carrier_band(1.1e9 + F.col("value") * 5e6).alias("band"))
+    return _read(spark, sf_dir, "events").where("value is not null").select("event_id", orbits.carrier_band(1.1e9 + F.col("value") * 5e6, F.col("user_id") % 7).alias("band"))
 
 
 @_query(f"""WITH c AS (SELECT event_id, event_id * 17 % 4092 * (1.023e6 / 4.092e6) AS chips FROM events), r AS (SELECT event_id, chips, chips / 1.023e6 * {G.LIGHT!r} AS own, 1023 / 1.023e6 * {G.LIGHT!r} AS period FROM c)
