@@ -24,22 +24,29 @@ def normal_sums(h: list[Column], y: Column, w: Column) -> list[Column]:
     return [F.sum(w * h[i] * h[j]).alias(f"a{i}{j}") for i in range(n) for j in range(i, n)] + [F.sum(w * h[i] * y).alias(f"b{i}") for i in range(n)]
 
 
-def solve_sums(sums: DataFrame, n: int, names: list[str], least_pivot: float = 1e-12) -> DataFrame:
-    """The rows with the solution of their normal equations under `names`; null where a pivot vanishes.
+def solve_sums(sums: DataFrame, n: int, names: list[str], least: float = 1e-12) -> DataFrame:
+    """The rows with the solution of their normal equations under `names`; null where the matrix is as good as singular.
 
-    The symmetric system is factored step by step in columns, so nothing leaves the JVM.
+    Only the sums of an epoch reach the small solves, a batch of epochs at a time.
     """
-    out, own = sums, set(sums.columns)
-    c = F.col
-    for j in range(n):
-        d = c(f"a{j}{j}") - sum((c(f"l{j}{k}") * c(f"l{j}{k}") * c(f"d{k}") for k in range(j)), F.lit(0.0))
-        out = out.withColumn(f"d{j}", F.when(F.abs(d) > least_pivot, d))
-        new = {f"l{i}{j}": (c(f"a{j}{i}") - sum((c(f"l{i}{k}") * c(f"l{j}{k}") * c(f"d{k}") for k in range(j)), F.lit(0.0))) / c(f"d{j}") for i in range(j + 1, n)}
-        new[f"y{j}"] = c(f"b{j}") - sum((c(f"l{j}{k}") * c(f"y{k}") for k in range(j)), F.lit(0.0))
-        out = out.withColumns(new)
-    for j in reversed(range(n)):
-        out = out.withColumn(names[j], c(f"y{j}") / c(f"d{j}") - sum((c(f"l{i}{j}") * c(names[i]) for i in range(j + 1, n)), F.lit(0.0)))
-    return out.drop(*[x for x in out.columns if x not in own and x not in names])
+    upper = [(i, j) for i in range(n) for j in range(i, n)]
+
+    @F.pandas_udf(", ".join(f"{c} double" for c in names))
+    def solve(p: pd.DataFrame) -> pd.DataFrame:
+        m = np.empty((len(p), n, n))
+        for i, j in upper:
+            m[:, i, j] = m[:, j, i] = p[f"a{i}{j}"]
+        v = np.stack([p[f"b{i}"].to_numpy(float) for i in range(n)], axis=1)
+        scale = np.sqrt(np.abs(np.diagonal(m, axis1=1, axis2=2)))
+        unit = m / np.maximum(scale[:, :, None] * scale[:, None, :], 1e-300)
+        fine = np.isfinite(unit).all(axis=(1, 2)) & np.isfinite(v).all(axis=1)
+        fine[fine] &= np.abs(np.linalg.det(unit[fine])) > least
+        out = np.full((len(p), n), np.nan)
+        out[fine] = np.linalg.solve(m[fine], v[fine][:, :, None])[:, :, 0]
+        return pd.DataFrame(out, columns=names)
+
+    used = [*[f"a{i}{j}" for i, j in upper], *[f"b{i}" for i in range(n)]]
+    return sums.withColumn("__x", solve(F.struct(*used))).select(*sums.columns, "__x.*")
 
 
 def doppler_velocity(meas: DataFrame, by: list[str], receiver: list[Column], wavelength: float, least: int = 4) -> DataFrame:
@@ -49,7 +56,7 @@ def doppler_velocity(meas: DataFrame, by: list[str], receiver: list[Column], wav
     los = [x / length for x in d]
     y = F.col("doppler") * wavelength - sum((F.col(f"sv{a}") * l for a, l in zip("xyz", los)), F.lit(0.0))
     sums = meas.groupBy(*by).agg(F.count("*").alias("n"), *normal_sums([*[-l for l in los], F.lit(1.0)], y, F.col("w"))).where(F.col("n") >= least)
-    return solve_sums(sums, 4, ["vx", "vy", "vz", "drift"], 1e-15).select(*by, "n", "vx", "vy", "vz", "drift")
+    return solve_sums(sums, 4, ["vx", "vy", "vz", "drift"]).select(*by, "n", "vx", "vy", "vz", "drift")
 
 
 def carrier_velocity(meas: DataFrame, track: list[str], epoch: str, at: str, receiver: list[Column], wavelength: float, least: int = 5, most_jump: float = 20000.0, most_rms: float = 10.0, most_speed: float = 50.0) -> DataFrame:
@@ -76,7 +83,7 @@ def carrier_velocity(meas: DataFrame, track: list[str], epoch: str, at: str, rec
     rows = both.select(*track, epoch, dt.alias("dt"), *[(x / length).alias(f"h{i}") for i, x in enumerate(d)], y.alias("y"), wt.alias("wt")).where("dt > 0")
     h = [F.col("h0"), F.col("h1"), F.col("h2"), F.lit(1.0)]
     sums = rows.groupBy(*track, epoch).agg(F.count("*").alias("n"), F.first("dt").alias("step"), *normal_sums(h, F.col("y"), F.col("wt"))).where(F.col("n") >= least)
-    fit = solve_sums(sums, 4, ["x0", "x1", "x2", "x3"], 1e-12).select(*track, epoch, "n", "step", "x0", "x1", "x2", "x3")
+    fit = solve_sums(sums, 4, ["x0", "x1", "x2", "x3"]).where("x0 is not null").select(*track, epoch, "n", "step", "x0", "x1", "x2", "x3")
     off = F.col("y") - sum((h[i] * F.col(f"x{i}") for i in range(4)), F.lit(0.0))
     rms = rows.join(fit, [*track, epoch]).groupBy(*track, epoch, "n", "step", "x0", "x1", "x2").agg(F.sqrt(F.avg(off * off)).alias("rms")).where(F.col("rms") <= most_rms)
     out = rms.select(*track, epoch, "n", *[(F.col(f"x{i}") / F.col("step")).alias(f"v{a}") for i, a in enumerate("xyz")], "rms")
@@ -114,16 +121,17 @@ def solve_epochs(epoch: np.ndarray, sat: np.ndarray, rho: np.ndarray, w: np.ndar
     """Gauss-Newton for all epochs at once: (x, y, z, clocks) and the rounds that each took.
 
     Starts below the mean satellite at the earth's radius; the small systems come from sums over each epoch's rows.
-    With `system` (0, 1, ...) each system has a clock of its own; one that an epoch lacks stays 0. With `robust`, weights
-    shrink with the residuals from the second round on (cauchy, huber), and an epoch with fewer than `least` rows of a
+    With `system` (0, 1, ...) each system has a clock of its own; one that an epoch lacks stays 0. With `robust`, the plain
+    solution comes first, then weights shrink with the residuals (cauchy, huber), and an epoch with fewer than `least` rows of a
     weight over 0.1 has no result.
     """
+    first = solve_epochs(epoch, sat, rho, w, sagnac, rounds, tol, system)[0] if robust else None  # weights need a start
     n, clocks = int(epoch.max()) + 1, 1 if system is None else int(system.max()) + 1
     system = np.zeros(len(epoch), np.int64) if system is None else system
     size = 3 + clocks
     count = np.bincount(epoch, minlength=n)
     centre = _normal_sums(epoch, n, *sat.T) / count[:, None]
-    x = np.hstack([centre / np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1.0) * A, np.zeros((n, clocks))])
+    x = np.hstack([centre / np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1.0) * A, np.zeros((n, clocks))]) if first is None else first
     took, live, prior = np.zeros(n, np.int64), count >= 4, w
     for k in range(1, rounds + 1):
         if not live.any():
@@ -136,7 +144,7 @@ def solve_epochs(epoch: np.ndarray, sat: np.ndarray, rho: np.ndarray, w: np.ndar
         r = np.linalg.norm(d, axis=1)
         h = np.column_stack([-d / r[:, None], *[(system == s).astype(float) for s in range(clocks)]])
         res = rho - r - at[np.arange(len(r)), 3 + system]
-        if robust and k > 1:
+        if robust:
             u = np.abs(res) / threshold
             w = prior * (1.0 / (1.0 + u * u) if robust == "cauchy" else np.minimum(1.0, 1.0 / np.maximum(u, 1e-12)))
             lost = live & (np.bincount(epoch, w > 0.1, n) < least)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.signals import finite
@@ -99,3 +99,54 @@ def residual_outliers(rows: DataFrame, epoch: list[str], group: str, residual: s
     out = rows.join(clock, [*epoch, group], "left")
     bad = F.coalesce(F.abs(F.col(residual) - F.col("__clock")) > limit, F.lit(False)) & (F.col(weight) > 0)
     return out.withColumn("rejected", bad).withColumn(weight, F.when(F.col("rejected"), F.lit(0.0)).otherwise(F.col(weight))).drop("__clock")
+
+
+def hysteresis(df: DataFrame, by: list[str], order: list[str], candidate: Column, enter: int, leave: int) -> DataFrame:
+    """`active`: on once `enter` rows in a row are candidates, off once `leave` rows in a row are not.
+
+    A run's length at each row, and the last row at which one of the two was reached, are windows: no state is replayed.
+    """
+    w = Window.partitionBy(*by).orderBy(*order)
+    flag = F.coalesce(candidate, F.lit(False))
+    rows = df.withColumn("__f", flag).withColumn("__g", F.row_number().over(w) - F.row_number().over(Window.partitionBy(*by, "__f").orderBy(*order)))
+    rows = rows.withColumn("__k", F.row_number().over(Window.partitionBy(*by, "__f", "__g").orderBy(*order)))
+    turn = F.when(F.col("__f") & (F.col("__k") == enter), True).when(~F.col("__f") & (F.col("__k") == leave), False)
+    rows = rows.withColumn("__t", turn)
+    return rows.withColumn("active", F.coalesce(F.last("__t", True).over(w), F.lit(False))).drop("__f", "__g", "__k", "__t")
+
+
+def adaptive_weight(residual: Column, sigma: float, base: Column) -> Column:
+    """Base weight times the chance of a larger residual under chi square with one degree of freedom, 0.01 at least.
+
+    That chance is erfc(|residual| / sigma / sqrt 2), by a rational approximation that is right to 2e-7.
+    """
+    x = F.abs(residual) / (sigma * 2.0**0.5)
+    t = 1.0 / (1.0 + 0.3275911 * x)
+    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+    return base * F.least(F.greatest(poly * F.exp(-x * x), F.lit(0.01)), F.lit(1.0))
+
+
+def veto_modes(x: dict[str, Column], close: dict[str, float], far: dict[str, float]) -> Column:
+    """A candidate for blocking: close to the reference with few blocked rays, or far from it with many positive ones."""
+    near = (x["blocked"] >= close["low"]) & (x["blocked"] <= close["high"]) & (x["disagreement"] <= close["most"]) & (x["residual"] <= close["residual"])
+    away = (x["blocked"] <= far["blocked"]) & (x["positive"] >= far["positive"]) & (x["disagreement"] >= far["least"])
+    return F.coalesce(near, F.lit(False)) | F.coalesce(away, F.lit(False))
+
+
+def carrier_steps(df: DataFrame, by: list[str], order: list[str], at: str, adr: str, usable: Column, rate: str, uncertainty: str, interval: Column, limit: float, sigma: float = 0.02) -> DataFrame:
+    """(.., step, weight) of carrier differences to the next row of a satellite; weight 0 where there is none.
+
+    A step that the rates contradict by more than the limit makes both of its ends unusable, and so the steps beside it.
+    The weight is one over the variance, from the uncertainties of both ends if they are positive.
+    """
+    w = Window.partitionBy(*by).orderBy(*order)
+    out = df.withColumn("__ok", F.coalesce(usable & finite(F.col(adr)), F.lit(False)))
+    step = F.lead(adr).over(w) - F.col(adr)
+    both = F.col("__ok") & F.coalesce(F.lead("__ok").over(w), F.lit(False)) & F.coalesce(F.lead(at).over(w) - F.col(at) > 0, F.lit(False))
+    off = F.abs(step + 0.5 * (F.col(rate) + F.lead(rate).over(w)) * interval) > limit
+    out = out.withColumn("__bad", both & F.coalesce(off & (interval > 0), F.lit(False)))
+    out = out.withColumn("__ok", F.col("__ok") & ~F.col("__bad") & ~F.coalesce(F.lag("__bad").over(w), F.lit(False)))
+    u0, u1 = F.col(uncertainty), F.lead(uncertainty).over(w)
+    s = F.greatest(F.when((u0 > 0) & (u1 > 0), F.sqrt(u0 * u0 + u1 * u1)).otherwise(F.lit(sigma)), F.lit(1e-3))
+    live = F.col("__ok") & F.coalesce(F.lead("__ok").over(w), F.lit(False)) & F.coalesce(F.lead(at).over(w) - F.col(at) > 0, F.lit(False))
+    return out.withColumns({"step": F.when(live, F.lead(adr).over(w) - F.col(adr)).otherwise(0.0), "weight": F.when(live, 1.0 / (s * s)).otherwise(0.0)}).drop("__ok", "__bad")

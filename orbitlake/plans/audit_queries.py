@@ -342,3 +342,32 @@ def chunk_quality(spark, sf_dir):
     m = ev.groupBy("user_id", "chunk").agg(F.avg(F.col("value") * F.col("value")).alias("mse")).join(motion, ["user_id", "chunk"])
     base = m.groupBy("chunk").agg(*[F.avg(c).alias(f"b_{c}") for c in ("mse", "step_mean", "step_p95", "accel_p95")])
     return m.join(base, "chunk").select("user_id", "chunk", _r(features.chunk_quality()).alias("quality"))
+
+
+@_query(f"""WITH {_EV}, f AS (SELECT *, value > 45 AS f FROM ev), g AS (SELECT *, row_number() OVER ({_ORD}) - row_number() OVER (PARTITION BY user_id, f ORDER BY us, event_id) AS g FROM f),
+k AS (SELECT *, row_number() OVER (PARTITION BY user_id, f, g ORDER BY us, event_id) AS k FROM g), t AS (SELECT *, CASE WHEN f AND k = 2 THEN 1 WHEN NOT f AND k = 3 THEN 0 END AS turn FROM k)
+SELECT event_id, coalesce(last_value(turn IGNORE NULLS) OVER ({_ORD} ROWS UNBOUNDED PRECEDING) = 1, false) AS active FROM t""")
+def hysteresis_gate(spark, sf_dir):
+    """Blocked after two candidates in a row, free again after three clear epochs."""
+    return gates.hysteresis(_events(spark, sf_dir), ["user_id"], ["us", "event_id"], F.col("value") > 45, 2, 3).select("event_id", "active")
+
+
+@_query("""SELECT o_orderkey, coalesce(o_custkey % 10 BETWEEN 1 AND 4 AND o_totalprice <= 150000 AND o_orderkey % 7 <= 3, false) OR coalesce(o_custkey % 10 <= 2 AND o_orderkey % 5 >= 3 AND o_totalprice >= 300000, false) AS candidate FROM orders""")
+def veto_candidates(spark, sf_dir):
+    x = {"blocked": F.col("o_custkey") % 10, "positive": F.col("o_orderkey") % 5, "disagreement": F.col("o_totalprice"), "residual": F.col("o_orderkey") % 7}
+    flag = gates.veto_modes(x, {"low": 1, "high": 4, "most": 150000, "residual": 3}, {"blocked": 2, "positive": 3, "least": 300000})
+    return _read(spark, sf_dir, "orders").select("o_orderkey", flag.alias("candidate"))
+
+
+@_query(f"""WITH {_EV}, a AS (SELECT *, event_id % 8 & 1 <> 0 AND event_id % 8 & 6 = 0 OR event_id % 3 = 0 AS ok, lead(value) OVER w - value AS step, lead(t) OVER w - t AS dt FROM ev WINDOW w AS (PARTITION BY user_id, event_type ORDER BY us, event_id)),
+b AS (SELECT *, ok AND coalesce(lead(ok) OVER w, false) AND coalesce(dt > 0, false) AND coalesce(abs(step + 0.5 * (value * 0.001 + lead(value) OVER w * 0.001) * 60) > 50, false) AS bad FROM a WINDOW w AS (PARTITION BY user_id, event_type ORDER BY us, event_id)),
+c AS (SELECT *, ok AND NOT bad AND NOT coalesce(lag(bad) OVER (PARTITION BY user_id, event_type ORDER BY us, event_id), false) AS fine FROM b),
+d AS (SELECT *, fine AND coalesce(lead(fine) OVER w, false) AND coalesce(dt > 0, false) AS live, event_id % 4 / 100.0 AS u0, lead(event_id % 4 / 100.0) OVER w AS u1 FROM c WINDOW w AS (PARTITION BY user_id, event_type ORDER BY us, event_id))
+SELECT event_id, round(CASE WHEN live THEN step ELSE 0 END, 6) AS step, round(CASE WHEN live THEN 1 / greatest(CASE WHEN u0 > 0 AND u1 > 0 THEN sqrt(u0 * u0 + u1 * u1) ELSE 0.02 END, 1e-3) ^ 2 ELSE 0 END, 4) AS weight FROM d""")
+def carrier_steps(spark, sf_dir):
+    """Carrier differences with weights; a step against the rates spoils both of its ends."""
+    s = F.col("event_id") % 8
+    usable = gates.adr_usable(s) | (F.col("event_id") % 3 == 0)
+    ev = _events(spark, sf_dir).withColumns({"rate": F.col("value") * 0.001, "u": F.col("event_id") % 4 / 100.0})
+    out = gates.carrier_steps(ev, ["user_id", "event_type"], ["us", "event_id"], "t", "value", usable, "rate", "u", F.lit(60.0), 50.0)
+    return out.select("event_id", _r("step").alias("step"), _r("weight", 4).alias("weight"))

@@ -219,3 +219,17 @@ def _epochs(spark, sf_dir, off, **options):
     sats = li.select("l_orderkey", x.alias("sx"), y.alias("sy"), z.alias("sz"), F.lit(1.0).alias("w"), (F.col("l_linenumber") % 2).cast("int").alias("system"), wrong.alias("wrong"))
     pr = G.sagnac_range(*at, F.col("sx"), F.col("sy"), F.col("sz")) + 3000.0 + F.col("wrong") + F.col("system") * (12.0 if options.get("systems") else 0.0)
     return estimators.wls_positions(sats.withColumn("pr", pr), ["l_orderkey"], **options)
+
+
+@_query(None)
+def navigation_filter(spark, sf_dir):
+    """Eight-state filter over the orders of each customer: an order is an epoch, its lines are satellites."""
+    from ..streaming.navigation_filter import filter_batch
+
+    li, o = _read(spark, sf_dir, "lineitem"), _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", F.unix_seconds(F.col("o_orderdate").cast("timestamp")).cast("double").alias("t"))
+    az, el = F.radians((F.col("l_partkey") * 61 + F.col("l_linenumber") * 97) % 360), F.radians(F.col("l_suppkey") * 29 % 70 + 15)
+    at = (-3957199.0, 3310205.0, 3737911.0)
+    s = [at[0] + 2e7 * F.cos(el) * F.cos(az), at[1] + 2e7 * F.cos(el) * F.sin(az), at[2] + 2e7 * F.sin(el)]
+    sats = li.join(o, "l_orderkey").select(F.col("o_custkey").alias("track"), (F.col("t") / 86400).alias("t"), *[c.alias(f"s{a}") for a, c in zip("xyz", s)], F.lit(0.04).alias("w"))
+    d = F.sqrt(sum(((F.col(f"s{a}") - v) * (F.col(f"s{a}") - v) for a, v in zip("xyz", at)), F.lit(0.0)))
+    return filter_batch(sats.withColumn("pr", d + 3000.0), (at[0] + 50, at[1] - 50, at[2] + 20, 2900.0))

@@ -31,15 +31,57 @@ def steps(rows: pd.DataFrame, state: tuple | None, q: float, r: float) -> tuple[
     return pd.DataFrame(out, columns=["t", "position", "velocity"]), state
 
 
+class _Tracks:
+    """States of all tracks of a task in arrays; one call steps each of some tracks by one row."""
+
+    def __init__(self) -> None:
+        self.at: dict[int, int] = {}
+        self.t, self.x, self.p = np.empty(0), np.empty((0, 2)), np.empty((0, 2, 2))
+
+    def places(self, tracks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the tracks, and which of them are new."""
+        new = np.array([k not in self.at for k in tracks.tolist()])
+        for k in tracks[new].tolist():
+            self.at[k] = len(self.at)
+        if len(self.at) > len(self.t):
+            room = max(1024, 2 * len(self.at)) - len(self.t)
+            self.t, self.x, self.p = np.append(self.t, np.zeros(room)), np.vstack([self.x, np.zeros((room, 2))]), np.concatenate([self.p, np.zeros((room, 2, 2))])
+        return np.array([self.at[k] for k in tracks.tolist()], np.int64), new
+
+    def step(self, i: np.ndarray, new: np.ndarray, t: np.ndarray, z: np.ndarray, q: float, r: float) -> np.ndarray:
+        dt, x, p = t - self.t[i], self.x[i], self.p[i]
+        f = np.zeros((len(i), 2, 2))
+        f[:, 0, 0] = f[:, 1, 1] = 1.0
+        f[:, 0, 1] = dt
+        noise = q * np.stack([np.stack([dt**3 / 3, dt**2 / 2], -1), np.stack([dt**2 / 2, dt], -1)], 1)
+        x, p = np.einsum("nij,nj->ni", f, x), f @ p @ f.transpose(0, 2, 1) + noise
+        gain = p[:, :, 0] / (p[:, 0, 0] + r)[:, None]
+        x = x + gain * (z - x[:, 0])[:, None]
+        p = p - gain[:, :, None] * p[:, 0][:, None, :]
+        x[new], p[new] = np.stack([z[new], np.zeros(new.sum())], -1), np.diag([r, 1e4])
+        self.t[i], self.x[i], self.p[i] = t, x, p
+        return x
+
+
 def filter_batch(df: DataFrame, q: float = 1e-3, r: float = 1.0) -> DataFrame:
-    """Filter columns (track, t, z): parallel over tracks, in time order within each."""
+    """Filter columns (track, t, z): tracks are dealt over tasks, which take their rows in time order.
 
-    def run(key, g: pd.DataFrame) -> pd.DataFrame:
-        out, _ = steps(g, None, q, r)
-        out.insert(0, "track", key[0])
-        return out
+    A task holds one state for each of its tracks, no rows of theirs, and steps all tracks of a batch together.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        states = _Tracks()
+        for g in batches:
+            turn = g.groupby("track").cumcount().to_numpy()
+            out = np.empty((len(g), 2))
+            track, t, z = g["track"].to_numpy(), g["t"].to_numpy(float), g["z"].to_numpy(float)
+            order = np.argsort(turn, kind="stable")
+            for rows in np.split(order, np.flatnonzero(np.diff(turn[order])) + 1):
+                i, new = states.places(track[rows])
+                out[rows] = states.step(i, new, t[rows], z[rows], q, r)
+            yield pd.DataFrame({"track": track, "t": t, "position": out[:, 0], "velocity": out[:, 1]})
 
-    return df.groupBy("track").applyInPandas(run, OUT)
+    return df.select("track", "t", "z").repartition("track").sortWithinPartitions("t", "z").mapInPandas(run, OUT)
 
 
 def filter_stream(df: DataFrame, q: float = 1e-3, r: float = 1.0) -> DataFrame:
