@@ -22,8 +22,8 @@ from .simhash import link_edges
 SAMPLE, LEAST, FREQUENT = 16, 4, 1 << 18
 #: Pairs looked at in one step within a bucket.
 STEP = 1 << 20
-#: SimHash radius of the first candidates.
-RADIUS = 3
+#: SimHash radius of the first candidates, and bits of a parity word.
+RADIUS, PARITY = 3, 512
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -103,6 +103,14 @@ def set_print(s: np.ndarray) -> int:
     return int(np.packbits(total * 2 > len(s), bitorder="little").view("<i8")[0])
 
 
+def parity(s: np.ndarray) -> bytes:
+    """Bits that tell of each residue of the hashes whether an odd number of them has it.
+
+    Two sets differ in at least as many members as these bits differ.
+    """
+    return np.packbits(np.bincount(s & (PARITY - 1), minlength=PARITY) & 1).tobytes()
+
+
 def _node(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) if len(s) else 0
 
@@ -127,7 +135,7 @@ def _prefixes(width: int, num: int, den: int, frequent):
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                nodes, sizes, prints, firsts = [], [], [], []
+                nodes, sizes, prints, words, firsts = [], [], [], [], []
                 for t in text_bytes(part["t"]):
                     s = shingle_set(t, width)
                     n = len(s)
@@ -136,8 +144,10 @@ def _prefixes(width: int, num: int, den: int, frequent):
                     if nodes[-1] in seen:  # one prefix of a class is enough
                         firsts.append(s[:0])
                         prints.append(None)
+                        words.append(None)
                         continue
                     prints.append(set_print(s))
+                    words.append(parity(s))
                     if len(seen) >= 1 << 20:
                         seen.clear()
                     seen.add(nodes[-1])
@@ -147,7 +157,7 @@ def _prefixes(width: int, num: int, den: int, frequent):
                         if c.any():
                             s = s[np.argsort(c, kind="stable")]
                     firsts.append(s[: n - -(-num * n // den) + 1] if n else s)
-                yield pa.RecordBatch.from_arrays([part["id"], part["key"], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), _lists(firsts)], ["id", "key", "node", "size", "print", "prefix"])
+                yield pa.RecordBatch.from_arrays([part["id"], part["key"], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(words, pa.binary()), _lists(firsts)], ["id", "key", "node", "size", "print", "word", "prefix"])
 
     return rows
 
@@ -158,21 +168,28 @@ def _reach(size, pos, num: int, den: int):
 
 
 def _shared(batches):
-    """Rows of shingles that two or more sets hold in their prefixes, with the smallest such set as lead."""
+    """Rows of shingles that two or more sets hold in their prefixes, each with its mates: the smallest set, the next two.
+
+    In a group of near copies these few pairs join nearly all of it, so that later not all of its pairs need be met.
+    """
     for t in whole_groups(batches, ["g"]):
         t = t.take(group_bounds(*[t[c].to_numpy() for c in ("g", "place", "node")])[:-1])
         g, place = t["g"].to_numpy(), t["place"].to_numpy()
         bounds = group_bounds(g)
         n = np.diff(bounds)
-        lead = np.repeat(bounds[:-1], n)
-        some = np.repeat(n > 1, n)
-        at = lead[some]
+        lead, end = np.repeat(bounds[:-1], n), np.repeat(bounds[1:], n)
+        some = np.flatnonzero(np.repeat(n > 1, n))
+        mates = [lead[some], *[np.where(some + k < end[some], some + k, lead[some]) for k in (1, 2)]]
         cols = {"node": t["node"].to_numpy(), "size": place >> 32, "pos": place & 0xFFFFFFFF}
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g[some], *[cols[c][some] for c in cols], *[cols[c][at] for c in cols])], ["g", "node", "size", "pos", "lead", "lead_size", "lead_pos"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g[some], *[cols[c][some] for c in cols], *[cols[c][m] for m in mates for c in cols])], ["g", *cols, *[f"{c}{i}" for i in range(3) for c in cols]])
 
 
-def bucket_pairs(node: np.ndarray, size: np.ndarray, pos: np.ndarray, comp: np.ndarray, num: int, den: int):
-    """Pairs of a bucket, in order of size, that can be similar enough and are not in one component yet."""
+def bucket_pairs(node: np.ndarray, size: np.ndarray, pos: np.ndarray, comp: np.ndarray, word: np.ndarray, num: int, den: int, one: bool = False):
+    """Pairs of a bucket, in order of size, that can be similar enough and are not in one component yet.
+
+    A pair is out if its parity words differ in more bits than sets that similar can differ in members. With `one`,
+    each set has its pair with the smallest such set only.
+    """
     reach = _reach(size, pos, num, den)
     low = np.searchsorted(size, -(-num * size // den))
     high = np.minimum(np.arange(len(size)), np.searchsorted(size, reach, "right"))
@@ -184,20 +201,29 @@ def bucket_pairs(node: np.ndarray, size: np.ndarray, pos: np.ndarray, comp: np.n
         a = np.repeat(np.arange(start, stop), k)
         b = np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k) + low[a]
         fine = (size[a] <= reach[b]) & (comp[a] != comp[b])
-        if fine.any():
-            yield node[a[fine]], node[b[fine]]
+        a, b = a[fine], b[fine]
+        for i in range(0, len(a), 1 << 16):
+            x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
+            on = np.bitwise_count(word[x] ^ word[y]).sum(axis=1, dtype=np.int64) * (num + den) <= (size[x] + size[y]) * (den - num)
+            x, y = x[on], y[on]
+            if one and len(x):
+                first = np.append(True, x[1:] != x[:-1])
+                x, y = x[first], y[first]
+            if len(x):
+                yield node[x], node[y]
         start = stop
 
 
-def _pairs(num: int, den: int):
+def _pairs(num: int, den: int, one: bool):
     def rows(batches):
         for t in whole_groups(batches, ["g"]):
             g, node, size, pos, comp = (t[c].to_numpy() for c in ("g", "node", "size", "pos", "comp"))
+            word = np.frombuffer(b"".join(t["word"].to_pylist()), np.uint64).reshape(len(g), -1)
             bounds, held, n = group_bounds(g), [], 0
             for s, e in zip(bounds[:-1], bounds[1:]):
                 if (comp[s:e] == comp[s]).all():
                     continue
-                for a, b in bucket_pairs(node[s:e], size[s:e], pos[s:e], comp[s:e], num, den):
+                for a, b in bucket_pairs(node[s:e], size[s:e], pos[s:e], comp[s:e], word[s:e], num, den, one):
                     held.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
                     n += len(a)
                     if n >= STEP:
@@ -245,7 +271,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     frequent (by a sample; any order is right), and two sets of that similarity share one in the prefixes of a
     (1 - num/den) part of each; so every such pair is a candidate, and each candidate is decided on the whole sets.
     First meet the sets whose SimHash is within the radius (each pair of such prints shares a table), and in a prefix
-    bucket each set and the smallest; then all those of a bucket that are not in one component yet. Equal sets are one
+    bucket each set with the smallest and the next two; then all those of a bucket that are not in one component yet. Equal sets are one
     class from the start. Null or blank text: the empty set, similar to none but its like. Ids not null.
     """
     spark = docs.sparkSession
@@ -254,26 +280,34 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     often = part.select(F.explode("h").alias("g")).groupBy("g").count().where(F.col("count") >= least)
     often = often.orderBy(F.desc("count"), "g").limit(FREQUENT).toArrow().sort_by("g")
     frequent = spark.sparkContext.broadcast((often["g"].to_numpy(), often["count"].to_numpy()))
-    full = stored(base.select("id", "key", "t").mapInArrow(_prefixes(width, num, den, frequent), "id long, key long, node long, size long, print long, prefix array<long>"), "prefixes")
+    full = stored(base.select("id", "key", "t").mapInArrow(_prefixes(width, num, den, frequent), "id long, key long, node long, size long, print long, word binary, prefix array<long>"), "prefixes")
     prints = stored(full.select("id", "key", "node"), "prints")
-    classes = stored(full.groupBy("node").agg(F.min(F.struct("id", "key")).alias("low"), F.max("print").alias("fp0")), "classes")
+    classes = stored(full.groupBy("node").agg(F.min(F.struct("id", "key")).alias("low"), F.max("print").alias("fp0"), F.max("word").alias("word")), "classes")
     posts = full.select("node", "size", F.posexplode("prefix").alias("pos", "g")).select("g", (F.shiftleft("size", 32) + F.col("pos")).alias("place"), "node")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     fields = "g long, node long, size long, pos long"
     by_shingle = posts.repartition(n, "g").sortWithinPartitions("g", "place", "node")
-    shared = stored(by_shingle.mapInArrow(_shared, f"{fields}, lead long, lead_size long, lead_pos long"), "shared")
+    shared = stored(by_shingle.mapInArrow(_shared, fields + "".join(f", node{i} long, size{i} long, pos{i} long" for i in range(3))), "shared")
     drop_stored(full)
-    fits = (F.col("lead_size") * den >= F.col("size") * num) & ((F.col("size") + F.col("lead_size")) * num <= F.least(F.col("size") - F.col("pos"), F.col("lead_size") - F.col("lead_pos")) * (num + den))
-    leads = shared.where(fits & (F.col("node") != F.col("lead"))).select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
+    mates = shared.select("node", "size", "pos", F.explode(F.array(*[F.struct(F.col(f"node{i}").alias("node"), F.col(f"size{i}").alias("size"), F.col(f"pos{i}").alias("pos")) for i in range(3)])).alias("m"))
+    small, large = F.least("size", "m.size"), F.greatest("size", "m.size")
+    fits = (small * den >= large * num) & ((F.col("size") + F.col("m.size")) * num <= F.least(F.col("size") - F.col("pos"), F.col("m.size") - F.col("m.pos")) * (num + den))
+    leads = mates.where(fits & (F.col("node") != F.col("m.node"))).select(F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b"))
     close = link_edges(classes.select("node", "fp0"), radius).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     first = stored(leads.union(close).distinct(), "first-pairs")
     links = _similar(first, base, classes, width, num, den, "first")
     comp = components(links, name="first-cc")
-    rest = shared.select("g", "node", "size", "pos").join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    rest = rest.repartition(n, "g").sortWithinPartitions("g", "size", "node").select("g", "node", "size", "pos", "comp")
-    rest = rest.mapInArrow(_pairs(num, den), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
-    links = links.unionByName(_similar(stored(rest, "other-pairs"), base, classes, width, num, den, "other"))
-    comp = components(links, name="similar")
+    done = first.select("a", "b")
+    for one, name in ((True, "next"), (False, "other")):  # one pair for each set of a bucket, then all that are left
+        known = classes.select("node", "word").join(comp, "node", "left").select("node", "word", F.coalesce("component", "node").alias("comp"))
+        rest = shared.select("g", "node", "size", "pos").join(known, "node")
+        # buckets that are one component by now have nothing left to tell
+        apart = rest.groupBy("g").agg((F.min("comp") != F.max("comp")).alias("apart")).where("apart").select("g")
+        rest = rest.join(apart, "g").repartition(n, "g").sortWithinPartitions("g", "size", "node").select("g", "node", "size", "pos", "comp", "word")
+        pairs = stored(rest.mapInArrow(_pairs(num, den, one), "a long, b long").distinct().join(done, ["a", "b"], "left_anti"), f"{name}-pairs")
+        links = links.unionByName(_similar(pairs, base, classes, width, num, den, name))
+        comp = components(links, name=f"{name}-cc")
+        done = done.unionByName(pairs)
     joined = classes.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     roots = joined.groupBy("component").agg(F.min("low.id").alias("component_id"))
     return prints.select("id", "node").join(joined.join(roots, "component").select("node", "component_id"), "node").select("id", "component_id")
