@@ -64,10 +64,10 @@ def dilution_of_precision(spark, sf_dir):
 
 @_query("""WITH r AS (SELECT user_id, (value - 50) / 20 AS r, 1.0 + event_id % 3 AS w FROM events), s AS (SELECT user_id, count(*) AS n, sum(w * r * r) AS s FROM r GROUP BY user_id), t AS (SELECT sqrt(-2 * ln(1e-3)) AS t),
 z AS (SELECT t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t) AS z FROM t)
-SELECT user_id, n, round(s, 6) AS statistic, round((n - 4) * pow(1 - 2 / (9.0 * (n - 4)) + z * sqrt(2 / (9.0 * (n - 4))), 3), 6) AS threshold, s <= (n - 4) * pow(1 - 2 / (9.0 * (n - 4)) + z * sqrt(2 / (9.0 * (n - 4))), 3) AS ok FROM s, z WHERE n > 4""")
+SELECT user_id, n, round(s, 4) AS statistic, round((n - 4) * pow(1 - 2 / (9.0 * (n - 4)) + z * sqrt(2 / (9.0 * (n - 4))), 3), 6) AS threshold, s <= (n - 4) * pow(1 - 2 / (9.0 * (n - 4)) + z * sqrt(2 / (9.0 * (n - 4))), 3) AS ok FROM s, z WHERE n > 4""")
 def integrity_check(spark, sf_dir):
     rows = _read(spark, sf_dir, "events").select("user_id", ((F.col("value") - 50) / 20).alias("r"), (1.0 + F.col("event_id") % 3).alias("w"))
-    return estimators.integrity(rows, ["user_id"], "r", "w").where("n > 4").select("user_id", "n", _r("statistic").alias("statistic"), _r("threshold").alias("threshold"), "ok")
+    return estimators.integrity(rows, ["user_id"], "r", "w").where("n > 4").select("user_id", "n", _r("statistic", 4).alias("statistic"), _r("threshold").alias("threshold"), "ok")
 
 
 @_query("""SELECT user_id, event_type, round(sum(value * (event_id % 4)) / sum(event_id % 4), 6) AS clock, count(*) AS n FROM events WHERE event_id % 4 > 0 AND value IS NOT NULL GROUP BY ALL""")

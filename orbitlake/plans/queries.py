@@ -282,9 +282,9 @@ def _geo(spark, sf_dir):
     return out.withColumns({"x": x, "y": y, "z": z})
 
 
-@_query(f"WITH {_GEO}, {_XYZ} SELECT c_custkey, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z FROM x")
+@_query(f"WITH {_GEO}, {_XYZ} SELECT c_custkey, round(x, 3) + 0.0 AS x, round(y, 3) + 0.0 AS y, round(z, 3) + 0.0 AS z FROM x")
 def geodetic_to_ecef(spark, sf_dir):
-    return _geo(spark, sf_dir).select("c_custkey", *[_r(c, 3).alias(c) for c in "xyz"])
+    return _geo(spark, sf_dir).select("c_custkey", *[(_r(c, 3) + 0.0).alias(c) for c in "xyz"])
 
 
 @_query(f"WITH {_GEO} SELECT c_custkey, round(lat, 8) AS lat, round(lon, 8) AS lon, round(alt, 3) AS alt FROM g")
