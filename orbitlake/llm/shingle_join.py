@@ -264,6 +264,17 @@ def _similar(pairs: DataFrame, base: DataFrame, classes: DataFrame, width: int,
     return links
 
 
+def _joined(known: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """(node, word, comp) with the components that the links join made one.
+
+    Only components that a link touches are looked at, each as one node; its smallest node stays its name.
+    """
+    of = lambda c: known.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
+    edges = links.join(of("a"), "a").join(of("b"), "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
+    up = components(edges, name=f"{name}-cc").select(F.col("node").alias("comp"), "component")
+    return stored(known.join(up, "comp", "left").select("node", "word", F.coalesce("component", "comp").alias("comp")), f"{name}-known")
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 4, den: int = 5, radius: int = RADIUS, sample: int = SAMPLE, least: int = LEAST) -> DataFrame:
     """(id, component_id) for each row: the smallest id reachable over pairs whose shingle sets are num/den similar or more.
 
@@ -296,18 +307,17 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     close = link_edges(classes.select("node", "fp0"), radius).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     first = stored(leads.union(close).distinct(), "first-pairs")
     links = _similar(first, base, classes, width, num, den, "first")
-    comp = components(links, name="first-cc")
+    known = _joined(classes.select("node", "word", F.col("node").alias("comp")), links, "first")
     done = first.select("a", "b")
     for one, name in ((True, "next"), (False, "other")):  # one pair for each set of a bucket, then all that are left
-        known = classes.select("node", "word").join(comp, "node", "left").select("node", "word", F.coalesce("component", "node").alias("comp"))
         rest = shared.select("g", "node", "size", "pos").join(known, "node")
         # buckets that are one component by now have nothing left to tell
         apart = rest.groupBy("g").agg((F.min("comp") != F.max("comp")).alias("apart")).where("apart").select("g")
         rest = rest.join(apart, "g").repartition(n, "g").sortWithinPartitions("g", "size", "node").select("g", "node", "size", "pos", "comp", "word")
         pairs = stored(rest.mapInArrow(_pairs(num, den, one), "a long, b long").distinct().join(done, ["a", "b"], "left_anti"), f"{name}-pairs")
-        links = links.unionByName(_similar(pairs, base, classes, width, num, den, name))
-        comp = components(links, name=f"{name}-cc")
+        links = _similar(pairs, base, classes, width, num, den, name)
+        known = _joined(known, links, name)
         done = done.unionByName(pairs)
-    joined = classes.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    joined = classes.select("node", "low").join(known.select("node", F.col("comp").alias("component")), "node")
     roots = joined.groupBy("component").agg(F.min("low.id").alias("component_id"))
     return prints.select("id", "node").join(joined.join(roots, "component").select("node", "component_id"), "node").select("id", "component_id")
