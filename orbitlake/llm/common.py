@@ -98,6 +98,15 @@ def spread(column: str):
     return F.pmod(F.xxhash64(column), F.lit(1 << 52)) / float(1 << 52)
 
 
+def together(*columns: str):
+    """What to give repartition() so that the rows of a group come into one task, also behind a join on the same columns.
+
+    By the columns themselves Spark leaves the step out there, as the join is dealt by them already, and then may split
+    the join's large groups over tasks.
+    """
+    return F.xxhash64(*columns)
+
+
 def group_bounds(*columns: np.ndarray) -> np.ndarray:
     """Starts of the runs of equal keys, with the length at the end."""
     n = len(columns[0])

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, carried, group_bounds, renamed, stored, text_bytes, whole_groups
+from .common import SPACE_BYTES, carried, group_bounds, renamed, stored, text_bytes, together, whole_groups
 
 #: Keys in a shard of the index, about; a shard is built in one task.
 SHARD_KEYS = 200_000
@@ -145,7 +145,7 @@ def line_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     shards = max(1, -(-common.count() // SHARD_KEYS))
     by = common.withColumn("shard", F.pmod("h1", F.lit(shards)))
-    parts = by.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_build, "shard long, blob binary, size long")
+    parts = by.repartition(shards, together("shard")).sortWithinPartitions("shard").mapInArrow(_build, "shard long, blob binary, size long")
     return stored(parts, "line-index"), shards
 
 
@@ -270,7 +270,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         # the same (shard, salt) must not share a run with another: shard and salt in one key
         met = met.withColumn("shard", F.col("shard") * salts + F.col("salt"))
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards)
-        hits = met.repartition(parts, "shard").sortWithinPartitions("shard", "first").drop("salt", "first").mapInArrow(_answer(min_docs), "key long, key2 long, at int")
+        hits = met.repartition(parts, together("shard")).sortWithinPartitions("shard", "first").drop("salt", "first").mapInArrow(_answer(min_docs), "key long, key2 long, at int")
         gone = hits.groupBy("key", "key2").agg(F.collect_set("at").alias("gone"))
         out = keyed.join(gone, ["key", "key2"], "left").drop("key", "key2").mapInArrow(_drop(min_chars), schema)
     return renamed(out.withColumnRenamed("t", "__text"), names).drop("__id").withColumnRenamed("__text", text_col)

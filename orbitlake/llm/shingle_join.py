@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop_stored, group_bounds, stored, text_bytes, whole_groups
+from .common import components, drop_stored, group_bounds, stored, text_bytes, together, whole_groups
 from .simhash import link_edges
 
 #: Shingles that many sampled documents hold come last in the order; at most FREQUENT of them are told apart.
@@ -297,7 +297,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     posts = full.select("node", "size", F.posexplode("prefix").alias("pos", "g")).select("g", (F.shiftleft("size", 32) + F.col("pos")).alias("place"), "node")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     fields = "g long, node long, size long, pos long"
-    by_shingle = posts.repartition(n, "g").sortWithinPartitions("g", "place", "node")
+    by_shingle = posts.repartition(n, together("g")).sortWithinPartitions("g", "place", "node")
     shared = stored(by_shingle.mapInArrow(_shared, fields + "".join(f", node{i} long, size{i} long, pos{i} long" for i in range(3))), "shared")
     drop_stored(full)
     mates = shared.select("node", "size", "pos", F.explode(F.array(*[F.struct(F.col(f"node{i}").alias("node"), F.col(f"size{i}").alias("size"), F.col(f"pos{i}").alias("pos")) for i in range(3)])).alias("m"))
@@ -313,7 +313,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rest = shared.select("g", "node", "size", "pos").join(known, "node")
         # buckets that are one component by now have nothing left to tell
         apart = rest.groupBy("g").agg((F.min("comp") != F.max("comp")).alias("apart")).where("apart").select("g")
-        rest = rest.join(apart, "g").repartition(n, "g").sortWithinPartitions("g", "size", "node").select("g", "node", "size", "pos", "comp", "word")
+        rest = rest.join(apart, "g").repartition(n, together("g")).sortWithinPartitions("g", "size", "node").select("g", "node", "size", "pos", "comp", "word")
         pairs = stored(rest.mapInArrow(_pairs(num, den, one), "a long, b long").distinct().join(done, ["a", "b"], "left_anti"), f"{name}-pairs")
         links = _similar(pairs, base, classes, width, num, den, name)
         known = _joined(known, links, name)

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, group_bounds, stored, text_bytes, whole_groups
+from .common import components, group_bounds, stored, text_bytes, together, whole_groups
 
 BITS = 64
 #: Distinct fingerprints of a bucket beyond which it is dealt out again by a second mask family on its free bits.
@@ -147,7 +147,7 @@ def link_edges(fps: DataFrame, radius: int, blocks: int = 1, both: int | None =
         split = split.select((F.lit(-1) - F.col("m0") * len(rest) - F.col("m")).alias("m"), F.xxhash64("k0", "k").alias("k"), *cols)
         tables = calm.unionByName(split)
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return tables.repartition(n, "m", "k").sortWithinPartitions("m", "k").mapInArrow(_links(radius, both, second), "a long, b long")
+    return tables.repartition(n, together("m", "k")).sortWithinPartitions("m", "k").mapInArrow(_links(radius, both, second), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, blocks: int = 1, both: int | None = None, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:

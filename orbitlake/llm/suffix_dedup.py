@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, drop_stored, group_bounds, renamed, stored, text_bytes, whole_groups
+from .common import carried, drop_stored, group_bounds, renamed, stored, text_bytes, together, whole_groups
 
 ANCHOR_BYTES = 40
 #: Different contexts of one anchor string beyond which its windows are counted by hash instead, which Spark spreads.
@@ -322,7 +322,7 @@ def repeat_groups(docs: DataFrame, text_col: str = "text", min_bytes: int = 200,
     """
     texts = _keyed(docs, text_col)
     found = _candidates(texts, min_bytes, anchor_bytes)
-    around = _contexts_of(texts, found, min_bytes, anchor_bytes).repartition("h").sortWithinPartitions("h")
+    around = _contexts_of(texts, found, min_bytes, anchor_bytes).repartition(together("h")).sortWithinPartitions("h")
     told = around.mapInArrow(_told(min_bytes), "h long, g long, c long, lead long, depth long")
     named = told.select(F.xxhash64("h", "g").alias("group"), "h", "c", "lead", "depth")
     full = found.where("times > 1").select(F.xxhash64("h", "c").alias("group"), "h", "c", F.least("at", F.lit(min_bytes - anchor_bytes)).alias("lead"), F.least(F.col("n") - F.col("at"), F.lit(min_bytes)).alias("depth")).distinct()
@@ -350,7 +350,7 @@ def dedup_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         again = runs.groupBy("h", "lead", "r1", "r2").count().where("count > 1")
         wide = runs.join(again, ["h", "lead", "r1", "r2"]).groupBy("h", "c").agg(F.max("lead").alias("lead"), (F.lit(min_bytes) - F.min("lead")).alias("depth"))
         around = around.join(hot, "h", "left_anti")
-    covers = around.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_covers(min_bytes), "h long, c long, lead long, depth long")
+    covers = around.repartition(n, together("h")).sortWithinPartitions("h").mapInArrow(_covers(min_bytes), "h long, c long, lead long, depth long")
     if hot.count():
         covers = covers.union(wide.select("h", "c", "lead", "depth"))
     whole = F.col("times") > 1

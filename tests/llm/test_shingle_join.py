@@ -2,7 +2,9 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from orbitlake.llm.common import together
 from orbitlake.llm.shingle_join import similar_groups
 
 SCHEMA = "doc_id long, text string"
@@ -64,3 +66,20 @@ def test_groups_match_brute_force(spark, sample, least):
 
 def test_groups_of_an_empty_table(spark):
     assert similar_groups(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_groups_stay_together_behind_a_split_join(spark):
+    conf = {"autoBroadcastJoinThreshold": "-1", "adaptive.autoBroadcastJoinThreshold": "-1", "adaptive.coalescePartitions.enabled": "false", "adaptive.advisoryPartitionSizeInBytes": "16k", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "adaptive.skewJoin.skewedPartitionFactor": "1.0"}
+    was = {k: spark.conf.get(f"spark.sql.{k}", None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(f"spark.sql.{k}", v)
+    try:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = spark.range(0, 60000, 1, 8).select(F.when(F.col("id") % 2 == 0, F.lit(5)).otherwise(F.col("id") % 50).alias("g"), F.col("id").alias("x"))
+        met = rows.join(spark.range(50).select(F.col("id").alias("g"), F.rand().alias("y")), "g")
+        dealt = met.repartition(n, together("g")).sortWithinPartitions("g").mapInArrow(lambda batches: batches, met.schema)
+        tasks = dealt.select("g", F.spark_partition_id().alias("p")).distinct()
+        assert tasks.count() == 25
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(f"spark.sql.{k}") if v is None else spark.conf.set(f"spark.sql.{k}", v)
