@@ -201,7 +201,7 @@ def wls_positions(meas: DataFrame, by: list[str], sagnac: bool = True, rounds: i
         if held is not None and len(held):
             yield solve(held)
 
-    return meas.select(*by, "sx", "sy", "sz", "pr", "w", *(["system"] if systems > 1 else [])).repartition(*by).sortWithinPartitions(*by).mapInPandas(run, schema)
+    return meas.select(*by, "sx", "sy", "sz", "pr", "w", *(["system"] if systems > 1 else [])).repartition(F.xxhash64(*by)).sortWithinPartitions(*by).mapInPandas(run, schema)
 
 
 def dilution(meas: DataFrame, by: list[str], azimuth: str, elevation: str) -> DataFrame:

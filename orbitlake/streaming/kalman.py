@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
 OUT = "track long, t double, position double, velocity double"
@@ -81,7 +82,8 @@ def filter_batch(df: DataFrame, q: float = 1e-3, r: float = 1.0) -> DataFrame:
                 out[rows] = states.step(i, new, t[rows], z[rows], q, r)
             yield pd.DataFrame({"track": track, "t": t, "position": out[:, 0], "velocity": out[:, 1]})
 
-    return df.select("track", "t", "z").repartition("track").sortWithinPartitions("t", "z").mapInPandas(run, OUT)
+    # by a hash, as Spark leaves a repartition out behind a join by track and may then split its tracks
+    return df.select("track", "t", "z").repartition(F.xxhash64("track")).sortWithinPartitions("t", "z").mapInPandas(run, OUT)
 
 
 def filter_stream(df: DataFrame, q: float = 1e-3, r: float = 1.0) -> DataFrame:

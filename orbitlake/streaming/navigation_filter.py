@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
 OUT = "track long, t double, n int, x double, y double, z double, vx double, vy double, vz double, clock double, drift double"
@@ -81,7 +82,7 @@ def filter_batch(df: DataFrame, origin: tuple, noise: tuple = NOISE) -> DataFram
             k = held["track"].iloc[0]
             yield _frame(k, epochs(held, state if k == track else None, origin, noise)[0])
 
-    return df.select("track", "t", "sx", "sy", "sz", "pr", "w").repartition("track").sortWithinPartitions("track", "t").mapInPandas(run, OUT)
+    return df.select("track", "t", "sx", "sy", "sz", "pr", "w").repartition(F.xxhash64("track")).sortWithinPartitions("track", "t").mapInPandas(run, OUT)
 
 
 def filter_stream(df: DataFrame, origin: tuple, noise: tuple = NOISE) -> DataFrame:
