@@ -1,4 +1,4 @@
-"""The queries of this subpackage: op1 to op10 over the whole tables, and their SQL where SQL can say it."""
+"""The queries of this subpackage: op1 to op13 over the whole tables, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -170,6 +170,102 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(_fold() == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_middle import fill_in_middle, restored
+
+    out = fill_in_middle(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    sha = lambda c: F.sha2(c, 256)
+    lengths = [F.length(c).cast("long").alias(f"{c}_chars") for c in ("prefix", "middle")]
+    return out.select("doc_id", "n", "form", *lengths, sha("output").alias("output_sha256"), sha(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+OP11_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+h AS (SELECT doc_id, t, u, len(u)::BIGINT AS n, list_transform(range(4), lambda i: ('0x' || substr(h, (8 * i + 1)::INT, 8))::BIGINT) AS h FROM d),
+c AS (SELECT doc_id, t, u, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:n], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical_search import ranked_search
+
+    out = ranked_search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return out.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+OP12_SQL = """
+WITH words AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+sizes AS (SELECT doc_id, count(*)::BIGINT AS n FROM words GROUP BY doc_id),
+whole AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_all FROM sizes),
+asked AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)),
+posted AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM words WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weighed AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM posted CROSS JOIN whole GROUP BY term, n_docs),
+gains AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_all))) AS gain FROM posted JOIN weighed USING (term) JOIN sizes USING (doc_id) CROSS JOIN whole),
+scores AS (SELECT item_id, doc_id, sum(gain)::BIGINT AS score FROM asked JOIN gains USING (term) GROUP BY ALL HAVING sum(gain) > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores) WHERE rank <= 10
+"""
+
+
+def op13_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import fit, labelled_strings, scan
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = scan(docs, fit(labelled_strings(docs)))
+    told = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    many = lambda k: F.size(F.filter("secrets", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    base = told(F.filter("secrets", lambda x: x["kind"] != "random"))
+    return found.select("doc_id", many("assign"), many("access"), many("hex"), F.sha2(base, 256).alias("base_sha256"), told(F.col("secrets")).alias("spans"))
+
+
+def _op13_sql() -> str:
+    from .secrets import ACCESS, ALPHABET, ASSIGN, ASSIGN_LEAST, HEX, LEARN_LEAST, LEARNED, LEAST_MEAN, LEAST_RATIO, PRIOR, RUN, SCORE_LEAST, TRAIN_ROWS
+
+    size = len(ALPHABET)
+    quoted = {k: p.replace("'", "''") for k, p in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("runs", f"{RUN}{{{SCORE_LEAST},}}"))}
+
+    def matches(kind: str) -> str:
+        p = quoted[kind]
+        return f"""
+{kind} AS (SELECT rid, e - len(m) AS s, e, m, v FROM (SELECT rid, m, v, sum(len(gap) + len(m)) OVER (PARTITION BY rid ORDER BY i) AS e
+  FROM (SELECT rid, unnest(f) AS m, unnest(v) AS v, unnest(g[1:len(f)]) AS gap, unnest(range(len(f))) AS i
+    FROM (SELECT rid, regexp_extract_all(t, '{p}') AS f, regexp_extract_all(t, '{p}', {2 if kind == "assign" else 0}) AS v, string_split_regex(t, '{p}') AS g FROM d)))
+  {f"WHERE len(v) >= {ASSIGN_LEAST}" if kind == "assign" else ""}),"""
+
+    rest = "t"
+    for kind in ("assign", "access", "hex"):
+        rest = f"regexp_replace({rest}, '{quoted[kind]}', ' ', 'g')"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS rid FROM documents),{"".join(map(matches, quoted))}
+base AS (SELECT rid, 0 AS k, s, e, v FROM assign UNION ALL SELECT rid, 1, s, e, v FROM access UNION ALL SELECT rid, 2, s, e, v FROM hex),
+n AS (SELECT count(*) AS n FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+chosen AS (SELECT d.* FROM d, n WHERE doc_id IS NOT NULL AND (n <= {TRAIN_ROWS} OR ('0x' || substr(sha256(doc_id::VARCHAR), 1, 8))::BIGINT * n < {TRAIN_ROWS << 32})),
+samples AS (SELECT v, max(label) AS label FROM (
+  SELECT v, 1 AS label FROM base JOIN chosen USING (rid)
+  UNION ALL SELECT unnest(regexp_extract_all({rest}, '{RUN}{{{LEARN_LEAST},64}}')), 0 FROM chosen) WHERE len(v) >= {LEARN_LEAST} GROUP BY v),
+counts AS (SELECT label, a, b, count(*) AS n FROM (SELECT label, instr('{ALPHABET}', v[i]) AS a, instr('{ALPHABET}', v[i + 1]) AS b
+  FROM (SELECT label, v, unnest(range(1, len(v))) AS i FROM samples)) WHERE a > 0 AND b > 0 GROUP BY label, a, b),
+sums AS (SELECT label, a, sum(n) AS n FROM counts GROUP BY ALL),
+places AS (SELECT range AS a FROM range(1, {size + 1})),
+ratios AS (SELECT x.a, y.a AS b, floor(1000 * ln(({LEARNED} * ((coalesce(c1.n, 0) + {PRIOR / size!r}::DOUBLE) / (coalesce(s1.n, 0) + {PRIOR}::DOUBLE)) + {(1 - LEARNED) / size!r}::DOUBLE)
+    / ((coalesce(c0.n, 0) + {PRIOR / size!r}::DOUBLE) / (coalesce(s0.n, 0) + {PRIOR}::DOUBLE))) + 0.5)::BIGINT AS r
+  FROM places x CROSS JOIN places y LEFT JOIN counts c1 ON c1.label = 1 AND c1.a = x.a AND c1.b = y.a LEFT JOIN counts c0 ON c0.label = 0 AND c0.a = x.a AND c0.b = y.a
+  LEFT JOIN sums s1 ON s1.label = 1 AND s1.a = x.a LEFT JOIN sums s0 ON s0.label = 0 AND s0.a = x.a),
+pairs AS (SELECT rid, s, e, instr('{ALPHABET}', m[i]) AS a, instr('{ALPHABET}', m[i + 1]) AS b FROM (SELECT *, unnest(range(1, len(m))) AS i FROM runs)),
+random AS (SELECT rid, s, e FROM pairs JOIN ratios USING (a, b) GROUP BY rid, s, e HAVING sum(r) >= {LEAST_RATIO} AND sum(r) >= {LEAST_MEAN} * (e - s - 1)),
+told AS (SELECT rid, k, s, e FROM base UNION ALL SELECT rid, 3, s, e FROM random WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.rid = random.rid AND base.s <= random.s AND base.e >= random.e)),
+named AS (SELECT *, ['assign', 'access', 'hex', 'random'][k + 1] || ':' || s::BIGINT || ':' || e::BIGINT AS x FROM told)
+SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
+       sha256(coalesce(string_agg(x, ',' ORDER BY s, k, e) FILTER (WHERE k < 3), '')) AS base_sha256, coalesce(string_agg(x, ',' ORDER BY s, k, e), '') AS spans
+FROM d LEFT JOIN named USING (rid) GROUP BY rid, doc_id
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -178,7 +274,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc, op2_suffix_array_dedup, op3_quality_rules, op4_line_dedup, op5_toxicity, op6_embedding_near_dedup, op7_simhash_near_dedup, op8_packing, op9_sentencepiece, op10_language_id, pipeline)
+    for f in (op1_warc, op2_suffix_array_dedup, op3_quality_rules, op4_line_dedup, op5_toxicity, op6_embedding_near_dedup, op7_simhash_near_dedup, op8_packing, op9_sentencepiece, op10_language_id, op11_fill_in_middle, op12_lexical_search, op13_secret_scans, pipeline)
 }
 
-SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op3_quality_rules": _op3_sql(), "op4_line_dedup": OP4_SQL, "op6_embedding_near_dedup": OP6_SQL}
+SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op3_quality_rules": _op3_sql(), "op4_line_dedup": OP4_SQL, "op6_embedding_near_dedup": OP6_SQL, "op11_fill_in_middle": OP11_SQL, "op12_lexical_search": OP12_SQL, "op13_secret_scans": _op13_sql()}
