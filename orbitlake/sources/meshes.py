@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Triangles of a mesh that go to every task at most: 72 bytes each.
-MOST_TRIANGLES = 1_000_000
+from ..operators.rays import sight_lines
+
 _CORNERS = [f"{c}{i}" for i in range(3) for c in "xyz"]
 _SCHEMA = ", ".join(f"{c} double" for c in _CORNERS)
 
@@ -68,19 +68,5 @@ def hits(origin: np.ndarray, target: np.ndarray, mesh: np.ndarray) -> np.ndarray
 
 
 def line_of_sight(rays: DataFrame, mesh: DataFrame) -> DataFrame:
-    """Rays (rx, ry, rz to sx, sy, sz) with `los`: no triangle of the mesh (x0..z2) is in between.
-
-    The mesh goes to every task up to MOST_TRIANGLES; a larger one is an error, to be cut by area first.
-    """
-    n = mesh.count()
-    if n > MOST_TRIANGLES:
-        raise ValueError(f"{n} triangles are too many for one mesh")
-    table = mesh.select(*_CORNERS).toPandas().to_numpy(float).reshape(-1, 3, 3)
-    shared = rays.sparkSession.sparkContext.broadcast(table)
-
-    @F.pandas_udf("boolean")
-    def clear(p: pd.DataFrame) -> pd.Series:
-        x = p.to_numpy(float)
-        return pd.Series(~hits(x[:, :3], x[:, 3:], shared.value))
-
-    return rays.withColumn("los", clear(F.struct("rx", "ry", "rz", "sx", "sy", "sz")))
+    """Rays (rx, ry, rz to sx, sy, sz) with `los`: no triangle of the mesh (x0..z2) is in between; meshes of any size."""
+    return sight_lines(rays, mesh)
