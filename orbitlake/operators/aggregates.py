@@ -60,7 +60,7 @@ def carrier_to_noise(df: DataFrame, by: list[str], inphase: str, quadrature: str
     """C/N0 in dB-Hz from the ratio of narrow to wide power of a channel's correlations; 0 where it can't be told."""
     i, q = F.col(inphase), F.col(quadrature)
     s = df.groupBy(*by).agg(F.count("*").alias("__n"), F.sum(i).alias("__i"), F.sum(q).alias("__q"), F.sum(i * i + q * q).alias("__p"))
-    ratio = (F.col("__i") * F.col("__i") + F.col("__q") * F.col("__q")) / F.col("__p")
+    ratio = (F.col("__i") * F.col("__i") + F.col("__q") * F.col("__q")) / F.nullif(F.col("__p"), F.lit(0.0))
     told = (ratio > 1.0) & (ratio < F.col("__n"))
     return s.select(*by, F.when(told, 10.0 * F.log10((ratio - 1.0) / (F.col("__n") - ratio) / interval)).otherwise(F.lit(0.0)).alias("cn0"))
 

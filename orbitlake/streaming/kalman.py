@@ -67,7 +67,8 @@ class _Tracks:
 def filter_batch(df: DataFrame, q: float = 1e-3, r: float = 1.0) -> DataFrame:
     """Filter columns (track, t, z): tracks are dealt over tasks, which take their rows in time order.
 
-    A task holds one state for each of its tracks, no rows of theirs, and steps all tracks of a batch together.
+    A task holds one state for each of its tracks, no rows of theirs, and steps all tracks of a batch together. Rows of
+    a null track are left out, in the stream too.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -83,7 +84,7 @@ def filter_batch(df: DataFrame, q: float = 1e-3, r: float = 1.0) -> DataFrame:
             yield pd.DataFrame({"track": track, "t": t, "position": out[:, 0], "velocity": out[:, 1]})
 
     # by a hash, as Spark leaves a repartition out behind a join by track and may then split its tracks
-    return df.select("track", "t", "z").repartition(F.xxhash64("track")).sortWithinPartitions("t", "z").mapInPandas(run, OUT)
+    return df.select("track", "t", "z").where("track is not null").repartition(F.xxhash64("track")).sortWithinPartitions("t", "z").mapInPandas(run, OUT)
 
 
 def filter_stream(df: DataFrame, q: float = 1e-3, r: float = 1.0) -> DataFrame:
@@ -100,4 +101,4 @@ def filter_stream(df: DataFrame, q: float = 1e-3, r: float = 1.0) -> DataFrame:
         out.insert(0, "track", key[0])
         yield out
 
-    return df.groupBy("track").applyInPandasWithState(run, OUT, _STATE, "append", "NoTimeout")
+    return df.where("track is not null").groupBy("track").applyInPandasWithState(run, OUT, _STATE, "append", "NoTimeout")

@@ -63,7 +63,10 @@ def _frame(track, out: list) -> pd.DataFrame:
 
 
 def filter_batch(df: DataFrame, origin: tuple, noise: tuple = NOISE) -> DataFrame:
-    """Columns track, t, sx, sy, sz, pr, w. Rows come sorted by track and time; a task holds one epoch and one state."""
+    """Columns track, t, sx, sy, sz, pr, w. Rows come sorted by track and time; a task holds one epoch and one state.
+
+    Rows of a null track are left out, in the stream too.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, track, state = None, None, None
@@ -82,7 +85,7 @@ def filter_batch(df: DataFrame, origin: tuple, noise: tuple = NOISE) -> DataFram
             k = held["track"].iloc[0]
             yield _frame(k, epochs(held, state if k == track else None, origin, noise)[0])
 
-    return df.select("track", "t", "sx", "sy", "sz", "pr", "w").repartition(F.xxhash64("track")).sortWithinPartitions("track", "t").mapInPandas(run, OUT)
+    return df.select("track", "t", "sx", "sy", "sz", "pr", "w").where("track is not null").repartition(F.xxhash64("track")).sortWithinPartitions("track", "t").mapInPandas(run, OUT)
 
 
 def filter_stream(df: DataFrame, origin: tuple, noise: tuple = NOISE) -> DataFrame:
@@ -101,4 +104,4 @@ def filter_stream(df: DataFrame, origin: tuple, noise: tuple = NOISE) -> DataFra
             state.update((float(held[0]), held[1].tolist(), held[2].ravel().tolist()))
         yield _frame(key[0], out)
 
-    return df.groupBy("track").applyInPandasWithState(run, OUT, _STATE, "append", "NoTimeout")
+    return df.where("track is not null").groupBy("track").applyInPandasWithState(run, OUT, _STATE, "append", "NoTimeout")
