@@ -56,11 +56,16 @@ def _word_scores(model):
 
 
 def log_odds(toxic: Column, clean: Column, n_toxic: int, n_clean: int, strength: float) -> tuple[Column, Column]:
-    """Log-odds of document frequencies under a Dirichlet prior in proportion to the whole, and their z values."""
-    prior = strength * (toxic + clean) / max(n_toxic + n_clean, 1)
-    a, b = toxic + prior, clean + prior
-    odds = F.log(a / (n_toxic + strength - a)) - F.log(b / (n_clean + strength - b))
-    return odds, odds / F.sqrt(1 / a + 1 / b)
+    """Log-odds of document frequencies under a Dirichlet prior in proportion to the whole, and their z values.
+
+    The prior has a part for holding the unit and one for lacking it, so a unit in every document has finite odds, whose
+    variance, of all four counts, then says that nothing is known.
+    """
+    share = (toxic + clean) / float(n_toxic + n_clean + 1)
+    a, b = toxic + strength * share, clean + strength * share
+    without_a, without_b = n_toxic - toxic + strength * (1 - share), n_clean - clean + strength * (1 - share)
+    odds = F.log(a / without_a) - F.log(b / without_b)
+    return odds, odds / F.sqrt(1 / a + 1 / b + 1 / without_a + 1 / without_b)
 
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from orbitlake.llm import langid, packing, pieces, quality, suffix_dedup, toxicity, warc
 
@@ -330,3 +331,25 @@ def test_language_code_lengths_are_exact_and_predict(spark):
     none = langid.fit(docs.limit(0))
     assert {x.lang_pred for x in langid.predict(docs, none).collect()} == {"und"}
     assert langid.predict(docs.limit(0), m).count() == 0
+
+
+def test_toxicity_learns_where_a_word_is_in_every_text(spark):
+    r = random.Random(8)
+    words = [f"plain{i}" for i in "abcdefghij"]
+    text = lambda toxic: " ".join([*(r.choice(words) for _ in range(20)), *(["vilest", "scumming"] if toxic else []), "the"])
+    rows = [(i, text(i % 4 == 0), int(i % 4 == 0)) for i in range(200)]
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert "the" not in model.known and "vilest" in model.known
+    got = {x.doc_id: x.score >= 0.5 for x in toxicity.score(docs, model, keep=["doc_id"]).collect()}
+    assert got == {i: bool(y) for i, _, y in rows}
+
+
+def test_log_odds_follow_their_formula(spark):
+    df = spark.createDataFrame([(3, 1), (10, 30), (10, 0), (0, 30)], "a int, b int")
+    odds, z = toxicity.log_odds(F.col("a"), F.col("b"), 10, 30, 10.0)
+    for x in df.select("a", "b", odds.alias("odds"), z.alias("z")).collect():
+        share = (x.a + x.b) / 41
+        cells = [x.a + 10 * share, 10 - x.a + 10 * (1 - share), x.b + 10 * share, 30 - x.b + 10 * (1 - share)]
+        want = np.log(cells[0] / cells[1]) - np.log(cells[2] / cells[3])
+        assert x.odds == pytest.approx(want) and x.z == pytest.approx(want / np.sqrt(sum(1 / c for c in cells)))
