@@ -116,3 +116,75 @@ def pseudorange_of_phase(chip: Column, near: Column, chips: float = 1.023e6, len
     period = length / chips * LIGHT
     own = chip / chips * LIGHT
     return own + F.rint((near - own) / period) * period
+
+
+# fixed values: constants of the GLONASS interface specification, and the step of its integration in seconds
+GLONASS_MU = 3.9860044e14
+GLONASS_RADIUS = 6378136.0
+GLONASS_J2 = 1.0826257e-3
+GLONASS_OMEGA = 7.292115e-5
+GLONASS_STEP = 60.0
+
+
+def _bound(value: Column, then) -> Column:
+    """then(value), in which the value is made once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _glonass_rates(s: Column, acc: list[Column]) -> Column:
+    """Derivatives of a state (array of position and velocity) in the turning frame: earth's pull with its flattening, and sun and moon's."""
+    x, y, z, vx, vy, vz = (F.get(s, F.lit(i)) for i in range(6))
+    r2 = x * x + y * y + z * z
+    terms = lambda q: F.struct((-GLONASS_MU / (q * F.sqrt(q))).alias("pull"), (1.5 * GLONASS_J2 * GLONASS_MU * GLONASS_RADIUS**2 / (q * q * F.sqrt(q))).alias("flat"), (5.0 * z * z / q).alias("tilt"))
+    turn = GLONASS_OMEGA * GLONASS_OMEGA
+
+    def rates(f: Column) -> Column:
+        around = f["pull"] - f["flat"] * (1.0 - f["tilt"])
+        along = f["pull"] - f["flat"] * (3.0 - f["tilt"])
+        return F.array(vx, vy, vz, (around + turn) * x + 2.0 * GLONASS_OMEGA * vy + acc[0], (around + turn) * y - 2.0 * GLONASS_OMEGA * vx + acc[1], along * z + acc[2])
+
+    return _bound(r2, lambda q: _bound(terms(q), rates))
+
+
+def _glonass_advance(s: Column, h: Column, acc: list[Column]) -> Column:
+    """One Runge-Kutta step of h seconds."""
+    on = lambda k, share: F.zip_with(s, k, lambda a, b: a + b * (h * share))
+    rates = lambda v: _glonass_rates(v, acc)
+
+    def second(k1: Column) -> Column:
+        return _bound(_bound(on(k1, 0.5), rates), lambda k2: third(k1, k2))
+
+    def third(k1: Column, k2: Column) -> Column:
+        return _bound(_bound(on(k2, 0.5), rates), lambda k3: fourth(k1, k2, k3))
+
+    def fourth(k1: Column, k2: Column, k3: Column) -> Column:
+        mean = lambda k4: F.transform(s, lambda a, i: a + (F.get(k1, i) + 2.0 * F.get(k2, i) + 2.0 * F.get(k3, i) + F.get(k4, i)) * (h / 6.0))
+        return _bound(_bound(on(k3, 1.0), rates), mean)
+
+    return _bound(rates(s), second)
+
+
+def glonass_orbit(state: list[Column], acc: list[Column], since: Column) -> Column:
+    """Array of position and velocity `since` seconds (any sign, within half a week) after a record's state of six values.
+
+    acc is the record's acceleration of sun and moon. Steps of 60 seconds and one for the rest are folded over the row, so a
+    time at most half an hour from its record takes 30; metres and seconds in the earth's turning frame. Null where
+    any input is null.
+    """
+    t = week_wrap(since.cast("double"))
+    many = F.floor(F.abs(t) / GLONASS_STEP).cast("int")
+    rest = t - F.signum(t) * many * GLONASS_STEP
+    steps = F.concat(F.array_repeat(F.signum(t) * GLONASS_STEP, many), F.when(F.abs(rest) > 1e-9, F.array(rest)).otherwise(F.array().cast("array<double>")))
+    start = F.array(*[c.cast("double") for c in state])
+    return F.when(sum((c * 0 for c in [*state, *acc]), F.lit(0.0)).isNotNull(), F.aggregate(steps, start, lambda s, h: _glonass_advance(s, h, acc)))
+
+
+def glonass_clock(tau: Column, gamma: Column, since: Column) -> Column:
+    """Correction of a satellite's clock `since` seconds after its record."""
+    return -tau + gamma * week_wrap(since)
+
+
+def glonass_valid(state: list[Column]) -> Column:
+    """Whether a record's position is at the height of an orbit."""
+    r = F.sqrt(sum((c * c for c in state[:3]), F.lit(0.0)))
+    return F.coalesce(r.between(1.5e7, 5.0e7), F.lit(False))

@@ -45,12 +45,15 @@ def start_cloud(starts: DataFrame, n: int, spread: float, spread_clock: float, s
     return wide.select("track", "id", *[at(c).alias(c) for c in STATE], F.lit(0.0).alias("log_weight"))
 
 
-def predict(cloud: DataFrame, moves: DataFrame, epoch: int, sigma: float, sigma_clock: float, seed: int) -> DataFrame:
-    """Particles moved by their track's velocity (track, dt, vx, vy, vz) with noise of each axis and of the clock."""
+def predict(cloud: DataFrame, moves: DataFrame, sigma: float, sigma_clock: float, seed: int) -> DataFrame:
+    """Particles moved by their track's velocity (track, epoch, dt, vx, vy, vz) with noise of each axis and of the clock.
+
+    The epoch is a column, so that Spark compiles one plan for all epochs.
+    """
     met = cloud.join(moves, "track")
-    at = lambda c: F.col(c) + F.col(f"v{c}") * F.col("dt") + normal(seed, F.lit(f"move {c}"), F.lit(epoch), "track", "id") * sigma
-    clock = F.col("clock") + normal(seed, F.lit("move clock"), F.lit(epoch), "track", "id") * sigma_clock
-    return met.select(*[c for c in cloud.columns if c not in STATE], *[at(c).alias(c) for c in "xyz"], clock.alias("clock"))
+    draw = lambda c: normal(seed, F.lit(f"move {c}"), "epoch", "track", "id")
+    at = lambda c: F.col(c) + F.col(f"v{c}") * F.col("dt") + draw(c) * sigma
+    return met.select("epoch", *[c for c in cloud.columns if c not in STATE], *[at(c).alias(c) for c in "xyz"], (F.col("clock") + draw("clock") * sigma_clock).alias("clock"))
 
 
 def running_totals(df: DataFrame, by: list[str], value: str, block: int = BLOCK) -> DataFrame:
@@ -81,7 +84,7 @@ def resample(cloud: DataFrame, n: int, u0: Column, carry: list[str], block: int
     weighed = cloud.join(top, "track").withColumn("__w", F.exp(F.col("log_weight") - F.col("__top"))).drop("__top")
     run = running_totals(weighed, ["track"], "__w", block)
     slot = lambda v: F.least(F.greatest(F.ceil(v / F.col("whole") * n - u0), F.lit(0)), F.lit(n)).cast("long")
-    held = run.select("track", F.col("id").alias("source"), *carry, slot(F.col("low")).alias("__a"), F.when(F.col("high") >= F.col("whole"), F.lit(n).cast("long")).otherwise(slot(F.col("high"))).alias("__b")).where("__b > __a")
+    held = run.select(*[c for c in ("epoch",) if c in cloud.columns], "track", F.col("id").alias("source"), *carry, slot(F.col("low")).alias("__a"), F.when(F.col("high") >= F.col("whole"), F.lit(n).cast("long")).otherwise(slot(F.col("high"))).alias("__b")).where("__b > __a")
     parts = held.withColumn("__part", F.explode(F.sequence(F.floor(F.col("__a") / block), F.floor((F.col("__b") - 1) / block)))).repartition(F.xxhash64("track", "__part"))
     first, last = F.greatest("__a", F.col("__part") * block), F.least("__b", (F.col("__part") + 1) * block) - 1
     return parts.withColumn("id", F.explode(F.sequence(first, last))).select("track", "id", "source", *carry)
@@ -115,17 +118,19 @@ def run_filter(
     cloud = start_cloud(starts, n, spread, spread_clock, seed).withColumn("source", F.lit(None).cast("long"))
     out = []
     for k in range(int(last) + 1):
-        here = moves.where(F.col("epoch") == k).select("track", "dt", "vx", "vy", "vz")
-        moved = predict(cloud, here, k, sigma, sigma_clock, seed)
+        here = moves.where(F.col("epoch") == k).select("track", F.col("epoch").cast("int").alias("epoch"), "dt", "vx", "vy", "vz")
+        moved = predict(cloud, here, sigma, sigma_clock, seed)
         seen = observations.where(F.col("epoch") == k).drop("epoch")
-        gained = weigh(particles.residuals(moved, seen, ["track"]), ["track", "id"]).withColumnRenamed("log_weight", "__gain")
-        weighed = moved.join(gained, ["track", "id"], "left").withColumn("log_weight", F.col("log_weight") + F.coalesce("__gain", F.lit(0.0)))
-        now = stored(weighed.select("track", F.lit(k).alias("epoch"), "id", "source", *STATE, "log_weight"))
+        # a particle's own columns are the keys of its weight, so that the cloud is made once and not joined with itself
+        keys = ["track", "epoch", "id", "source", *STATE, "prior"]
+        gained = weigh(particles.residuals(moved.withColumnRenamed("log_weight", "prior"), seen, ["track"], "left"), keys)
+        weighed = gained.withColumn("log_weight", F.col("prior") + F.coalesce("log_weight", F.lit(0.0)))
+        now = stored(weighed.select("track", "epoch", "id", "source", *STATE, "log_weight"))
         out.append(now)
         if k < last:
             sizes = particles_size(now)
             few = F.col("ess") < threshold * n
-            u0 = uniform(seed, F.lit("resample"), F.lit(k), F.col("track"))
+            u0 = uniform(seed, F.lit("resample"), "epoch", "track")
             chosen = resample(now.join(sizes.where(few).select("track"), "track", "left_semi"), n, u0, STATE).withColumn("log_weight", F.lit(0.0))
             kept = now.join(sizes.where(few).select("track"), "track", "left_anti").select("track", "id", F.col("id").alias("source"), *STATE, "log_weight")
             cloud = chosen.unionByName(kept)
@@ -197,12 +202,12 @@ def backward_paths(clouds: list[DataFrame], moves: DataFrame, paths: int, sigma:
         told = drawn.select("track", "path", "id").join(ahead, ["track", "id"]).drop("id").join(step, "track")
         cloud = clouds[k].withColumn("__block", F.floor(F.col("id") / block))
         blocks = cloud.select("track", "__block").distinct()
-        met = cloud.select("track", "__block", "id", *STATE, "log_weight").join(told.join(blocks, "track"), ["track", "__block"])
+        met = cloud.select("track", "epoch", "__block", "id", *STATE, "log_weight").join(told.join(blocks, "track"), ["track", "__block"])
         off = lambda c: F.col(f"n{c}") - (F.col(c) + F.col(f"v{c}") * F.col("dt"))
         move = sum((off(c) * off(c) for c in "xyz"), F.lit(0.0))
         clock = F.col("nclock") - F.col("clock")
         density = -0.5 * move / sigma**2 - 0.5 * clock * clock / sigma_clock**2
-        drawn = stored(_largest(met, F.col("log_weight") + density, gumbel(seed, F.lit("back"), F.lit(k), "track", "path", "id")).withColumn("epoch", F.lit(k)))
+        drawn = stored(_largest(met, F.col("log_weight") + density, gumbel(seed, F.lit("back"), "epoch", "track", "path", "id")).withColumn("epoch", F.lit(k)))
         out.append(drawn)
     whole = out[0]
     for one in out[1:]:

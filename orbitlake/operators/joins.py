@@ -42,6 +42,47 @@ def interpolated_join(left: DataFrame, right: DataFrame, by: str, at: str, value
     return both.select(by, at, F.when(gap <= max_gap, F.col("p")["v"] + share * (F.col("n")["v"] - F.col("p")["v"])).alias(value))
 
 
+def quadratic_join(left: DataFrame, right: DataFrame, by: str, at: str, value: str, nearest: int = 8) -> DataFrame:
+    """Distinct left keys and times with the value of a parabola through the nearest right rows of the key.
+
+    Between the first and last right time, with three rows or more, it is the least-squares parabola of the `nearest`
+    rows (of equally near ones the earlier, then the lower value), at the left time; a straight line between the rows around it where
+    there are two, or where times repeat so that no parabola is told; the nearest end beyond the span; the only value
+    of one row; null without any. Null times, values and keys of right rows are left out, NaN and infinite ones too.
+
+    Right rows are numbered in one ordered pass that also counts those before each left time. The rows around that count
+    then come by an equi join on key and number, so no key's rows meet all its times; fits are sums.
+    """
+    whole = right.select(F.col(by), F.col(at).cast("double").alias("__at"), F.col(value).cast("double").alias("__v")).dropna()
+    whole = whole.where(~F.isnan("__at") & ~F.isnan("__v") & (F.abs("__at") < float("inf")) & (F.abs("__v") < float("inf")))
+    asked = left.select(by, F.col(at).cast("double").alias("__at")).dropna().distinct()
+    order = Window.partitionBy(by).orderBy("__at", F.col("__own").cast("int"), "__v")
+    both = whole.withColumn("__own", F.lit(False)).unionByName(asked.withColumns({"__own": F.lit(True), "__v": F.lit(None).cast("double")}))
+    # right rows of the same time come before the left one
+    both = both.withColumn("__n", F.sum((~F.col("__own")).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = both.where(~F.col("__own")).select(by, "__n", F.col("__at").alias("__rt"), "__v")
+    places = F.explode(F.sequence(F.col("__n") - nearest + 1, F.col("__n") + nearest))
+    around = both.where("__own").select(by, "__at", F.col("__n").alias("__before"), places.alias("__n")).join(rows, [by, "__n"])
+    x = F.col("__rt") - F.col("__at")
+    hits = around.groupBy(by, "__at").agg(F.first("__before").alias("before"), F.sort_array(F.collect_list(F.struct(F.abs(x).alias("far"), F.col("__rt").alias("t"), F.col("__v").alias("v"), F.col("__n").alias("n"), x.alias("x")))).alias("hits"))
+    hits = hits.withColumn("near", F.slice("hits", 1, nearest))
+    scale = F.coalesce(F.nullif(F.array_max("near.far"), F.lit(0.0)), F.lit(1.0))
+    told = lambda f: F.aggregate("near", F.lit(0.0), lambda acc, h: acc + f(h["x"] / F.col("scale"), h["v"]))
+    hits = hits.withColumn("scale", scale)
+    hits = hits.withColumns({f"s{k}": told(lambda x, v, k=k: F.pow(x, F.lit(k)) if k else F.lit(1.0)) for k in range(5)} | {f"m{k}": told(lambda x, v, k=k: v * (F.pow(x, F.lit(k)) if k else F.lit(1.0))) for k in range(3)})
+    s, m = [F.col(f"s{k}") for k in range(5)], [F.col(f"m{k}") for k in range(3)]
+    minor = [s[2] * s[4] - s[3] * s[3], s[1] * s[4] - s[2] * s[3], s[1] * s[3] - s[2] * s[2]]
+    det = s[0] * minor[0] - s[1] * minor[1] + s[2] * minor[2]
+    before = F.array_max(F.filter("hits", lambda h: h["n"] <= F.col("before"))["n"])
+    pick = lambda n: F.get(F.filter("hits", lambda h: h["n"] == n), F.lit(0))
+    a, b = pick(before), pick(F.col("before") + 1)
+    line = F.when(a.isNull(), b["v"]).when(b.isNull() | (a["x"] == 0), a["v"]).otherwise(a["v"] - a["x"] * (b["v"] - a["v"]) / (b["t"] - a["t"]))
+    inside = a.isNotNull() & (b.isNotNull() | (a["x"] == 0))
+    parabola = (m[0] * minor[0] - m[1] * minor[1] + m[2] * minor[2]) / F.nullif(det, F.lit(0.0))
+    fit = hits.select(by, "__at", F.when((F.size("near") >= 3) & inside & (F.abs(det) > 1e-12), parabola).otherwise(line).alias(value))
+    return asked.join(fit, [by, "__at"], "left").select(by, F.col("__at").alias(at), value)
+
+
 def interval_join(points: DataFrame, intervals: DataFrame, by: str, at: str, start: str, end: str, width: float) -> DataFrame:
     """Points with the intervals [start, end) of their key that hold them, as an equi join on buckets of `width`."""
     p = points.withColumn("__bucket", F.floor(F.col(at) / width))

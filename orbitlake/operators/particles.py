@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def residuals(particles: DataFrame, observations: DataFrame, epoch: list[str]) -> DataFrame:
+def residuals(particles: DataFrame, observations: DataFrame, epoch: list[str], how: str = "inner") -> DataFrame:
     """Each particle (id, x, y, z, clock) of an epoch with its observations (sx, sy, sz, pr, w) and the residual `r`.
 
     An equi join on the epoch; the observations of one are few, particles are dealt by their own rows.
     """
     d = F.sqrt(sum(((F.col(p) - F.col(f"s{p}")) * (F.col(p) - F.col(f"s{p}")) for p in "xyz"), F.lit(0.0)))
-    return particles.join(observations, epoch).withColumn("range", d).withColumn("r", F.col("pr") - (F.col("range") + F.col("clock")))
+    return particles.join(observations, epoch, how).withColumn("range", d).withColumn("r", F.col("pr") - (F.col("range") + F.col("clock")))
 
 
 def _summed(met: DataFrame, keys: list[str], term: Column) -> DataFrame:
