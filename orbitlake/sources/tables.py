@@ -9,12 +9,12 @@ from ..functions import geodesy as G
 
 # fixed values: names that files use for a column, the preferred one first
 GNSS = {
-    "time": ["GPS_time", "gps_time", "GPS TOW (s)", "time", "timestamp", "Time"],
-    "prn": ["PRN", "prn", "sat", "sv", "satellite"],
-    "pseudorange": ["pseudorange", "Pseudorange", "pr", "PR"],
-    "carrier": ["carrier", "carrier_phase", "Carrier", "L1"],
-    "cn0": ["CN0", "cn0", "C/N0", "snr", "SNR"],
-    "doppler": ["doppler", "Doppler", "D1"],
+    "time": ["GPS_time", "gps_time", "time", "timestamp", "Time", "GPSTime"],
+    "prn": ["PRN", "prn", "SatID", "sat_id", "sv", "SV"],
+    "pseudorange": ["pseudorange", "Pseudorange", "pr", "P1", "P2", "C1", "C2"],
+    "carrier": ["carrier", "CarrierPhase", "L1", "L2", "carrier_phase"],
+    "cn0": ["CN0", "cn0", "CNR", "snr", "SNR", "C/N0"],
+    "doppler": ["doppler", "Doppler", "D1", "D2"],
 }
 TRUTH = {
     "time": ["GPS TOW (s)", "GPS TOW", "GPS_time", "gps_time", "time", "timestamp", "Time"],
@@ -31,13 +31,15 @@ IMU = {
     "gx": ["Ang Rate X (deg/s)", "gyro_x"], "gy": ["Ang Rate Y (deg/s)", "gyro_y"], "gz": ["Ang Rate Z (deg/s)", "gyro_z"],
 }
 # fixed values: fields of a raw line of the phone's log, in order
-RAW_FIELDS = (
-    "utcTimeMillis TimeNanos LeapSecond TimeUncertaintyNanos FullBiasNanos BiasNanos BiasUncertaintyNanos DriftNanosPerSecond DriftUncertaintyNanosPerSecond "
-    "HardwareClockDiscontinuityCount Svid TimeOffsetNanos State ReceivedSvTimeNanos ReceivedSvTimeUncertaintyNanos Cn0DbHz PseudorangeRateMetersPerSecond "
-    "PseudorangeRateUncertaintyMetersPerSecond AccumulatedDeltaRangeState AccumulatedDeltaRangeMeters AccumulatedDeltaRangeUncertaintyMeters CarrierFrequencyHz CarrierCycles "
-    "CarrierPhase CarrierPhaseUncertainty MultipathIndicator SnrInDb ConstellationType AgcDb BasebandCn0DbHz FullInterSignalBiasNanos FullInterSignalBiasUncertaintyNanos "
-    "SatelliteInterSignalBiasNanos SatelliteInterSignalBiasUncertaintyNanos CodeType ChipsetElapsedRealtimeNanos"
-).split()
+RAW_FIELDS = [
+    "utcTimeMillis", "TimeNanos", "LeapSecond", "TimeUncertaintyNanos", "FullBiasNanos", "BiasNanos", "BiasUncertaintyNanos", "DriftNanosPerSecond",
+    "DriftUncertaintyNanosPerSecond", "HardwareClockDiscontinuityCount", "Svid", "TimeOffsetNanos", "State", "ReceivedSvTimeNanos",
+    "ReceivedSvTimeUncertaintyNanos", "Cn0DbHz", "PseudorangeRateMetersPerSecond", "PseudorangeRateUncertaintyMetersPerSecond",
+    "AccumulatedDeltaRangeState", "AccumulatedDeltaRangeMeters", "AccumulatedDeltaRangeUncertaintyMeters", "CarrierFrequencyHz", "CarrierCycles",
+    "CarrierPhase", "CarrierPhaseUncertainty", "MultipathIndicator", "SnrInDb", "ConstellationType", "AgcDb", "BasebandCn0DbHz",
+    "FullInterSignalBiasNanos", "FullInterSignalBiasUncertaintyNanos", "SatelliteInterSignalBiasNanos", "SatelliteInterSignalBiasUncertaintyNanos",
+    "CodeType", "ChipsetElapsedRealtimeNanos",
+]
 _WHOLE = {"utcTimeMillis", "TimeNanos", "FullBiasNanos", "ReceivedSvTimeNanos", "ChipsetElapsedRealtimeNanos", "State", "AccumulatedDeltaRangeState", "Svid", "ConstellationType", "HardwareClockDiscontinuityCount"}
 
 
@@ -59,11 +61,17 @@ def _number(df: DataFrame, names: list[str]) -> Column:
 
 
 def gnss_csv(spark: SparkSession, path: str) -> DataFrame:
-    """time, prn, pseudorange, carrier, cn0, doppler; what is absent or no number is null. Other columns as numbers."""
+    """time, prn, pseudorange, carrier, cn0, doppler; what is absent or no number is null. Other columns as numbers.
+
+    A file without a column of the time, the satellite or the pseudorange, by any of their names, is an error.
+    """
     df = read_csv(spark, path)
     prn = pick(df, GNSS["prn"])
+    absent = [c for c in ("time", "prn", "pseudorange") if pick(df, GNSS[c]) is None]
+    if absent:
+        raise ValueError(f"no column of {', '.join(absent)} among {df.columns}")
     known = {next((n for n in ns if n in df.columns), None) for ns in GNSS.values()}
-    own = [_number(df, GNSS[c]).alias(c) if c != "prn" else F.trim(F.lit("") if prn is None else prn).alias("prn") for c in GNSS]
+    own = [_number(df, GNSS[c]).alias(c) if c != "prn" else F.trim(prn).alias("prn") for c in GNSS]
     return df.select(*own, *[F.col(f"`{c}`").try_cast("double").alias(c) for c in df.columns if c not in known])
 
 

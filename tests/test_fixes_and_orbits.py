@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orbitlake.functions import orbits
-from orbitlake.operators import exclusion, integers, joins
+from orbitlake.operators import exclusion, inertial, integers, joins
 
 
 def covariance(r, n, spread):
@@ -189,3 +189,47 @@ def test_glonass_orbits_equal_a_plain_integration(spark):
         np.testing.assert_allclose(x.p, plain_glonass(state, acc, wrapped), rtol=1e-12, atol=1e-6)
         assert x.ok and x.clock == pytest.approx(-1e-4 + 1e-9 * wrapped)
     assert not got[-1].ok
+
+
+def plain_steps(t0, t1, rows):
+    """Steps of an interval one after the other: (samples, dt, v, p, angle, mean bias)."""
+    rows = sorted((x for x in rows if t0 <= x[0] <= t1), key=lambda x: (x[0], [(v is not None and v == v, v if v is not None and v == v else 0) for v in x[1]]))
+    at = [t0, *[x[0] for x in rows], t1]
+    dts = [(t1 - t0) / 1000] if len(rows) == 1 else [(at[i + 2] - at[i]) / 2000 for i in range(len(rows))]
+    n, total, v, p, a, bias = 0, 0.0, np.zeros(3), np.zeros(3), np.zeros(3), []
+    for dt, (_, values, b) in zip(dts, rows):
+        if any(x is None or not math.isfinite(x) for x in values):
+            continue
+        acc, rate = np.array(values[:3]), np.array(values[3:])
+        p = p + v * dt + 0.5 * acc * dt * dt
+        v, a, n, total = v + acc * dt, a + rate * dt, n + 1, total + dt
+        if dt > 0 and b is not None:
+            bias.append((dt, b))
+    return n, total, v, p, a, sum(d * b for d, b in bias) / sum(d for d, _ in bias) if bias else None
+
+
+def test_preintegration_equals_steps_in_order_for_any_slices(spark):
+    r = np.random.default_rng(6)
+    rows, epochs = [], []
+    for k in (1, 2):
+        t = np.sort(r.uniform(0, 20_000, 300)).round(1)
+        edges = [0.0, 1000.0, float(t[40]), 4000.0, 4000.5, 15_000.0, 19_000.0, 30_000.0]
+        for i, x in enumerate(t):
+            values = r.normal(0, 2, 6).tolist()
+            if i % 29 == 3:
+                values[i % 6] = [None, float("nan"), float("inf")][i % 3]
+            rows.append((k, float(x), *values, None if i % 7 == 0 else float(r.normal())))
+        epochs += [(k, e) for e in edges]
+    many = ", ".join(f"{c} double" for c in ["ax", "ay", "az", "gx", "gy", "gz", "abx"])
+    df = spark.createDataFrame([*rows, (None, 1.0, *[1.0] * 7), (1, None, *[1.0] * 7)], f"track long, t double, {many}").repartition(5)
+    e = spark.createDataFrame([*epochs, (1, 1000.0), (None, 5.0), (2, float("nan")), (3, 1.0), (3, 2.0)], "track long, t double")
+    outs = [inertial.preintegrate(df, e, width).orderBy("track", "t0").collect() for width in (100.0, 1e6)]
+    for out in outs:
+        assert [(x.track, x.t0) for x in out] == sorted({(k, t) for k, t in epochs if t < 30_000} | {(3, 1.0)})
+        for x in out:
+            n, total, v, p, a, bias = plain_steps(x.t0, x.t1, [(q[1], q[2:8], q[8]) for q in rows if q[0] == x.track])
+            assert x.samples == n and x.dt == pytest.approx(total)
+            np.testing.assert_allclose([x.dvx, x.dvy, x.dvz, x.dpx, x.dpy, x.dpz, x.dax, x.day, x.daz], [*v, *p, *a], rtol=1e-9, atol=1e-9)
+            assert (x.abx_mean is None) == (bias is None) and (bias is None or x.abx_mean == pytest.approx(bias))
+    used = {(x.track, x.t0) for x in inertial.deltas_for(inertial.preintegrate(df, e)).collect()}
+    assert used == {(x.track, x.t0) for x in outs[0] if x.samples and x.dt > 0} and len(used) < len(outs[0])

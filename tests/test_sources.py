@@ -25,6 +25,15 @@ def test_gnss_and_truth_tables(spark, tmp_path):
         tables.truth_csv(spark, put(tmp_path, "n.csv", "time,a\n1,2\n"))
 
 
+def test_other_names_of_gnss_columns(spark, tmp_path):
+    g = put(tmp_path, "o.csv", "GPSTime,SatID,C1,CNR,D2,CarrierPhase\n3.5,G07,2.3e7,41,-100.5,1.2e8\n")
+    assert tuple(tables.gnss_csv(spark, g).first()) == (3.5, "G07", 2.3e7, 1.2e8, 41.0, -100.5)
+    for i, head in enumerate(("PRN,C1", "GPSTime,C1", "GPSTime,SV,L1")):
+        with pytest.raises(ValueError, match="no column of"):
+            tables.gnss_csv(spark, put(tmp_path, f"m{i}.csv", f"{head}\n1,2,3\n"))
+    assert len(tables.RAW_FIELDS) == 36 and tables.RAW_FIELDS[0] == "utcTimeMillis" and tables.RAW_FIELDS[-1] == "ChipsetElapsedRealtimeNanos"
+
+
 def test_inertial_tables(spark, tmp_path):
     p = put(tmp_path, "p.csv", " GPS TOW (s), GPS Week, Acc X (m/s^2), Acc Y (m/s^2), Acc Z (m/s^2), Ang Rate X (deg/s), Ang Rate Y (deg/s), Ang Rate Z (deg/s)\n1.5, 2, 1, 2, 3, 180, 0, 90\n")
     r = tables.imu_csv(spark, p).first()
