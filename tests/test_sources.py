@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from orbitlake.sources import meshes, nmea, rinex, sinks, tables
+from orbitlake.sources import city, meshes, nmea, rinex, sinks, tables
 
 
 def put(tmp_path, name, text):
@@ -125,3 +125,55 @@ def test_other_sinks(spark, tmp_path):
     put(tmp_path, "nagoya_run2_x.csv", "v\n2\n")
     got = tables.result_csvs(spark, f"{tmp_path}/*_x.csv", r"/([a-z]+)_(run\d)_x", ["city", "run"]).orderBy("v").collect()
     assert [(r.v, r.city, r.run) for r in got] == [(1, "tokyo", "run1"), (2, "nagoya", "run2")]
+
+
+def ring(points, how="list"):
+    flat = " ".join(f"{v}" for p in points for v in p)
+    inner = f"<gml:posList srsDimension='3'>\n  {flat}\n</gml:posList>" if how == "list" else "".join(f"<gml:pos>{p[0]} {p[1]} {p[2]}</gml:pos>" for p in points)
+    return f"<gml:surfaceMember><gml:Polygon><gml:exterior><gml:LinearRing>{inner}</gml:LinearRing></gml:exterior></gml:Polygon></gml:surfaceMember>"
+
+
+def test_city_models_by_records(spark, tmp_path):
+    square = [(0, 0, 1), (0, 4, 1), (4, 4, 1), (4, 0, 1), (0, 0, 1)]
+    wall = [(0, 0, 1), (4, 0, 1), (4, 0, 9)]
+    text = f"""<?xml version="1.0"?><core:CityModel xmlns:core="c" xmlns:bldg="b" xmlns:gml="g"><!-- a Building> in a comment -->
+<core:cityObjectMember><bldg:Building gml:id="one"><bldg:measuredHeight>8</bldg:measuredHeight><bldg:lod1Solid><gml:Solid>{ring(square)}{ring(wall, "pos")}</gml:Solid></bldg:lod1Solid></bldg:Building></core:cityObjectMember>
+<core:cityObjectMember><bldg:Building><bldg:lod1Solid/><bldg:lod2MultiSurface>{ring(wall)}</bldg:lod2MultiSurface></bldg:Building></core:cityObjectMember>
+<core:cityObjectMember><brid:Bridge gml:id="deck">{ring(square, "pos")}</brid:Bridge></core:cityObjectMember></core:CityModel>"""
+    bare = '<CityModel><b:Building b:x="1" id="three"></b:Building></CityModel>'
+    put(tmp_path, "a.gml", text), put(tmp_path, "b.gml", bare)
+    got = sorted(((r.id, r.kind, r.lod, [[tuple(p) for p in q] for q in r.polygons]) for r in city.city_features(spark, str(tmp_path)).collect()), key=str)
+    as_points = lambda q: [tuple(map(float, p)) for p in q]
+    assert got == sorted([("one", "bldg", 1, [as_points(square), as_points(wall)]), (None, "bldg", 2, [as_points(wall)]), ("three", "bldg", 0, [])], key=str)
+    bridges = city.city_features(spark, str(tmp_path), "brid")
+    assert [(r.id, r.lod) for r in bridges.collect()] == [("deck", 0)]
+    tri = city.city_triangles(city.city_features(spark, str(tmp_path))).where("id = 'one'").orderBy("polygon", "x1", "y1").collect()
+    assert [(t.polygon, t.x1, t.y1, t.x2, t.y2) for t in tri] == [(0, 0.0, 4.0, 4.0, 4.0), (0, 4.0, 4.0, 4.0, 0.0), (1, 4.0, 0.0, 4.0, 0.0)]
+    rays = spark.createDataFrame([(2.0, 1.0, 0.0, 2.0, 1.0, 5.0), (9.0, 9.0, 0.0, 9.0, 9.0, 5.0)], "rx double, ry double, rz double, sx double, sy double, sz double")
+    assert sorted(r.los for r in meshes.line_of_sight(rays, city.city_triangles(city.city_features(spark, str(tmp_path)))).collect()) == [False, True]
+    with pytest.raises(ValueError):
+        city.city_features(spark, str(tmp_path), "tunnel")
+    put(tmp_path, "c.gml", f'<x:Building id="odd">{ring([(1, 2, 3)]).replace("1 2 3", "1 2")}</x:Building>')
+    with pytest.raises(Exception, match="coordinates is not of points"):
+        city.city_features(spark, f"{tmp_path}/c.gml").collect()
+
+
+def test_city_models_are_split_anywhere(spark, tmp_path):
+    wall = [(0, 0, 1), (4, 0, 1), (4, 0, 9)]
+    body = "".join(f'<m><bldg:Building gml:id="b{i}"><bldg:lod2Solid>{ring(wall)}</bldg:lod2Solid></bldg:Building></m>\n' for i in range(400))
+    put(tmp_path, "big.gml", f"<core:CityModel>{body}</core:CityModel>")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7001")
+    try:
+        df = city.city_features(spark, f"{tmp_path}/big.gml")
+        assert df.rdd.getNumPartitions() > 10
+        rows = df.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert sorted(r.id for r in rows) == sorted(f"b{i}" for i in range(400)) and all(r.lod == 2 and len(r.polygons) == 1 for r in rows)
+
+
+def test_city_points_in_degrees(spark, tmp_path):
+    put(tmp_path, "g.gml", f'<bldg:Building gml:id="g">{ring([(0, 90, 0), (0, 0, 0), (90, 0, 0)])}</bldg:Building>')
+    t = city.city_triangles(city.city_features(spark, str(tmp_path)), geographic=True, origin=(1.0, 0.0, 0.0)).first()
+    assert (t.y0, t.x1) == pytest.approx((6378137.0, 6378136.0)) and t.z2 == pytest.approx(6356752.314, abs=1e-2)
