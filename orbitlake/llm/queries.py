@@ -224,7 +224,7 @@ def op13_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op13_sql() -> str:
-    from .secrets import ACCESS, ALPHABET, ASSIGN, ASSIGN_LEAST, HEX, LEARN_LEAST, LEARNED, LEAST_MEAN, LEAST_RATIO, PRIOR, RUN, SCORE_LEAST, TRAIN_ROWS
+    from .secrets import ACCESS, ALPHABET, ASSIGN, ASSIGN_LEAST, HEX, LEARN_LEAST, LEARNED, LEAST_MEAN, LEAST_RATIO, ORDINARY_PRIOR, RANDOM_PRIOR, RUN, SCORE_LEAST, TRAIN_ROWS
 
     size = len(ALPHABET)
     quoted = {k: p.replace("'", "''") for k, p in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("runs", f"{RUN}{{{SCORE_LEAST},}}"))}
@@ -252,9 +252,10 @@ counts AS (SELECT label, a, b, count(*) AS n FROM (SELECT label, instr('{ALPHABE
   FROM (SELECT label, v, unnest(range(1, len(v))) AS i FROM samples)) WHERE a > 0 AND b > 0 GROUP BY label, a, b),
 sums AS (SELECT label, a, sum(n) AS n FROM counts GROUP BY ALL),
 places AS (SELECT range AS a FROM range(1, {size + 1})),
-ratios AS (SELECT x.a, y.a AS b, floor(1000 * ln(({LEARNED} * ((coalesce(c1.n, 0) + {PRIOR / size!r}::DOUBLE) / (coalesce(s1.n, 0) + {PRIOR}::DOUBLE)) + {(1 - LEARNED) / size!r}::DOUBLE)
-    / ((coalesce(c0.n, 0) + {PRIOR / size!r}::DOUBLE) / (coalesce(s0.n, 0) + {PRIOR}::DOUBLE))) + 0.5)::BIGINT AS r
-  FROM places x CROSS JOIN places y LEFT JOIN counts c1 ON c1.label = 1 AND c1.a = x.a AND c1.b = y.a LEFT JOIN counts c0 ON c0.label = 0 AND c0.a = x.a AND c0.b = y.a
+shares AS (SELECT a AS b, (coalesce(n, 0) + 1)::DOUBLE / (sum(coalesce(n, 0)) OVER () + {size})::DOUBLE AS share FROM places LEFT JOIN (SELECT b, sum(n) AS n FROM counts WHERE label = 0 GROUP BY b) s ON s.b = places.a),
+ratios AS (SELECT x.a, y.a AS b, floor(1000 * ln(({LEARNED} * ((coalesce(c1.n, 0) + {RANDOM_PRIOR * (1 / size)!r}::DOUBLE) / (coalesce(s1.n, 0) + {RANDOM_PRIOR}::DOUBLE)) + {(1 - LEARNED) * (1 / size)!r}::DOUBLE)
+    / ((coalesce(c0.n, 0) + {ORDINARY_PRIOR}::DOUBLE * share) / (coalesce(s0.n, 0) + {ORDINARY_PRIOR}::DOUBLE))) + 0.5)::BIGINT AS r
+  FROM places x CROSS JOIN places y JOIN shares ON shares.b = y.a LEFT JOIN counts c1 ON c1.label = 1 AND c1.a = x.a AND c1.b = y.a LEFT JOIN counts c0 ON c0.label = 0 AND c0.a = x.a AND c0.b = y.a
   LEFT JOIN sums s1 ON s1.label = 1 AND s1.a = x.a LEFT JOIN sums s0 ON s0.label = 0 AND s0.a = x.a),
 pairs AS (SELECT rid, s, e, instr('{ALPHABET}', m[i]) AS a, instr('{ALPHABET}', m[i + 1]) AS b FROM (SELECT *, unnest(range(1, len(m))) AS i FROM runs)),
 random AS (SELECT rid, s, e FROM pairs JOIN ratios USING (a, b) GROUP BY rid, s, e HAVING sum(r) >= {LEAST_RATIO} AND sum(r) >= {LEAST_MEAN} * (e - s - 1)),

@@ -24,8 +24,11 @@ LEARN_LEAST, SCORE_LEAST = 8, 20
 TRAIN_ROWS = 100_000
 #: Log-likelihood ratio that tells a secret, in thousandths of a nat: in all, and for each pair of characters.
 LEAST_RATIO, LEAST_MEAN = 15_000, 1_000
-#: Part of the random model that is learned; the rest is even over the alphabet. Weight of the even prior of ordinary strings.
-LEARNED, PRIOR = 0.5, 16.0
+#: Part of the random model that is learned; the rest is even over the alphabet. Weight of its even prior.
+LEARNED, RANDOM_PRIOR = 0.5, 16.0
+#: Weight of the prior of ordinary strings, in proportion to single characters: that many steps from a character, so that the
+#: few secrets among ordinary strings do not teach the steps from characters that are rare there.
+ORDINARY_PRIOR = 1000.0
 
 
 def match_spans(text: Column, pattern: str, value_group: int = 0) -> Column:
@@ -116,18 +119,21 @@ def fit(samples: DataFrame, value_col: str = "value", label_col: str = "label")
     """Log-likelihood ratios of random against ordinary strings for each pair of places, in whole thousandths of a nat.
 
     Pairs are first-order Markov steps. The random model is half learned from label 1, with the even distribution as
-    its other half, as secrets may be of any alphabet; the ordinary one is learned from label 0 with a weak even prior.
+    its other half, as secrets may be of any alphabet; the ordinary one is learned from label 0 and falls back on how often
+    single characters follow there.
     Counts are made by Spark; the table has one number for each pair of the alphabet's places.
     """
     size, places = len(ALPHABET) + 1, range(1, len(ALPHABET) + 1)
     counts = {(r["label"], r["pair"]): r["n"] for r in pair_counts(samples, value_col, label_col).collect()}  # two numbers a pair of places at most
-    table = [0] * size * size
+    table, even = [0] * size * size, 1 / len(places)
+    single = {b: sum(counts.get((0, a * size + b), 0) for a in places) for b in places}
+    share = {b: (single[b] + 1) / (sum(single.values()) + len(places)) for b in places}
     for a in places:
         seen = [sum(counts.get((label, a * size + b), 0) for b in places) for label in (0, 1)]
         for b in places:
-            ordinary = (counts.get((0, a * size + b), 0) + PRIOR / len(places)) / (seen[0] + PRIOR)
-            learned = (counts.get((1, a * size + b), 0) + PRIOR / len(places)) / (seen[1] + PRIOR)
-            table[a * size + b] = math.floor(1000 * math.log((LEARNED * learned + (1 - LEARNED) / len(places)) / ordinary) + 0.5)
+            ordinary = (counts.get((0, a * size + b), 0) + ORDINARY_PRIOR * share[b]) / (seen[0] + ORDINARY_PRIOR)
+            learned = (counts.get((1, a * size + b), 0) + RANDOM_PRIOR * even) / (seen[1] + RANDOM_PRIOR)
+            table[a * size + b] = math.floor(1000 * math.log((LEARNED * learned + (1 - LEARNED) * even) / ordinary) + 0.5)
     return table
 
 

@@ -107,7 +107,7 @@ def test_trees_are_the_same_at_any_size_and_close_most_leaves():
     for d, t, g in zip(docs, terms, gains):
         if t in (3, 9, 20):
             plain[int(ids[d])] += int(g)
-    assert sorted(((s, -i) for s, i in best), reverse=True) == sorted(((s, i) for i, s in plain.items()), key=lambda x: (-x[0], x[1]))[:5] or sorted(best, reverse=True) == sorted(((s, -i) for i, s in plain.items()), reverse=True)[:5]
+    assert sorted(best, reverse=True) == sorted(((s, -i) for i, s in plain.items()), reverse=True)[:5]
     assert len(opened) < 20
 
 
@@ -172,7 +172,7 @@ def test_counts_of_pairs_and_log_ratios(spark):
     got = {(r.label, divmod(r.pair, size)): r.n for r in secrets.pair_counts(samples).collect()}
     assert got == {(0, (at("a"), at("b"))): 2, (0, (at("b"), at("a"))): 1, (1, (at("z"), at("z"))): 1, (1, (at("z"), at("9"))): 1}
     even = 1 / len(secrets.ALPHABET)
-    want = math.log((0.5 * even + 0.5 * even) / ((2 + 16 * even) / (2 + 16)))
+    want = math.log((0.5 * even + 0.5 * even) / ((2 + 1000 * (2 + 1) / (3 + len(secrets.ALPHABET))) / (2 + 1000)))
     assert abs(secrets.fit(samples)[at("a") * size + at("b")] - 1000 * want) < 1
     assert set(secrets.fit(samples.limit(0))) == {0}
 
@@ -185,7 +185,9 @@ def test_labels_come_from_the_base_patterns_once_each(spark):
 
 def test_all_spans_hold_the_base_ones(spark, tmp_path):
     r = random.Random(1)
-    docs = [(i, " ".join(r.choice(["alpha", "betagamma", "deltaepsilon"]) for _ in range(50)) + (" Xk9fQ2LmZp7RtVw3YbNc4HdJs8Ge" if i == 5 else "")) for i in range(40)]
+    # some thousand ordinary words tell what is ordinary
+    word = lambda: "".join(r.choice(["al", "pha", "be", "ta", "gam", "ma", "del", "ep", "si", "lon", "ter", "min"]) for _ in range(r.randint(2, 5)))
+    docs = [(i, " ".join(word() for _ in range(150)) + (" Xk9fQ2LmZp7RtVw3YbNc4HdJs8Ge" if i == 5 else "")) for i in range(40)]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     rows = {x.doc_id: x.spans for x in op13_secret_scans(spark, str(tmp_path)).collect()}
     at = docs[5][1].index("Xk9")
