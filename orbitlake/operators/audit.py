@@ -65,7 +65,8 @@ def rule_search(df: DataFrame, cuts: dict[str, list[float]], gain: str, wins: Co
     # a group without selected rows leaves the whole gain when left out
     worst = F.greatest(F.max("v"), F.when(F.count("*") < groups, F.lit(0.0)).otherwise(F.max("v")))
     out = per.groupBy("r").agg(F.sum("v").alias("gain"), F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), (F.sum("v") - worst).alias("loo_min"), (F.sum("v") * (1.0 - 1.0 / max(groups, 1))).alias("loo_mean"))
-    return out.select("r.feature", "r.op", "r.threshold", "gain", "tp", "fp", "loo_min", "loo_mean")
+    told = out.select("r.feature", "r.op", "r.threshold", "gain", "tp", "fp", "loo_min", "loo_mean")
+    return told.orderBy(F.desc("gain"), "feature", "op", "threshold")  # a row a rule
 
 
 def replay(epochs: DataFrame, chunks: DataFrame, by: list[str], epoch: str, base: str, other: str) -> DataFrame:
