@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.signals import finite
+from .windows import ranked
 
 
 def error_metrics(df: DataFrame, by: list[str], error: str) -> DataFrame:
@@ -18,6 +19,23 @@ def error_metrics(df: DataFrame, by: list[str], error: str) -> DataFrame:
     )
 
 
+def rank_percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Straight-line percentiles of the values that are not null, under the names given, for groups of any size.
+
+    Each lies between two ranks of its group, and only those rows are aggregated: no group is one task.
+    """
+    rows = ranked(df.select(*by, F.col(value).alias("__v")).where("__v is not null"), by, ["__v"])
+    at = {n: F.lit(q) * (F.col("rank_of") - 1) for n, q in shares.items()}
+    near = F.lit(False)
+    for x in at.values():
+        near = near | (F.col("rank") == F.floor(x)) | (F.col("rank") == F.ceil(x))
+    aggs = []
+    for n, x in at.items():
+        low, high = F.max(F.when(F.col("rank") == F.floor(x), F.col("__v"))), F.max(F.when(F.col("rank") == F.ceil(x), F.col("__v")))
+        aggs.append((low + (high - low) * F.max(x - F.floor(x))).alias(n))
+    return rows.where(near).groupBy(*by).agg(*aggs)
+
+
 def with_overall(df: DataFrame, by: str, aggs: list[Column], name: str = "OVERALL") -> DataFrame:
     """Aggregates for each value of `by` and for all rows."""
     return df.rollup(by).agg(*aggs, F.grouping(by).alias("__all")).withColumn(by, F.when(F.col("__all") == 1, name).otherwise(F.col(by).cast("string"))).drop("__all")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.signals import finite
+from .aggregates import rank_percentiles
 
 _OPS = {"<=": operator.le, ">=": operator.ge, "<": operator.lt, ">": operator.gt}
 
@@ -84,7 +85,8 @@ def value_deltas(left: DataFrame, right: DataFrame, keys: list[str], columns: li
     long = both.select("__a", "__b", F.explode(pairs).alias("x")).select("__a", "__b", "x.*")
     n = lambda c: F.count(F.when(c, 1))
     ha, hb = F.col("__a").isNotNull(), F.col("__b").isNotNull()
-    return long.groupBy("field").agg(n(ha & hb).alias("matched"), n(ha & ~hb).alias("left_only"), n(~ha & hb).alias("right_only"), F.avg("d").alias("mean"), F.percentile("d", F.lit(0.95)).alias("p95"), F.max("d").alias("max"))
+    sums = long.groupBy("field").agg(n(ha & hb).alias("matched"), n(ha & ~hb).alias("left_only"), n(~ha & hb).alias("right_only"), F.avg("d").alias("mean"), F.max("d").alias("max"))
+    return sums.join(rank_percentiles(long, ["field"], "d", {"p95": 0.95}), "field", "left").select("field", "matched", "left_only", "right_only", "mean", "p95", "max")
 
 
 def reconcile(left: DataFrame, right: DataFrame, keys: list[str], count: str) -> DataFrame:

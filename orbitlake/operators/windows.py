@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 
 def past_features(df: DataFrame, by: str, order: list[str], value: str, rows: int) -> DataFrame:
     """Mean, sample deviation and maximum of the `rows` values strictly before each row."""
@@ -46,13 +48,31 @@ def islands(df: DataFrame, by: str, order: list[str], flag: Column, least: int =
     return runs.groupBy(by, "__i").agg(F.count("*").alias("n"), F.min(order[0]).alias("first"), F.max(order[0]).alias("last")).where(F.col("n") >= least).drop("__i")
 
 
+def ranked(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Rows with `rank` (from 0, by `order` within a group) and `rank_of`, the rows of the group; null keys are a group.
+
+    The table is dealt by ranges of (group, order), so that a group of any size is many tasks. A row's place in its range plus
+    the rows of the group in earlier ranges is its rank; only the counts, one row for a group in a range, meet in a window.
+    """
+    keys = by + order
+    rows = stored(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__id", F.monotonically_increasing_id()))
+    part = F.shiftright("__id", 33).alias("__p")
+    w = Window.partitionBy(*([f"__k{i}" for i in range(len(by))] or [F.lit(0)]))
+    named = [F.col(c).alias(f"__k{i}") for i, c in enumerate(by)]
+    counts = rows.groupBy(*named, part).agg(F.count("*").alias("__c"), F.min("__id").alias("__lo"))
+    counts = counts.withColumns({"__before": F.sum("__c").over(w.orderBy("__p")) - F.col("__c") - F.col("__lo"), "rank_of": F.sum("__c").over(w)}).drop("__c", "__lo")
+    on = part.eqNullSafe(counts["__p"])
+    for i, c in enumerate(by):
+        on = on & rows[c].eqNullSafe(counts[f"__k{i}"])
+    return rows.join(counts, on).select(*[rows[c] for c in df.columns], (F.col("__id") + F.col("__before")).alias("rank"), "rank_of")
+
+
 def count_windows(df: DataFrame, by: list[str], order: list[str], size: int, stride: int) -> DataFrame:
     """Rows with the numbers of the full windows of `size` rows, one every `stride`, that hold them."""
-    w = Window.partitionBy(*by)
-    numbered = df.withColumns({"__r": F.row_number().over(w.orderBy(*order)) - 1, "__n": F.count("*").over(w)})
-    first = F.greatest(F.lit(0), F.ceil((F.col("__r") - size + 1) / stride)).cast("int")
-    last = F.least(F.floor(F.col("__r") / stride), F.floor((F.col("__n") - size) / stride)).cast("int")
-    return numbered.where((F.col("__n") >= size) & (last >= first)).withColumn("window", F.explode(F.sequence(first, last))).drop("__r", "__n")
+    r = F.col("rank")
+    first = F.greatest(F.lit(0), F.ceil((r - size + 1) / stride)).cast("int")
+    last = F.least(F.floor(r / stride), F.floor((F.col("rank_of") - size) / stride)).cast("int")
+    return ranked(df, by, order).where((F.col("rank_of") >= size) & (last >= first)).withColumn("window", F.explode(F.sequence(first, last))).drop("rank", "rank_of")
 
 
 def jumps(df: DataFrame, by: list[str], order: list[str], value: str, limit: float | Column) -> DataFrame:

@@ -83,7 +83,7 @@ def track_error_metrics(spark, sf_dir):
 
 @_query("""SELECT round(0.5 * (quantile_cont(value, 0.5) + quantile_cont(value, 0.95)), 6) AS score FROM events WHERE value IS NOT NULL""")
 def competition_score(spark, sf_dir):
-    m = aggregates.error_metrics(_read(spark, sf_dir, "events"), [], "value")
+    m = aggregates.rank_percentiles(_read(spark, sf_dir, "events").where(signals.finite(F.col("value"))), [], "value", {"p50": 0.5, "p95": 0.95})
     return m.select(_r((F.col("p50") + F.col("p95")) * 0.5).alias("score"))
 
 

@@ -8,11 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or the context's checkpoint folder; an error where neither is set, as a folder of
-    this machine would be lost to the other ones."""
+    """The folder of spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Where neither is set, a session on one machine (a local master) takes a folder in its warehouse; on a cluster it is an
+    error, as a folder of this machine would be lost to the other ones.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
     return folder.rstrip("/")
 
 
