@@ -182,7 +182,9 @@ def fit(
             p = min(max(mean if n else 0.5, 1e-6), 1 - 1e-6)
             mean = log(p / (1 - p))
         model.start.append(mean)
-    now = stored(rows.withColumn("__s", F.array(*[F.lit(s) for s in model.start])))
+    # narrow rows, much work on each: dealt once over all partitions, which small tables would not be by their bytes
+    dealt = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    now = stored(dealt.withColumn("__s", F.array(*[F.lit(s) for s in model.start])))
     used = [F.col("__fold") != k for k in range(folds)] + [F.lit(True)]
     grown: list[list[Tree]] = [[] for _ in range(folds + 1)]
     for i in range(rounds):
