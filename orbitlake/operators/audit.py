@@ -15,8 +15,11 @@ _OPS = {"<=": operator.le, ">=": operator.ge, "<": operator.lt, ">": operator.gt
 
 
 def expand_windows(epochs: DataFrame, windows: DataFrame, by: list[str], elapsed: str, index: str, value: str, width: float = 30.0) -> DataFrame:
-    """Each epoch with the value of its window; null outside of all."""
-    w = windows.select(*by, F.col(index).cast("long").alias("__w"), value)
+    """Each epoch with the value of its window; null outside of all.
+
+    Windows are many (often exploded from one row a track), so they are merged with the epochs and never broadcast.
+    """
+    w = windows.select(*by, F.col(index).cast("long").alias("__w"), value).hint("merge")
     return epochs.withColumn("__w", F.floor(F.col(elapsed) / width).cast("long")).join(w, [*by, "__w"], "left").withColumnRenamed("__w", index)
 
 
@@ -71,8 +74,11 @@ def rule_search(df: DataFrame, cuts: dict[str, list[float]], gain: str, wins: Co
 
 
 def replay(epochs: DataFrame, chunks: DataFrame, by: list[str], epoch: str, base: str, other: str) -> DataFrame:
-    """Epochs with `error`: that of the other source inside the chosen chunks [start, end], of the base one elsewhere."""
-    spans = chunks.select(*by, F.explode(F.sequence("start", "end")).alias(epoch)).distinct().withColumn("__on", F.lit(True))
+    """Epochs with `error`: that of the other source inside the chosen chunks [start, end], of the base one elsewhere.
+
+    Chunks become a row an epoch, far more than their table tells, so they are merged with the epochs and never broadcast.
+    """
+    spans = chunks.select(*by, F.explode(F.sequence("start", "end")).alias(epoch)).distinct().withColumn("__on", F.lit(True)).hint("merge")
     return epochs.join(spans, [*by, epoch], "left").withColumn("error", F.when(F.col("__on"), F.col(other)).otherwise(F.col(base))).drop("__on")
 
 
