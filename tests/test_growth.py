@@ -13,3 +13,14 @@ def test_chunks_of_a_replay_are_never_broadcast(spark):
     out = audit.replay(e, chunks, ["u"], "k", "base", "other")
     assert "BroadcastHashJoin" not in plan(out)
     assert sorted((r.u, r.k, r.error) for r in out.collect()) == [("a", k, 2.0 if 1 <= k <= 4 else 1.0) for k in range(6)] + [("b", 0, 1.0)]
+
+
+def windows_of(spark):
+    e = spark.createDataFrame([("a", 1.0, 0.5, 1), ("a", 31.0, 0.7, 2), ("a", 45.0, 0.1, 3), ("b", 1.0, 0.5, 4)], "u string, s double, p double, id int")
+    return audit.expand_windows(e, spark.createDataFrame([("a", 0, 100.0), ("a", 1, 50.0)], "u string, i int, rate double"), ["u"], "s", "i", "rate")
+
+
+def test_windows_are_never_broadcast(spark):
+    out = windows_of(spark)
+    assert "BroadcastHashJoin" not in plan(out)
+    assert sorted((r.id, r.i, r.rate) for r in out.collect()) == [(1, 0, 100.0), (2, 1, 50.0), (3, 1, 50.0), (4, 0, None)]
