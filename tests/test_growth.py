@@ -24,3 +24,9 @@ def test_windows_are_never_broadcast(spark):
     out = windows_of(spark)
     assert "BroadcastHashJoin" not in plan(out)
     assert sorted((r.id, r.i, r.rate) for r in out.collect()) == [(1, 0, 100.0), (2, 1, 50.0), (3, 1, 50.0), (4, 0, None)]
+
+
+def test_budgets_over_windows_are_never_broadcast(spark):
+    out = audit.budgeted_top(windows_of(spark).where("rate is not null"), ["u", "i"], "rate", "p", ["id"])
+    assert "BroadcastHashJoin" not in plan(out)
+    assert sorted((r.id, r.chosen) for r in out.collect()) == [(1, True), (2, True), (3, False)]
