@@ -87,7 +87,7 @@ def _particles(spark, sf_dir):
     p = _read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("epoch"), k.alias("id"), (F.col("c_acctbal") / 100).alias("x"), d(k % 97).alias("y"), d(k % 53).alias("z"), d(k % 11).alias("clock"))
     s, b = F.col("s_suppkey"), F.col("s_acctbal")
     o = _read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("epoch"), b.alias("sx"), (1000.0 + s).alias("sy"), (2000.0 - s).alias("sz"), (F.sqrt(b * b + 1000.0 * 1000 + 2000.0 * 2000) + s % 60).alias("pr"), (1.0 + s % 2).alias("w"))
-    return particles.residuals(p, o, ["epoch"])
+    return p, o
 
 
 def _weights(out):
@@ -97,29 +97,29 @@ def _weights(out):
 @_query(f"WITH {_PARTICLES}, g AS (SELECT epoch, id, sum(-0.5 * w * r * r / 900) AS a, sum(CASE WHEN abs(r) <= 40 THEN -0.5 * w * r * r / 900 ELSE 0 END) AS i, count(*) FILTER (WHERE abs(r) <= 40) AS n, count(*) AS m FROM r GROUP BY ALL) SELECT epoch, id, round(CASE WHEN n >= least(4, m) THEN i ELSE a END, 4) AS log_weight FROM g")
 def particle_code_weights(spark, sf_dir):
     """Gaussian weights with a gate that needs four satellites."""
-    return _weights(particles.weight_code(_particles(spark, sf_dir), ["epoch", "id"], 30.0, gate=40.0))
+    return _weights(particles.cloud_code_weights(*_particles(spark, sf_dir), ["epoch"], ["epoch", "id"], 30.0, gate=40.0))
 
 
 @_query(f"WITH {_PARTICLES} SELECT epoch, id, round(sum(-2.0 * ln(1 + w * r * r / (3 * 900))), 4) AS log_weight FROM r GROUP BY ALL")
 def particle_student_weights(spark, sf_dir):
-    return _weights(particles.weight_code(_particles(spark, sf_dir), ["epoch", "id"], 30.0, nu=3.0))
+    return _weights(particles.cloud_code_weights(*_particles(spark, sf_dir), ["epoch"], ["epoch", "id"], 30.0, nu=3.0))
 
 
 @_query(f"WITH {_PARTICLES}, u AS (SELECT *, sqrt(w) * abs(r) / 30 AS u FROM r) SELECT epoch, id, round(sum(-CASE WHEN u <= 1.5 THEN 0.5 * u * u ELSE 1.5 * (u - 0.75) END), 4) AS log_weight FROM u GROUP BY ALL")
 def particle_huber_weights(spark, sf_dir):
-    return _weights(particles.weight_code(_particles(spark, sf_dir), ["epoch", "id"], 30.0, huber=1.5))
+    return _weights(particles.cloud_code_weights(*_particles(spark, sf_dir), ["epoch"], ["epoch", "id"], 30.0, huber=1.5))
 
 
 @_query(f"WITH {_PARTICLES} SELECT epoch, id, round(sum(ln(0.7 / 10 * exp(-0.5 * w * r * r / 100 - k) + 0.3 / 50 * exp(-0.5 * w * (r - 20) ^ 2 / 2500 - k)) + k), 3) AS log_weight FROM (SELECT *, greatest(-0.5 * w * r * r / 100, -0.5 * w * (r - 20) ^ 2 / 2500) AS k FROM r) GROUP BY ALL")
 def particle_mixture_weights(spark, sf_dir):
-    out = particles.weight_mixture(_particles(spark, sf_dir), ["epoch", "id"], 10.0, 0.7, 20.0, 50.0)
+    out = particles.cloud_mixture_weights(*_particles(spark, sf_dir), ["epoch"], ["epoch", "id"], 10.0, 0.7, 20.0, 50.0)
     return out.select("epoch", "id", _r("log_weight", 3).alias("log_weight"))
 
 
 @_query(f"WITH {_PARTICLES}, c AS (SELECT *, pr / 0.7 - (rng + clock) / 0.7 AS c FROM r) SELECT epoch, id, round(sum(-0.5 * w * (c - round_even(c, 0)) ^ 2 / 0.01), 3) AS log_weight FROM c GROUP BY ALL")
 def particle_phase_weights(spark, sf_dir):
-    met = _particles(spark, sf_dir).withColumn("phase", F.col("pr") / 0.7)
-    return particles.weight_phase(met, ["epoch", "id"], "phase", 0.7, 0.1).select("epoch", "id", _r("log_weight", 3).alias("log_weight"))
+    p, o = _particles(spark, sf_dir)
+    return particles.cloud_phase_weights(p, o.withColumn("phase", F.col("pr") / 0.7), ["epoch"], ["epoch", "id"], "phase", 0.7, 0.1).select("epoch", "id", _r("log_weight", 3).alias("log_weight"))
 
 
 _CLOUD = "c AS (SELECT c_nationkey AS epoch, c_custkey AS id, c_acctbal AS x, (c_custkey % 97)::DOUBLE AS y, (c_custkey % 53)::DOUBLE AS z, -(c_custkey % 17) / 4.0 AS lw FROM customer)"
@@ -145,10 +145,9 @@ def particle_position_update(spark, sf_dir):
 @_query(f"""WITH {_PARTICLES}, s AS (SELECT epoch, median(pr - sqrt(sx * sx + sy * sy + sz * sz)) - 5 AS shift FROM o GROUP BY epoch) SELECT epoch, id, round(clock + shift, 6) AS clock FROM p JOIN s USING (epoch)""")
 def particle_clock_recentre(spark, sf_dir):
     """Clocks moved by the median residual at the present estimate, less its clock."""
-    met = _particles(spark, sf_dir)
-    o = met.select("epoch", "sx", "sy", "sz", "pr").distinct()
+    p, o = _particles(spark, sf_dir)
     shift = o.groupBy("epoch").agg((F.percentile(F.col("pr") - F.sqrt(F.col("sx") * F.col("sx") + F.col("sy") * F.col("sy") + F.col("sz") * F.col("sz")), F.lit(0.5)) - 5).alias("shift"))
-    return particles.recentre_clock(met.select("epoch", "id", "clock").distinct(), shift, ["epoch"]).select("epoch", "id", _r("clock").alias("clock"))
+    return particles.recentre_clock(p, shift, ["epoch"]).select("epoch", "id", _r("clock").alias("clock"))
 
 
 @_query(f"""WITH {_CLOUD}, w AS (SELECT *, sum(exp(lw)) OVER (PARTITION BY epoch ORDER BY id) / sum(exp(lw)) OVER (PARTITION BY epoch) AS hi FROM c), b AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY epoch ORDER BY id), 0) AS lo FROM w),

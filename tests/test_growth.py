@@ -1,6 +1,11 @@
 """Steps whose tables grow on the way: the plan must not send them through the driver, nor one key's rows through one task."""
 
-from orbitlake.operators import audit
+import random
+
+import pytest
+
+from orbitlake.operators import audit, particles
+from orbitlake.plans.all_queries import QUERIES
 
 
 def plan(df):
@@ -30,3 +35,37 @@ def test_budgets_over_windows_are_never_broadcast(spark):
     out = audit.budgeted_top(windows_of(spark).where("rate is not null"), ["u", "i"], "rate", "p", ["id"])
     assert "BroadcastHashJoin" not in plan(out)
     assert sorted((r.id, r.chosen) for r in out.collect()) == [(1, True), (2, True), (3, False)]
+
+
+def sky_and_cloud(spark):
+    r = random.Random(4)
+    p = [(i % 2, i, *[r.uniform(-50, 50) for _ in range(3)], 1.0) for i in range(40)] + [(0, 90, None, 0.0, 0.0, 1.0), (7, 91, 0.0, 0.0, 0.0, 1.0), (None, 92, 0.0, 0.0, 0.0, 1.0)]
+    o = [(i % 2, r.uniform(-900, 900), 1000.0 + i, 2000.0 - i, 2200.0 + r.uniform(-90, 90), 1.0 + i % 2, 3000.0 + i / 7) for i in range(30)]
+    o += [(0, 1.0, 2.0, 2200.0, 2180.0, None, 3.0), (1, 1.0, 2.0, None, 2180.0, 1.0, 3.0), (3, 1.0, 2.0, 3.0, 4.0, 1.0, 3.0)]
+    return spark.createDataFrame(p, "epoch int, id long, x double, y double, z double, clock double"), spark.createDataFrame(o, "epoch int, sx double, sy double, sz double, pr double, w double, phase double")
+
+
+@pytest.mark.parametrize("kind", ["plain", "gate", "student", "huber", "mixture", "phase"])
+def test_weights_by_blocks_equal_those_of_pairs(spark, kind, monkeypatch):
+    p, o = sky_and_cloud(spark)
+    keys, met = ["epoch", "id"], particles.residuals(p, o, ["epoch"])
+    options = {"plain": {}, "gate": {"gate": 40.0}, "student": {"nu": 3.0}, "huber": {"huber": 1.5}}
+    monkeypatch.setattr(particles.paired_sums, "__defaults__", (None, [], 7))
+    if kind == "mixture":
+        want, got = particles.weight_mixture(met, keys, 10.0, 0.7, 20.0, 50.0), particles.cloud_mixture_weights(p, o, ["epoch"], keys, 10.0, 0.7, 20.0, 50.0)
+    elif kind == "phase":
+        want, got = particles.weight_phase(met, keys, "phase", 0.7, 0.1), particles.cloud_phase_weights(p, o, ["epoch"], keys, "phase", 0.7, 0.1)
+    else:
+        want, got = particles.weight_code(met, keys, 30.0, **options[kind]), particles.cloud_code_weights(p, o, ["epoch"], keys, 30.0, **options[kind])
+    told = lambda df: {(r.epoch, r.id): r.log_weight if r.log_weight is None else round(r.log_weight, 6) for r in df.collect()}
+    assert told(got) == told(want) and len(told(got)) == 41
+
+
+@pytest.mark.parametrize("query", ["particle_code_weights", "particle_student_weights", "particle_huber_weights", "particle_mixture_weights", "particle_phase_weights"])
+def test_a_cloud_and_its_sky_are_dealt_into_blocks(spark, query):
+    assert "FlatMapCoGroupsInArrow" in plan(QUERIES[query](spark, "/root/testdata/sf0.001"))
+
+
+def test_clocks_are_recentred_without_pairs(spark):
+    text = plan(QUERIES["particle_clock_recentre"](spark, "/root/testdata/sf0.001"))
+    assert text.count("Join ") == 1
