@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 
 def nearest_asof(left: DataFrame, right: DataFrame, by: str, at: str, value: str, tolerance: float | None = None) -> DataFrame:
     """Each left row with the nearest right row of its key: columns `{value}`, `{at}_right`; a tie goes to the earlier.
@@ -120,23 +125,42 @@ def in_both_epochs(rows: DataFrame, by: list[str], epoch: str, value: str) -> Da
     return out.where(F.col("__e") == F.col(epoch) - 1).drop("__e")
 
 
+def _finer(counts: DataFrame, aim: int, fold: int) -> int:
+    """How often to halve cells so that the fullest (column count) holds about `aim`, where halving makes `fold` cells of one."""
+    most = counts.agg(F.max("count")).first()[0] or 1
+    return min(20, max(0, math.ceil(math.log(most / aim, fold))))
+
+
 def best_record(queries: DataFrame, records: DataFrame, by: str, at: str, reference: str, width: float, priority: str, week: float = 604800.0) -> DataFrame:
     """Each query with the record of its key whose reference time is nearest and within `width`; then the higher priority.
 
-    Times are seconds of a week that wraps round. An equi join on the key and cells of `width` seconds: a record goes to
-    its own cell and the ones beside it, so no query meets more than the records of three cells.
+    Times are seconds of a week that wraps round. Of records of one key and time the best is kept. An equi join on the key and
+    cells of the week: a cell's row lists the records in it and in the ones beside. Cells are first so small that they hold
+    few records; a record found no further away than a cell is long is the nearest, and queries without one go on with
+    cells twice as long, up to `width`. So work follows the queries, not the records that are near them.
     """
-    cells = int(week // width)
-    cell = lambda c: F.floor(F.pmod(F.col(c), F.lit(week)) / width).cast("long")
-    wide = records.withColumn("__c", F.explode(F.array(*[F.pmod(cell(reference) + i, F.lit(cells + 1)) for i in (-2, -1, 0, 1, 2)]))).distinct()
-    met = queries.withColumn("__c", cell(at)).join(wide, [by, "__c"])
-    apart = F.abs(F.col(at) - F.col(reference))
-    dt = F.when(apart > week / 2, week - apart).otherwise(apart)
-    met = met.withColumn("__dt", dt).where(F.col("__dt") <= width)
-    keys = queries.columns
     own = [c for c in records.columns if c != by]
-    best = met.groupBy(*keys).agg(F.min(F.struct("__dt", (-F.col(priority)).alias("p"), *own)).alias("b"))
-    return best.select(*keys, F.col("b.__dt").alias("dt"), *[F.col(f"b.{c}") for c in own])
+    place = lambda c, n: F.least(F.floor(F.pmod(F.col(c), F.lit(week)) / (week / n)).cast("long"), F.lit(n - 1))
+    least = max(1, int(week // width))
+    some = records.where(F.col(by).isNotNull() & F.col(reference).isNotNull())
+    one = stored(some.groupBy(by, F.col(reference).alias("__ref")).agg(F.min(F.struct((-F.col(priority)).alias("p"), *own)).alias("__r")))
+    levels = _finer(one.groupBy(by, place("__ref", least)).count(), 4, 2)
+    rest, found = queries.distinct(), []
+    for level in range(levels, -1, -1):
+        n = least << level
+        cells = F.explode(F.array_distinct(F.array(*[F.pmod(place("__ref", n) + i, F.lit(n)) for i in (-1, 0, 1)])))
+        near = one.select(F.col(by), cells.alias("__c"), "__ref", "__r").groupBy(by, "__c").agg(F.collect_list(F.struct("__ref", "__r")).alias("__near")).hint("merge")
+        reach = min(width, week / n * (1 - 1e-9)) if level else width
+
+        def told(h):
+            apart = F.abs(F.col(at) - h["__ref"])
+            return F.struct(F.when(apart > week / 2, week - apart).otherwise(apart).alias("dt"), h["__r"].alias("r"))
+
+        best = F.array_min(F.filter(F.transform("__near", told), lambda h: h["dt"] <= reach))
+        met = stored(rest.withColumn("__c", place(at, n)).join(near, [by, "__c"], "left").select(*queries.columns, best.alias("__b")))
+        found.append(met.where("__b is not null").select(*queries.columns, F.col("__b.dt").alias("dt"), *[F.col(f"__b.r.{c}").alias(c) for c in own]))
+        rest = met.where("__b is null").select(*queries.columns)
+    return reduce(DataFrame.unionByName, found)
 
 
 def double_differences(rover: DataFrame, base: DataFrame, epoch: list[str], satellite: str, system: str, value: str, elevation: str, least: int = 2) -> DataFrame:
@@ -152,12 +176,34 @@ def double_differences(rover: DataFrame, base: DataFrame, epoch: list[str], sate
 
 
 def nearest_point(points: DataFrame, references: DataFrame, key: str, xy: list[str], label: str, reach: float) -> DataFrame:
-    """(key, label, distance) of the nearest reference point within `reach`, by cells of that size and the ones beside."""
-    cell = lambda c: F.floor(F.col(c) / reach).cast("long")
-    near = references.select(F.col(label), *[F.col(c).alias(f"__{c}") for c in xy], *[F.explode(F.array(*[cell(c) + i for i in (-1, 0, 1)])).alias(f"c_{c}") if j == 0 else cell(c).alias(f"r_{c}") for j, c in enumerate(xy)])
-    for c in xy[1:]:
-        near = near.withColumn(f"c_{c}", F.explode(F.array(*[F.col(f"r_{c}") + i for i in (-1, 0, 1)])))
-    met = points.select(key, *xy, *[cell(c).alias(f"c_{c}") for c in xy]).join(near, [f"c_{c}" for c in xy])
-    d = F.sqrt(sum(((F.col(c) - F.col(f"__{c}")) * (F.col(c) - F.col(f"__{c}")) for c in xy), F.lit(0.0)))
-    best = met.withColumn("distance", d).where(F.col("distance") <= reach).groupBy(key).agg(F.min(F.struct("distance", label)).alias("b"))
-    return best.select(key, F.col(f"b.{label}").alias(label), F.col("b.distance").alias("distance"))
+    """(key, label, distance) of the nearest reference point within `reach`; of equally near ones the lowest label.
+
+    An equi join on cells: a cell's row lists the references in it and in the ones beside, one for each place. Cells are first
+    so small that they hold few references; one found no further away than a cell is wide is the nearest, and points
+    without one go on with cells twice as wide, up to `reach`. So work follows the points, not the references near them.
+    """
+    names = [f"__{c}" for c in xy]
+    known = references.where(" and ".join(f"`{c}` is not null" for c in xy))
+    one = stored(known.groupBy(*[F.col(c).alias(n) for c, n in zip(xy, names)]).agg(F.min(F.struct(label))[label].alias("__label")))
+    cell = lambda c, size: F.floor(F.col(c) / size).cast("long")
+    levels = _finer(one.groupBy(*[cell(c, reach) for c in names]).count(), 8, 1 << len(xy))
+    rest, found = points.select(key, *xy), []
+    for level in range(levels, -1, -1):
+        size = reach / 2**level
+        near = one
+        for i, c in enumerate(names):
+            near = near.withColumn(f"c{i}", F.explode(F.array(*[cell(c, size) + j for j in (-1, 0, 1)])))
+        on = [f"c{i}" for i in range(len(xy))]
+        near = near.groupBy(*on).agg(F.collect_list(F.struct(*names, "__label")).alias("__near")).hint("merge")
+        within = size * (1 - 1e-9) if level else reach
+
+        def told(h):
+            d = F.sqrt(sum(((F.col(c) - h[n]) * (F.col(c) - h[n]) for c, n in zip(xy, names)), F.lit(0.0)))
+            return F.struct(d.alias("distance"), h["__label"].alias("label"))
+
+        best = F.array_min(F.filter(F.transform("__near", told), lambda h: h["distance"] <= within))
+        met = stored(rest.select("*", *[cell(c, size).alias(k) for c, k in zip(xy, on)]).join(near, on, "left").select(key, *xy, best.alias("__b")))
+        found.append(met.where("__b is not null").select(key, "__b"))
+        rest = met.where("__b is null").select(key, *xy)
+    best = reduce(DataFrame.unionByName, found).groupBy(key).agg(F.min("__b").alias("b"))
+    return best.select(key, F.col("b.label").alias(label), F.col("b.distance").alias("distance"))

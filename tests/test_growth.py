@@ -1,10 +1,11 @@
 """Steps whose tables grow on the way: the plan must not send them through the driver, nor one key's rows through one task."""
 
+import math
 import random
 
 import pytest
 
-from orbitlake.operators import audit, particles
+from orbitlake.operators import audit, joins, particles
 from orbitlake.plans.all_queries import QUERIES
 
 
@@ -69,3 +70,36 @@ def test_a_cloud_and_its_sky_are_dealt_into_blocks(spark, query):
 def test_clocks_are_recentred_without_pairs(spark):
     text = plan(QUERIES["particle_clock_recentre"](spark, "/root/testdata/sf0.001"))
     assert text.count("Join ") == 1
+
+
+def test_nearest_of_many_references_meets_few_of_them(spark):
+    r = random.Random(5)
+    refs = [(i, r.uniform(0, 50), r.uniform(0, 50)) for i in range(600)] + [(900, 25.0, 190.0), (5, 7.0, 7.0), (3, 7.0, 7.0), (901, None, 1.0)]
+    pts = [(i, r.uniform(-60, 120), r.uniform(-60, 400)) for i in range(300)] + [(300, 7.0, 7.0), (301, None, 1.0)]
+    out = joins.nearest_point(spark.createDataFrame(pts, "k int, x double, y double"), spark.createDataFrame(refs, "l int, x double, y double"), "k", ["x", "y"], "l", 100.0)
+    want = {}
+    for k, x, y in pts:
+        near = [(math.sqrt((x - a) ** 2 + (y - b) ** 2), label) for label, a, b in refs if x is not None and a is not None]
+        if near and min(near)[0] <= 100.0:
+            want[k] = min(near)
+    assert {x.k: (pytest.approx(x.distance), x.l) for x in out.collect()} == {k: (d, label) for k, (d, label) in want.items()}
+    assert joins._finer(spark.createDataFrame([(600,)], "count long"), 8, 4) == 4  # cells of 6.25 to start with
+
+
+def test_best_of_many_records_meets_few_of_them(spark):
+    r = random.Random(6)
+    recs = [(i % 2, i, float(r.randrange(0, 9000)), i % 3) for i in range(400)] + [(0, 900, 604790.0, 1), (0, 901, 300000.0, 1), (0, 902, 300000.0, 2), (1, 903, None, 1)]
+    asks = [(i, i % 3, float(r.randrange(0, 20000))) for i in range(200)] + [(500, 0, 604799.0), (501, 0, 301000.0), (502, 0, 604000.0), (503, None, 5.0), (504, 1, None)]
+    out = joins.best_record(spark.createDataFrame(asks, "k int, prn int, t double"), spark.createDataFrame(recs, "prn int, rec int, toe double, priority int"), "prn", "t", "toe", 7200.0, "priority")
+    want = {}
+    for k, prn, t in asks:
+        near = [(min(abs(t - toe), 604800 - abs(t - toe)), -p, rec) for s, rec, toe, p in recs if s == prn and toe is not None and t is not None]
+        if near and min(near)[0] <= 7200:
+            want[k] = min(near)
+    assert {x.k: (x.dt, -x.priority, x.rec) for x in out.collect()} == want and want[501][2] == 902
+
+
+@pytest.mark.parametrize("query, table", [("best_ephemeris", "o_orderkey"), ("nearest_reference", "c_custkey")])
+def test_near_rows_come_as_one_list_a_cell(spark, query, table):
+    text = plan(QUERIES[query](spark, "/root/testdata/sf0.001"))
+    assert "Generate explode" not in text and "BroadcastHashJoin" not in text
