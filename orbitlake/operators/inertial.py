@@ -31,7 +31,8 @@ def preintegrate(samples: DataFrame, epochs: DataFrame, width: float = 1000.0) -
     own = samples.select("track", at.alias("t"), *[F.col(c).cast("double").alias(c) for c in [*_ACC, *_GYRO, *have]]).where("track is not null and t is not null and not isnan(t)")
     cell = lambda c: F.floor(F.col(c) / width)
     cells = spans.withColumn("cell", F.explode(F.sequence(cell("t0"), cell("t1"))))
-    met = own.withColumn("cell", cell("t")).join(cells, ["track", "cell"]).where("t >= t0 and t <= t1")
+    # an interval becomes many cells, far more than its table tells: merged, never broadcast
+    met = own.withColumn("cell", cell("t")).join(cells.hint("merge"), ["track", "cell"]).where("t >= t0 and t <= t1")
 
     # neighbours: within a slice by its order, across slices by their ends
     slices = met.groupBy("track", "t0", "t1", "cell").agg(F.min("t").alias("first"), F.max("t").alias("last"), F.count("*").alias("held"))

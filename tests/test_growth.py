@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from orbitlake.operators import audit, joins, particles
+from orbitlake.operators import audit, inertial, joins, particles
 from orbitlake.plans.all_queries import QUERIES
 
 
@@ -103,3 +103,16 @@ def test_best_of_many_records_meets_few_of_them(spark):
 def test_near_rows_come_as_one_list_a_cell(spark, query, table):
     text = plan(QUERIES[query](spark, "/root/testdata/sf0.001"))
     assert "Generate explode" not in text and "BroadcastHashJoin" not in text
+
+
+def test_cells_of_intervals_are_never_broadcast(spark):
+    samples = spark.createDataFrame([("a", float(t), 1.0, 0.0, 0.0, 0.0, 0.0, 0.0) for t in range(0, 5000, 10)], "track string, t double, ax double, ay double, az double, gx double, gy double, gz double")
+    out = inertial.preintegrate(samples, spark.createDataFrame([("a", 0.0), ("a", 4990.0)], "track string, t double"), width=7.0)
+    assert "BroadcastHashJoin [track" not in plan(out)
+    (r,) = out.collect()
+    assert r.samples == 500 and r.dvx == pytest.approx(4.99)
+
+
+def test_each_epoch_is_inverted_once(spark):
+    text = plan(QUERIES["fault_exclusion"](spark, "/root/testdata/sf0.001"))
+    assert text.count("ArrowEvalPython") == 1
