@@ -26,11 +26,12 @@ def _inverses(sums: DataFrame) -> DataFrame:
         fine = np.isfinite(unit).all(axis=(1, 2))
         fine[fine] &= np.abs(np.linalg.det(unit[fine])) > 1e-12
         q = np.linalg.inv(m[fine])
-        out = pd.DataFrame({"q": [None] * len(p), "d": [None] * len(p)}, dtype=object)
+        inverse, step = np.full(len(p), None, object), np.full(len(p), None, object)
         for i, a, x in zip(np.flatnonzero(fine), q.reshape(-1, 16), np.einsum("eij,ej->ei", q, v[fine])):
-            out.at[i, "q"], out.at[i, "d"] = a, x
-        return out
+            inverse[i], step[i] = a, x
+        return pd.DataFrame({"q": inverse, "d": step})
 
+    invert = invert.asNondeterministic()  # else a filter on q makes every inverse twice
     used = [*[f"a{i}{j}" for i, j in _UPPER], *[f"b{i}" for i in range(4)]]
     return sums.withColumn("__s", invert(F.struct(*used))).select(*[c for c in sums.columns if c not in used], "__s.*")
 
