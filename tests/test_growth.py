@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from orbitlake.operators import audit, inertial, joins, particles
+from orbitlake.operators import audit, inertial, joins, particles, rays, shades
 from orbitlake.plans.all_queries import QUERIES
 
 
@@ -116,3 +116,26 @@ def test_cells_of_intervals_are_never_broadcast(spark):
 def test_each_epoch_is_inverted_once(spark):
     text = plan(QUERIES["fault_exclusion"](spark, "/root/testdata/sf0.001"))
     assert text.count("ArrowEvalPython") == 1
+
+
+@pytest.mark.parametrize("most", [(8192, 4096, 20_000), (9, 7, 50)])
+def test_weights_by_sight_in_bundles_equal_those_of_rays(spark, most, monkeypatch):
+    for name, v in zip(("GROUP_PARTICLES", "GROUP_SATELLITES", "TRIANGLES"), most):
+        monkeypatch.setattr(shades, name, v)
+    r = random.Random(8)
+    p = [(i % 2, i, r.uniform(0, 90), r.uniform(0, 90), r.uniform(0, 4), 1.0) for i in range(80)] + [(0, 90, None, 0.0, 0.0, 1.0), (1, 91, math.nan, 0.0, 0.0, 1.0), (7, 92, 0.0, 0.0, 0.0, 1.0)]
+    o = [(i % 2, r.uniform(-900, 900), r.uniform(-900, 900), r.uniform(5, 2000), 900 + r.uniform(-90, 900), 1.0 + i % 2) for i in range(30)] + [(0, 40.0, 50.0, 3.0, 30.0, 1.0), (1, 1.0, 2.0, None, 2180.0, 1.0), (0, 1.0, 2.0, 30.0, 2180.0, None)]
+    tri = [tuple(c + r.gauss(0, 9) for _ in range(3) for c in middle) for middle in ((r.uniform(0, 90), r.uniform(0, 90), r.uniform(0, 20)) for _ in range(150))]
+    tri += tri[:40] + [(1.0, 2.0, 3.0) * 3, (None, *[1.0] * 8), (0.0, 0.0, 0.0, 9.0, 0.0, 0.0, 18.0, 0.0, 0.0)]
+    p, o = spark.createDataFrame(p, "epoch int, id long, x double, y double, z double, clock double"), spark.createDataFrame(o, "epoch int, sx double, sy double, sz double, pr double, w double")
+    mesh, keys = spark.createDataFrame(tri, ", ".join(f"{c} double" for c in rays.CORNERS)), ["epoch", "id"]
+    told = lambda df: {(x.epoch, x.id): x.log_weight if x.log_weight is None or math.isnan(x.log_weight) else round(x.log_weight, 6) for x in df.collect()}
+    for chances in ((), (0.9, 0.05)):
+        for m in (mesh, mesh.limit(0)):
+            want = told(rays.weight_by_sight(particles.residuals(p, o, ["epoch"]), m, keys, 30.0, 150.0, 15.0, *chances))
+            assert str(sorted(told(shades.cloud_sight_weights(p, o, m, ["epoch"], keys, 30.0, 150.0, 15.0, *chances)).items())) == str(sorted(want.items())) and len(want) == 82
+
+
+def test_rays_of_a_cloud_are_no_rows(spark):
+    text = plan(QUERIES["particle_sight_weights"](spark, "/root/testdata/sf0.001"))
+    assert "MapInArrow" in text and "FlatMapCoGroups" not in text
