@@ -126,3 +126,24 @@ def test_place_in_a_run(spark):
     assert got[("a", 2)] == (2.0, 0.5, 0.5, 5.0) and got[("b", 0)] == (0.0, None, None, None)
     got = {(r.run, r.t): (r.run_fraction, r.run_remaining) for r in product.with_place(df, ["run"], ["t"]).collect()}
     assert got[("a", 2)] == (1.0, 0.0) and got[("b", 0)] == (0.0, 0.0)
+
+
+@pytest.mark.parametrize("loss", ["logistic", "squared"])
+def test_sums_of_a_level_equal_those_of_long_rows(spark, loss):
+    r = np.random.default_rng(3)
+    rows = [(*[int(v) for v in r.integers(0, 5, 3)], float(r.integers(0, 2)), float(1 + i % 3), i % 4 - 1, [float(v) for v in r.normal(size=4)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "__b0 int, __b1 int, __b2 int, __y double, __w double, __fold int, __s array<double>").repartition(3)
+    grown = [[trees.Tree({1: (0, 2)}, {2: -0.3, 3: 0.2 * k})] for k in range(4)]
+    growing = [trees.Tree({1: (1, k)}, {2: 0.1, 3: -0.1}) for k in range(3)] + [trees.Tree()]
+    nodes = {(0, 2), (0, 3), (1, 3), (3, 1)}
+    models = []
+    for k in range(4):
+        s = F.col("__s")[k] + F.when(F.col("__b0") <= 2, -0.3).otherwise(0.2 * k)
+        node = F.when(F.col("__b1") <= k, 2).otherwise(3) if k < 3 else F.lit(1)
+        p = 1 / (1 + F.exp(-s)) if loss == "logistic" else s
+        used = node.isin([n for m, n in nodes if m == k]) & ((F.col("__fold") != k) | F.lit(k == 3))
+        models.append((used, node, F.col("__w") * (p - F.col("__y")), F.col("__w") * p * (1 - p) if loss == "logistic" else F.col("__w")))
+    told = lambda h: sorted(map(tuple, h.select("model", "node", "feature", "bin", "g", "h", "n").collect()))
+    out = trees.level_histogram(df, grown, growing, nodes, [5, 5, 5], loss)
+    assert told(out) == told(trees.histogram(df, models, 3))
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
