@@ -57,13 +57,65 @@ def epochs(rows: pd.DataFrame, state: tuple | None, origin: tuple, noise: tuple
     return out, state
 
 
+def step_all(x: np.ndarray, p: np.ndarray, dt: np.ndarray, old: np.ndarray, sats: np.ndarray, pr: np.ndarray, w: np.ndarray, noise: tuple = NOISE) -> tuple[np.ndarray, np.ndarray]:
+    """predict (where old) and update of many tracks at once, each with as many satellites: x (n, 8), p (n, 8, 8), sats (n, m, 3)."""
+    n, m = pr.shape
+    f = np.broadcast_to(np.eye(8), (n, 8, 8)).copy()
+    f[:, [0, 1, 2, 6], [3, 4, 5, 7]] = np.where(old, dt, 0.0)[:, None]
+    pos, vel, clk, drift = (s * s for s in noise)
+    q = np.stack([*[pos * dt * dt] * 3, *[vel * dt] * 3, clk * dt * dt, drift * dt], 1) * old[:, None]
+    x = (f @ x[:, :, None])[:, :, 0]
+    p = f @ p @ np.swapaxes(f, 1, 2)
+    i = np.arange(8)
+    p[:, i, i] += q
+    d = x[:, None, :3] - sats
+    r = np.maximum(np.linalg.norm(d, axis=2), 1e-6)
+    h = np.zeros((n, m, 8))
+    h[:, :, :3], h[:, :, 6] = d / r[:, :, None], 1.0
+    hp = h @ p
+    s = hp @ np.swapaxes(h, 1, 2)
+    i = np.arange(m)
+    s[:, i, i] += np.where(w > 1e-15, 1.0 / np.maximum(w, 1e-15), 1e6)
+    gain = np.swapaxes(np.linalg.solve(s, hp), 1, 2)
+    return x + (gain @ (pr - r - x[:, 6:7])[:, :, None])[:, :, 0], p - gain @ hp
+
+
+def epochs_of_all(track: np.ndarray, m: np.ndarray, state: tuple | None, origin: tuple, noise: tuple = NOISE) -> tuple[np.ndarray, tuple | None]:
+    """epochs() for rows t, sx, sy, sz, pr, w of many tracks that lie behind each other in time order.
+
+    The first track goes on from `state`. Returns rows of time, satellites and state by epoch, and the last track's state.
+    The k-th epochs of all tracks take a step together, those with as many satellites at once.
+    """
+    new = np.append(True, track[1:] != track[:-1])
+    heads = np.flatnonzero(new | np.append(True, m[1:, 0] != m[:-1, 0]))
+    sizes, t, first = np.diff(np.append(heads, len(m))), m[heads, 0], np.flatnonzero(new[heads])
+    of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(heads))))
+    turn = np.arange(len(heads)) - first[of]
+    was, x, p, known = np.zeros(len(first)), np.zeros((len(first), 8)), np.zeros((len(first), 8, 8)), np.zeros(len(first), bool)
+    _, x[:], p[:] = start(0.0, np.array(origin[:3]), origin[3])
+    if state is not None:
+        was[0], x[0], p[0] = state
+        known[0] = True
+    out = np.empty((len(heads), 10))
+    out[:, 0], out[:, 1] = t, sizes
+    order = np.lexsort((sizes, turn))
+    for at in np.split(order, np.flatnonzero(np.diff(turn[order]) | np.diff(sizes[order])) + 1):
+        k, rows = of[at], heads[at][:, None] + np.arange(sizes[at[0]])
+        x[k], p[k] = step_all(x[k], p[k], np.where(known[k], t[at] - was[k], 0.0), known[k], m[rows, 1:4], m[rows, 4], m[rows, 5], noise)
+        was[k], known[k] = t[at], True
+        out[at, 2:] = x[k]
+    return out, (float(was[-1]), x[-1].copy(), p[-1].copy())
+
+
 def _frame(track, out: list) -> pd.DataFrame:
     names = [c.split()[0] for c in OUT.split(", ")]
     return pd.DataFrame([(track, *r) for r in out], columns=names)
 
 
 def filter_batch(df: DataFrame, origin: tuple, noise: tuple = NOISE) -> DataFrame:
-    """Columns track, t, sx, sy, sz, pr, w. Rows come sorted by track and time; a task holds one epoch and one state.
+    """Columns track, t, sx, sy, sz, pr, w. Rows come sorted by track and time; a task holds a batch of them, one epoch and one state.
+
+    The tracks of a batch take their steps together.
 
     Rows of a null track are left out, in the stream too.
     """
@@ -74,13 +126,16 @@ def filter_batch(df: DataFrame, origin: tuple, noise: tuple = NOISE) -> DataFram
             g = g if held is None else pd.concat([held, g], ignore_index=True)
             last = (g["track"] == g["track"].iloc[-1]) & (g["t"] == g["t"].iloc[-1])
             held = g[last]
-            done = []
-            for k, part in g[~last].groupby("track", sort=False):
-                state = state if k == track else None
-                out, state = epochs(part, state, origin, noise)
-                track = k
-                done += [(k, *r) for r in out]
-            yield pd.DataFrame(done, columns=[c.split()[0] for c in OUT.split(", ")])
+            rows = g[~last]
+            if not len(rows):
+                continue
+            ids = rows["track"].to_numpy()
+            found, left = epochs_of_all(ids, rows[["t", "sx", "sy", "sz", "pr", "w"]].to_numpy(float), state if ids[0] == track else None, origin, noise)
+            track, state = ids[-1], left
+            t = rows["t"].to_numpy(float)
+            out = pd.DataFrame(found, columns=[c.split()[0] for c in OUT.split(", ")[1:]]).astype({"n": int})
+            out.insert(0, "track", ids[np.append(True, (ids[1:] != ids[:-1]) | (t[1:] != t[:-1]))])
+            yield out
         if held is not None and len(held):
             k = held["track"].iloc[0]
             yield _frame(k, epochs(held, state if k == track else None, origin, noise)[0])

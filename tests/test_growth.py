@@ -3,10 +3,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from orbitlake.operators import audit, inertial, joins, particles, rays, shades
 from orbitlake.plans.all_queries import QUERIES
+from orbitlake.streaming import navigation_filter
 
 
 def plan(df):
@@ -139,3 +141,27 @@ def test_weights_by_sight_in_bundles_equal_those_of_rays(spark, most, monkeypatc
 def test_rays_of_a_cloud_are_no_rows(spark):
     text = plan(QUERIES["particle_sight_weights"](spark, "/root/testdata/sf0.001"))
     assert "MapInArrow" in text and "FlatMapCoGroups" not in text
+
+
+def test_tracks_of_a_batch_step_together_as_alone(spark):
+    r, origin = random.Random(9), (50.0, -50.0, 20.0, 90.0)
+    rows = [(k, float(t), *[r.choice((-1, 1)) * r.uniform(1e6, 2e7) for _ in range(3)], r.uniform(1e7, 3e7), r.choice((0.0, 0.04, 1.0))) for k in range(30) for t in sorted(r.sample(range(90), r.randrange(1, 12))) for _ in range(r.randrange(1, 7))]
+    df = spark.createDataFrame(rows, "track long, t double, sx double, sy double, sz double, pr double, w double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        got = sorted(map(tuple, navigation_filter.filter_batch(df, origin).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    frame = df.toPandas()
+    want = [(k, *x) for k, g in frame.groupby("track") for x in navigation_filter.epochs(g, None, origin)[0]]
+    assert len(got) == len(want)
+    for a, b in zip(got, want):
+        assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], rel=1e-6, abs=1e-3)
+
+
+def test_a_batch_takes_one_step_for_all_its_tracks(monkeypatch):
+    calls, step = [], navigation_filter.step_all
+    monkeypatch.setattr(navigation_filter, "step_all", lambda *a: (calls.append(len(a[0])), step(*a))[1])
+    m = np.array([[float(t), 2e7, 1e6 * i, 1e6, 2.1e7, 1.0] for _ in range(50) for t in range(3) for i in range(4)])
+    out, _ = navigation_filter.epochs_of_all(np.repeat(np.arange(50), 12), m, None, (0.0, 0.0, 0.0, 0.0))
+    assert calls == [50, 50, 50] and len(out) == 150
