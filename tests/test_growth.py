@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from orbitlake.operators import audit, inertial, joins, particles, rays, shades
+from orbitlake.operators import audit, graph, inertial, joins, particles, rays, shades
 from orbitlake.plans.all_queries import QUERIES
 from orbitlake.streaming import navigation_filter
 
@@ -165,3 +165,17 @@ def test_a_batch_takes_one_step_for_all_its_tracks(monkeypatch):
     m = np.array([[float(t), 2e7, 1e6 * i, 1e6, 2.1e7, 1.0] for _ in range(50) for t in range(3) for i in range(4)])
     out, _ = navigation_filter.epochs_of_all(np.repeat(np.arange(50), 12), m, None, (0.0, 0.0, 0.0, 0.0))
     assert calls == [50, 50, 50] and len(out) == 150
+
+
+def test_tracks_of_one_chunk_write_no_rounds(spark, monkeypatch):
+    r, tables, write = random.Random(11), [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df: (tables.append(1), write(df))[1])
+    sky = [[r.choice((-1, 1)) * r.uniform(5e6, 2e7) for _ in range(3)] for _ in range(7)]
+    obs = spark.createDataFrame([(k, float(t), *s, math.dist(s, (9.0 * t, 5.0, k)) + 40.0 + r.uniform(-3, 3)) for k in range(4) for t in range(12) for s in sky], "track long, t double, sx double, sy double, sz double, pr double")
+    start = spark.createDataFrame([(k, float(t), 300.0, -200.0, 90.0, 0.0) for k in range(4) for t in range(12)], "track long, t double, x double, y double, z double, c0 double")
+    solve = lambda span: {(x.track, x.t): x for x in graph.solve_tracks(obs, start, motion_sigma=20.0, huber=1.5, rounds=6, tol=1e-3, span=span).collect()}
+    one, written = solve(1e6), len(tables)
+    many = solve(5.0)
+    assert written == 4 < len(tables) - written and one.keys() == many.keys() and len(one) == 48
+    for k, x in one.items():
+        assert x.rounds == many[k].rounds > 1 and [x.x, x.y, x.z, x.c0, x.cost, x.mse] == pytest.approx([many[k].x, many[k].y, many[k].z, many[k].c0, many[k].cost, many[k].mse], rel=1e-6, abs=1e-4)
