@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, carried, group_bounds, renamed, stored, text_bytes, together, whole_groups
+from .common import SPACE_BYTES, carried, group_bounds, renamed, slices, stored, text_bytes, together, whole_groups
 
 #: Keys in a shard of the index, about; a shard is built in one task.
 SHARD_KEYS = 200_000
@@ -107,7 +107,7 @@ class Shard:
 
 def _line_rows(least: int):
     def rows(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids, h1, h2 = batch["c0"].to_pylist(), [], []
             own = []
             for i, text in zip(ids, text_bytes(batch["t"])):
@@ -169,7 +169,7 @@ def _rebuilt(batch: pa.RecordBatch, lost: list[dict | set], parsed) -> pa.Record
 def _probe_all(shared, shards: int, least: int, min_docs: int, id_at: str):
     def rows(batches):
         index = {k: pickle.loads(v) for k, v in shared.value}
-        for batch in batches:
+        for batch in slices(batches):
             parsed = [_split_keys(t, least) for t in text_bytes(batch["t"])]
             where = [(d, i) for d, (_, keys) in enumerate(parsed) for i, k in enumerate(keys) if k is not None]
             lost: list[set] = [set() for _ in parsed]
@@ -194,7 +194,7 @@ def _probe_all(shared, shards: int, least: int, min_docs: int, id_at: str):
 
 def _asks(shards: int, least: int, id_at: str):
     def rows(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids, out = batch[id_at].to_pylist(), []
             for i, key, key2, text in zip(ids, batch["key"].to_pylist(), batch["key2"].to_pylist(), text_bytes(batch["t"])):
                 for at, k in enumerate(_split_keys(text, least)[1]):
@@ -232,7 +232,7 @@ def _answer(min_docs: int):
 
 def _drop(least: int):
     def rows(batches):
-        for batch in batches:
+        for batch in slices(batches):
             parsed = [_split_keys(t, least) for t in text_bytes(batch["t"])]
             lost = [set(x or ()) for x in batch["gone"].to_pylist()]
             yield _rebuilt(batch, lost, parsed)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import carried, renamed, stored
+from .common import carried, renamed, slices, stored
 
 SEQUENCE = 4096
 END_ID = 2
@@ -33,20 +33,24 @@ def _tokenizer(path: str):
 
 
 class WordEncoder:
-    """Token ids of texts as the tokenizer gives them, with the ids of each word kept for the next time.
+    """Token ids of texts as the tokenizer gives them, with the ids of the words met last kept for the next time.
 
-    The vocabulary splits texts into words before merging, so ids of a text are its words' ids in a row.
+    The vocabulary splits texts into words before merging, so ids of a text are its words' ids in a row. A Python worker
+    keeps its encoder for all its life, so words are kept in two lots: past `limit` words the older lot is given up.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
-        self.tokenizer, self.known, self.limit = _tokenizer(path), {}, limit
+    def __init__(self, path: str, limit: int = 1 << 16):
+        self.tokenizer, self.known, self.older, self.limit = _tokenizer(path), {}, {}, limit
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [_WORDS.findall(t.lower()) if "<|" not in t and _PLAIN.fullmatch(t) else None for t in texts]
         if len(self.known) > self.limit:
-            self.known = {}
-        known = self.known
-        new = list({w for ws in split if ws for w in ws if w not in known})
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = {w for ws in split if ws for w in ws if w not in known}
+        again = new & older.keys()
+        known.update((w, older[w]) for w in again)
+        new = list(new - again)
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
@@ -72,7 +76,7 @@ def _pieces(path: str, size: int, end_id: int, with_ids: bool):
 
     def rows(batches):
         encoder = _encoder(path)
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = batch["c0"], batch["t"].to_pylist()
             for s in range(0, len(texts), 256):
                 out = []

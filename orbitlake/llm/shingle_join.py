@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop_stored, group_bounds, stored, text_bytes, together, whole_groups
+from .common import components, drop_stored, group_bounds, slices, stored, text_bytes, together, whole_groups
 from .simhash import link_edges
 
 #: Shingles that many sampled documents hold come last in the order; at most FREQUENT of them are told apart.
@@ -122,9 +122,8 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 def _sets(width: int):
     def rows(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                yield pa.RecordBatch.from_arrays([_lists([shingle_set(t, width) for t in text_bytes(batch.slice(at, 2000)["t"])])], ["h"])
+        for part in slices(batches):
+            yield pa.RecordBatch.from_arrays([_lists([shingle_set(t, width) for t in text_bytes(part["t"])])], ["h"])
 
     return rows
 
@@ -132,32 +131,30 @@ def _sets(width: int):
 def _prefixes(width: int, num: int, den: int, frequent):
     def rows(batches):
         (often, count), seen = frequent.value, set()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                nodes, sizes, prints, words, firsts = [], [], [], [], []
-                for t in text_bytes(part["t"]):
-                    s = shingle_set(t, width)
-                    n = len(s)
-                    nodes.append(_node(s))
-                    sizes.append(n)
-                    if nodes[-1] in seen:  # one prefix of a class is enough
-                        firsts.append(s[:0])
-                        prints.append(None)
-                        words.append(None)
-                        continue
-                    prints.append(set_print(s))
-                    words.append(parity(s))
-                    if len(seen) >= 1 << 20:
-                        seen.clear()
-                    seen.add(nodes[-1])
-                    if len(often) and n:
-                        i = np.minimum(np.searchsorted(often, s), len(often) - 1)
-                        c = np.where(often[i] == s, count[i], 0)
-                        if c.any():
-                            s = s[np.argsort(c, kind="stable")]
-                    firsts.append(s[: n - -(-num * n // den) + 1] if n else s)
-                yield pa.RecordBatch.from_arrays([part["id"], part["key"], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(words, pa.binary()), _lists(firsts)], ["id", "key", "node", "size", "print", "word", "prefix"])
+        for part in slices(batches):
+            nodes, sizes, prints, words, firsts = [], [], [], [], []
+            for t in text_bytes(part["t"]):
+                s = shingle_set(t, width)
+                n = len(s)
+                nodes.append(_node(s))
+                sizes.append(n)
+                if nodes[-1] in seen:  # one prefix of a class is enough
+                    firsts.append(s[:0])
+                    prints.append(None)
+                    words.append(None)
+                    continue
+                prints.append(set_print(s))
+                words.append(parity(s))
+                if len(seen) >= 1 << 20:
+                    seen.clear()
+                seen.add(nodes[-1])
+                if len(often) and n:
+                    i = np.minimum(np.searchsorted(often, s), len(often) - 1)
+                    c = np.where(often[i] == s, count[i], 0)
+                    if c.any():
+                        s = s[np.argsort(c, kind="stable")]
+                firsts.append(s[: n - -(-num * n // den) + 1] if n else s)
+            yield pa.RecordBatch.from_arrays([part["id"], part["key"], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(words, pa.binary()), _lists(firsts)], ["id", "key", "node", "size", "print", "word", "prefix"])
 
     return rows
 

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, drop_stored, group_bounds, renamed, stored, text_bytes, together, whole_groups
+from .common import carried, drop_stored, group_bounds, renamed, slices, stored, text_bytes, together, whole_groups
 
 ANCHOR_BYTES = 40
 #: Different contexts of one anchor string beyond which its windows are counted by hash instead, which Spark spreads.
@@ -269,7 +269,7 @@ def _whole_chars(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, i
 
 def _cut(names: list[str], characters: bool):
     def rows(batches):
-        for batch in batches:
+        for batch in slices(batches):
             kept, sizes, removed, spans_of, digest = [], [], [], [], []
             for text, spans in zip(text_bytes(batch["t"]), batch["spans"].to_pylist()):
                 raw = text or b""

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, renamed, spread, stored
+from .common import carried, renamed, slices, spread, stored
 
 #: Bound of the labelled rows that the model is fitted on; its units are at most those of the rows with label 1.
 TRAIN_ROWS = 100_000
@@ -158,7 +158,7 @@ class Model:
 
 def _evidence(model):
     def rows(batches):
-        for batch in batches:
+        for batch in slices(batches):
             x = [model.value.evidence(t or "")[0] for t in batch["t"].to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([round(v * 4) for v in x], pa.int64()), batch["toxic"]], ["level", "toxic"])
 
@@ -226,7 +226,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
 def _scored(model, names: list[str], spans: bool):
     def rows(batches):
         m = model.value
-        for batch in batches:
+        for batch in slices(batches):
             score, found = [], []
             for text in batch["t"].to_pylist():
                 x, real = m.evidence(text or "")
