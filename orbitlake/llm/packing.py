@@ -22,7 +22,12 @@ QUANTUM = 16
 BROADCAST_ROWS = 200_000
 #: Characters whose case, normal form and class are the same in every Unicode version; other texts go to the library whole.
 _PLAIN = re.compile("[\t\n\x0b\x0c\r -~À-ÖØ-öø-ÿ]*")
-_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
+#: Plain characters split at once; a cut falls on white space.
+CHUNK = 1 << 20
+_GAP = re.compile("[\t\n\x0b\x0c\r ]")
+_SPACE, _LETTER, _DIGIT, _SYMBOL = range(4)
+_LOWER = np.array([ord(c.lower()) if len(c.lower()) == 1 and ord(c.lower()) < 256 else ord(c) for c in map(chr, range(256))], np.uint8)
+_KIND = np.array([_SPACE if c in "\t\n\x0b\x0c\r " else _DIGIT if c in "0123456789" else _LETTER if "a" <= c <= "z" or c >= "ß" and c != "÷" else _SYMBOL for c in map(chr, range(256))], np.uint8)
 
 
 @lru_cache(maxsize=1)
@@ -32,6 +37,30 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def plain_words(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of plain lower-case Latin-1 text, as the vocabulary splits it.
+
+    Words: runs of letters, single digits, runs of other symbols, and 's 't 're 've 'm 'll 'd behind anything but a symbol.
+    """
+    kind = np.append(_KIND[b], np.uint8(_SPACE))
+    other = kind[1:] != kind[:-1]
+    single = kind == _DIGIT
+    start = (np.append(True, other) | single) & (kind != _SPACE)
+    end = (np.append(other, True) | single) & (kind != _SPACE)
+    mark = np.flatnonzero((b == ord("'")) & start[:-1] & end[:-1])
+    if len(mark):
+        wide = np.append(b, np.zeros(3, np.uint8))
+        x, y = wide[mark + 1], wide[mark + 2]
+        one = np.isin(x, np.frombuffer(b"stmd", np.uint8))
+        two = ((x == ord("r")) | (x == ord("v"))) & (y == ord("e")) | (x == ord("l")) & (y == ord("l"))
+        mark, last = mark[one | two], (mark + one + 2 * two)[one | two]
+        end[mark] = False
+        start[mark + 1] = False
+        start[last[~end[last]] + 1] = True
+        end[last] = True
+    return np.flatnonzero(start), np.flatnonzero(end) + 1
+
+
 class WordEncoder:
     """Token ids of texts as the tokenizer gives them, with the ids of the words met last kept for the next time.
 
@@ -41,28 +70,75 @@ class WordEncoder:
 
     def __init__(self, path: str, limit: int = 1 << 16):
         self.tokenizer, self.known, self.older, self.limit = _tokenizer(path), {}, {}, limit
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        names = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for name, i in names.items() if suffix and name.endswith(suffix)]] = True
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [_WORDS.findall(t.lower()) if "<|" not in t and _PLAIN.fullmatch(t) else None for t in texts]
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, little-endian unsigned 32-bit."""
+        parts: list[list[bytes]] = [[] for _ in texts]
+        lot, owners, held = [], [], 0
+        for i, text in enumerate(texts):
+            if "<|" in text or not _PLAIN.fullmatch(text):
+                parts[i].append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+                continue
+            at = 0
+            while at < len(text):
+                cut = _GAP.search(text, at + CHUNK) if len(text) > at + CHUNK else None
+                stop = cut.start() if cut else len(text)
+                lot.append(text[at:stop].encode("latin-1"))
+                owners.append(i)
+                held, at = held + stop - at, stop
+                if held >= CHUNK:
+                    self._encode_plain(lot, owners, parts)
+                    lot, owners, held = [], [], 0
+        if lot:
+            self._encode_plain(lot, owners, parts)
+        return [b"".join(p) for p in parts]
+
+    def _encode_plain(self, lot: list[bytes], owners: list[int], parts: list[list[bytes]]) -> None:
+        """Adds to each owner the ids of its texts; each different word of the lot is looked up once."""
+        b = _LOWER[np.frombuffer(b"\n".join(lot), np.uint8)]
+        starts, ends = plain_words(b)
+        if not len(starts):
+            return
+        offsets = np.append(0, np.cumsum(ends - starts)).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(b[_KIND[b] != _SPACE])]).dictionary_encode()
+        _, at, data = words.dictionary.buffers()
+        data, at = data.to_pybytes(), np.frombuffer(at, np.int32)[: len(words.dictionary) + 1].tolist()
+        raws = self._raws([data[s:e] for s, e in zip(at, at[1:])])
+        ids = np.frombuffer(b"".join(raws), "<u4")
+        sizes = np.array([len(r) // 4 for r in raws], np.int64)
+        which = words.indices.to_numpy()
+        n = sizes[which]
+        past = np.cumsum(n)
+        ids = ids[np.repeat((np.cumsum(sizes) - sizes)[which] - (past - n), n) + np.arange(past[-1])]
+        edges = np.cumsum([0, *[len(x) + 1 for x in lot]])
+        bounds = np.append(0, past)[np.searchsorted(starts, edges)]
+        for i, s, e in zip(owners, bounds[:-1].tolist(), bounds[1:].tolist()):
+            parts[i].append(ids[s:e].tobytes())
+
+    def _raws(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of these different words."""
         if len(self.known) > self.limit:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        new = {w for ws in split if ws for w in ws if w not in known}
-        again = new & older.keys()
-        known.update((w, older[w]) for w in again)
-        new = list(new - again)
+        new = [w for w in words if w not in known]
+        known.update((w, older[w]) for w in new if w in older)
+        new = [w for w in new if w not in known]
         for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        out = []
-        for text, ws in zip(texts, split):
-            if ws is None:
-                raw = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            else:
-                raw = b"".join([known[w] for w in ws])
-            out.append(raw)
-        return out
+            known.update(zip(new[i : i + 4096], self._fresh(new[i : i + 4096])))
+        return [known[w] for w in words]
+
+    def _fresh(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words by the tokenizer: all in one text, cut behind the ids that end a word."""
+        ids = np.array(self.tokenizer.encode(b" ".join(words).decode("latin-1"), add_special_tokens=False).ids, "<u4")
+        ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        if len(ends) == len(words) and ends[-1] == len(ids):
+            return [ids[s:e].tobytes() for s, e in zip([0, *ends], ends)]
+        alone = [w.decode("latin-1") for w in words]  # a vocabulary that marks no ends of words
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(alone, add_special_tokens=False)]
 
 
 @lru_cache(maxsize=1)

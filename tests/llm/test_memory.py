@@ -72,3 +72,34 @@ def test_the_default_limit_bounds_what_stays_after_many_words():
     for _ in range(60):
         encoder.encode([" ".join("".join(rng.choices(string.ascii_lowercase, k=7)) for _ in range(4000))])
     assert len(encoder.known) + len(getattr(encoder, "older", {})) < 150_000
+
+
+def test_an_encoder_looks_up_each_different_word_of_a_lot_once_and_gives_new_ones_together():
+    encoder, path = WordEncoder(public_tokenizers.path("word_bpe_49k.json")), public_tokenizers.path("word_bpe_49k.json")
+    calls, real = [], encoder.tokenizer
+
+    class Counted:
+        def encode(self, text, **kind):
+            calls.append(text)
+            return real.encode(text, **kind)
+
+        def encode_batch(self, texts, **kind):
+            raise AssertionError("an object a word")
+
+    encoder.tokenizer = Counted()
+    texts = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)) for _ in range(50)]
+    got = encoder.encode(texts)
+    assert len(calls) == 1 and len(set(got)) == 1
+    assert np.frombuffer(got[0], "<u4").tolist() == real.encode(texts[0], add_special_tokens=False).ids
+    rng, odd = random.Random(5), "'''strevlmd0 1\n\t.-Éß÷ÿ×a\"<|!À\x0b\x1c\x85\xa0"
+    texts = ["".join(rng.choices(odd if n % 2 else "'strevlmd0 .É", k=rng.randrange(14))) for n in range(4000)]
+    for text, raw in zip(texts, WordEncoder(path).encode(texts)):
+        assert np.frombuffer(raw, "<u4").tolist() == real.encode(text, add_special_tokens=False).ids, text
+
+
+def test_a_long_text_is_split_in_pieces_at_white_space(monkeypatch):
+    monkeypatch.setattr("orbitlake.llm.packing.CHUNK", 50)
+    rng, encoder = random.Random(6), WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [" ".join("".join(rng.choices("abc'st.1", k=rng.randrange(1, 9))) for _ in range(rng.randrange(60))) for _ in range(40)] + ["", " ", "x" * 300]
+    for text, raw in zip(texts, encoder.encode(texts)):
+        assert np.frombuffer(raw, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
