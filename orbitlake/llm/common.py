@@ -105,6 +105,26 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
         yield pa.concat_tables(held)
 
 
+#: Bits that tell which keys another table may hold.
+BITMAP = 1 << 24
+
+
+def marked(df: DataFrame, keys: DataFrame, columns: list[str], mark: str) -> DataFrame:
+    """The rows with a column that is false only where `keys` holds no row of the same columns.
+
+    A bitmap of the keys' hashes, 2 MB whatever their number, goes to all tasks, so that rows without a mate (texts above
+    all) need not be shuffled to find that out. A true mark is no proof: the join decides.
+    """
+    slot = F.pmod(F.xxhash64(*columns), F.lit(BITMAP))
+    rows = keys.select(slot.alias("s")).groupBy(F.expr("s div 64").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("w")).toArrow()
+    words = np.zeros(BITMAP // 64, np.int64)
+    words[rows["at"].to_numpy()] = rows["w"].to_numpy()
+    bits = df.sparkSession.createDataFrame(pa.table({"bits__": pa.array([words])}))
+    word = F.get("bits__", F.floor(slot / 64).cast("int"))
+    test = word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))) != 0
+    return df.crossJoin(F.broadcast(bits)).withColumn(mark, test).drop("bits__")
+
+
 def spread(column: str):
     """A number from 0 to 1 by the hash of a column; equal values get equal numbers."""
     return F.pmod(F.xxhash64(column), F.lit(1 << 52)) / float(1 << 52)

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop_stored, group_bounds, slices, stored, text_bytes, together, whole_groups
+from .common import components, drop_stored, group_bounds, marked, slices, stored, text_bytes, together, whole_groups
 from .simhash import link_edges
 
 #: Shingles that many sampled documents hold come last in the order; at most FREQUENT of them are told apart.
@@ -103,12 +103,25 @@ def set_print(s: np.ndarray) -> int:
     return int(np.packbits(total * 2 > len(s), bitorder="little").view("<i8")[0])
 
 
-def parity(s: np.ndarray) -> bytes:
+def parity(s: np.ndarray, bits: int = PARITY) -> bytes:
     """Bits that tell of each residue of the hashes whether an odd number of them has it.
 
     Two sets differ in at least as many members as these bits differ.
     """
-    return np.packbits(np.bincount(s & (PARITY - 1), minlength=PARITY) & 1).tobytes()
+    return np.packbits(np.bincount(s & (bits - 1), minlength=bits) & 1).tobytes()
+
+
+def wide_parity(s: np.ndarray) -> bytes:
+    """A parity word of a bit or more for each member, so that it rules out unlike sets of any size."""
+    return parity(s, max(PARITY, 1 << (len(s) - 1).bit_length()) if len(s) else PARITY)
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """The bits in which two parity words differ; the longer one is folded to the other's residues."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if len(x) < len(y):
+        x, y = y, x
+    return int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0) ^ y).sum(dtype=np.int64))
 
 
 def _node(s: np.ndarray) -> int:
@@ -132,7 +145,7 @@ def _prefixes(width: int, num: int, den: int, frequent):
     def rows(batches):
         (often, count), seen = frequent.value, set()
         for part in slices(batches):
-            nodes, sizes, prints, words, firsts = [], [], [], [], []
+            nodes, sizes, prints, words, wides, firsts = [], [], [], [], [], []
             for t in text_bytes(part["t"]):
                 s = shingle_set(t, width)
                 n = len(s)
@@ -142,9 +155,11 @@ def _prefixes(width: int, num: int, den: int, frequent):
                     firsts.append(s[:0])
                     prints.append(None)
                     words.append(None)
+                    wides.append(None)
                     continue
                 prints.append(set_print(s))
                 words.append(parity(s))
+                wides.append(wide_parity(s))
                 if len(seen) >= 1 << 20:
                     seen.clear()
                 seen.add(nodes[-1])
@@ -154,7 +169,7 @@ def _prefixes(width: int, num: int, den: int, frequent):
                     if c.any():
                         s = s[np.argsort(c, kind="stable")]
                 firsts.append(s[: n - -(-num * n // den) + 1] if n else s)
-            yield pa.RecordBatch.from_arrays([part["id"], part["key"], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(words, pa.binary()), _lists(firsts)], ["id", "key", "node", "size", "print", "word", "prefix"])
+            yield pa.RecordBatch.from_arrays([part["id"], part["key"], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(words, pa.binary()), pa.array(wides, pa.binary()), _lists(firsts)], ["id", "key", "node", "size", "print", "word", "wide", "prefix"])
 
     return rows
 
@@ -250,14 +265,30 @@ def _alike(width: int, num: int, den: int):
     return rows
 
 
+def _near(num: int, den: int):
+    def rows(batches):
+        for batch in batches:
+            size = (batch["size_a"].to_numpy() + batch["size_b"].to_numpy()) * (den - num)
+            apart = [least_difference(x.as_py(), y.as_py()) for x, y in zip(batch["wide_a"], batch["wide_b"])]
+            yield batch.select(["a", "b"]).filter(pa.array(np.array(apart, np.int64) * (num + den) <= size))
+
+    return rows
+
+
 def _similar(pairs: DataFrame, base: DataFrame, classes: DataFrame, width: int, num: int, den: int, name: str) -> DataFrame:
-    """The pairs whose sets have |common| / |union| >= num / den. Texts travel, as they pack closer than hashes."""
+    """The pairs whose sets have |common| / |union| >= num / den. Texts travel, as they pack closer than hashes.
+
+    Only texts of pairs that wide parity words leave do; the words have an eighth of a byte to a quarter for each member.
+    """
+    of = lambda c: classes.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("wide").alias(f"wide_{c}"))
+    near = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "size_a", "size_b", "wide_a", "wide_b")
+    pairs = stored(near.mapInArrow(_near(num, den), "a long, b long"), f"{name}-near")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = stored(classes.join(ends, "node").select("node", "low.id", "low.key"), f"{name}-ends")
-    texts = base.join(wanted, ["id", "key"]).select("node", "t").dropDuplicates(["node"])
+    texts = marked(base, wanted, ["id", "key"], "may").where("may").join(wanted, ["id", "key"]).select("node", "t").dropDuplicates(["node"])
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
     links = stored(both.select("a", "b", "ta", "tb").mapInArrow(_alike(width, num, den), "a long, b long"), f"{name}-links")
-    drop_stored(wanted)
+    drop_stored(wanted, pairs)
     return links
 
 
@@ -288,9 +319,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     often = part.select(F.explode("h").alias("g")).groupBy("g").count().where(F.col("count") >= least)
     often = often.orderBy(F.desc("count"), "g").limit(FREQUENT).toArrow().sort_by("g")
     frequent = spark.sparkContext.broadcast((often["g"].to_numpy(), often["count"].to_numpy()))
-    full = stored(base.select("id", "key", "t").mapInArrow(_prefixes(width, num, den, frequent), "id long, key long, node long, size long, print long, word binary, prefix array<long>"), "prefixes")
+    full = stored(base.select("id", "key", "t").mapInArrow(_prefixes(width, num, den, frequent), "id long, key long, node long, size long, print long, word binary, wide binary, prefix array<long>"), "prefixes")
     prints = stored(full.select("id", "key", "node"), "prints")
-    classes = stored(full.groupBy("node").agg(F.min(F.struct("id", "key")).alias("low"), F.max("print").alias("fp0"), F.max("word").alias("word")), "classes")
+    classes = stored(full.groupBy("node").agg(F.min(F.struct("id", "key")).alias("low"), F.first("size").alias("size"), F.max("print").alias("fp0"), F.max("word").alias("word"), F.max("wide").alias("wide")), "classes")
     posts = full.select("node", "size", F.posexplode("prefix").alias("pos", "g")).select("g", (F.shiftleft("size", 32) + F.col("pos")).alias("place"), "node")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     fields = "g long, node long, size long, pos long"

@@ -1,10 +1,12 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orbitlake.llm.common import together
+from orbitlake.llm import shingle_join
+from orbitlake.llm.common import marked, together
 from orbitlake.llm.shingle_join import similar_groups
 
 SCHEMA = "doc_id long, text string"
@@ -83,3 +85,43 @@ def test_groups_stay_together_behind_a_split_join(spark):
     finally:
         for k, v in was.items():
             spark.conf.unset(f"spark.sql.{k}") if v is None else spark.conf.set(f"spark.sql.{k}", v)
+
+
+def test_wide_parity_words_bound_the_difference_and_tell_large_unlike_sets():
+    rng = np.random.default_rng(11)
+    for n, m in ((1, 1), (500, 600), (3000, 2600), (4096, 4097), (9000, 7300)):
+        both = np.unique(rng.integers(-(1 << 62), 1 << 62, n + m))
+        for share in (0.0, 0.5, 0.95):
+            k = int(min(n, m) * share)
+            a, b = np.sort(both[:n]), np.sort(np.concatenate([both[:k], both[n : n + m - k]]))
+            least = shingle_join.least_difference(shingle_join.wide_parity(a), shingle_join.wide_parity(b))
+            assert least <= len(np.setxor1d(a, b))
+            if n > 1 and share < 0.6:
+                assert least * 9 > len(a) + len(b)
+
+
+def test_texts_of_unlike_large_pairs_do_not_travel(spark, monkeypatch):
+    rng, ends, real = random.Random(12), {}, shingle_join.stored
+
+    def spy(df, name):
+        out = real(df, name)
+        if name.endswith("-ends"):
+            ends[name] = out.count()
+        return out
+
+    monkeypatch.setattr(shingle_join, "stored", spy)
+    word = lambda: "".join(rng.choices("abcdefghijklm", k=7))
+    common = [word() for _ in range(900)]
+    rows = [(i, " ".join(common + [word() for _ in range(2100)])) for i in range(6)]
+    rows += [(9, rows[0][1] + " more")]
+    got = {r["id"]: r["component_id"] for r in shingle_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**{i: i for i in range(6)}, 9: 0}
+    assert sum(ends.values()) == 2
+
+
+def test_a_bitmap_marks_every_key_that_is_held_and_few_others(spark):
+    rows = spark.range(3000).select("id", (F.col("id") * 7).alias("key"))
+    held = rows.where("id % 10 = 3")
+    out = marked(rows, held, ["id", "key"], "may").where("may").toPandas()
+    assert set(range(3, 3000, 10)) <= set(out["id"]) and len(out) < 330
+    assert marked(rows, held.where("false"), ["id", "key"], "may").where("may").count() == 0
