@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, drop_stored, group_bounds, renamed, slices, stored, text_bytes, together, whole_groups
+from .common import carried, drop_stored, group_bounds, marked, renamed, slices, stored, text_bytes, together, whole_groups
 
 ANCHOR_BYTES = 40
 #: Different contexts of one anchor string beyond which its windows are counted by hash instead, which Spark spreads.
@@ -300,18 +300,22 @@ def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
 def _candidates(texts: DataFrame, least: int, k: int) -> DataFrame:
     """(h, c, k, n, at, times, kinds): anchors that occur again; times: equal contexts, kinds: different ones."""
     anchors = stored(texts.where(F.col("n") >= least).mapInArrow(_anchor_rows(least, k), "h long, c long, k long, n long, at long, w long"), "anchors")
-    same = anchors.groupBy("h", "c").agg(F.sum("w").alias("times"))
-    strings = same.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("times").alias("all")).where("all > 1").drop("all")
-    found = stored(anchors.drop("w").join(same.join(strings, "h"), ["h", "c"]), "repeats")
+    again = anchors.groupBy("h").agg(F.sum("w").alias("all")).where("all > 1").select("h")
+    shared = stored(anchors.join(again, "h", "left_semi"), "shared-anchors")  # most anchors are alone and end here
     drop_stored(anchors)
+    same = shared.groupBy("h", "c").agg(F.sum("w").alias("times"))
+    strings = same.groupBy("h").agg(F.count("*").alias("kinds"))
+    found = stored(shared.drop("w").join(same.join(strings, "h"), ["h", "c"]), "repeats")
+    drop_stored(shared)
     return found
 
 
 def _contexts_of(texts: DataFrame, found: DataFrame, least: int, k: int) -> DataFrame:
     """(h, c, before, after, kinds): the bytes around one anchor for each context that has others to compare with."""
-    one = found.where("kinds > 1").groupBy("h", "c").agg(F.first("k").alias("k"), F.first("n").alias("n"), F.first("at").alias("at"))
+    one = found.where("kinds > 1").groupBy("h", "c").agg(F.min(F.struct("k", "n", "at")).alias("x")).select("h", "c", "x.*")
     needs = one.groupBy("k", "n").agg(F.collect_list(F.struct("h", "c", "at")).alias("needs"))
-    return texts.where(F.col("n") >= least).mapInArrow(_one_of_each, "t string, k long, n long").join(needs, ["k", "n"]).select("k", "t", "needs").mapInArrow(_contexts(least, k), "h long, c long, before binary, after binary")
+    texts = marked(texts.where(F.col("n") >= least), needs, ["k", "n"], "may").where("may").select("t", "k", "n")
+    return texts.mapInArrow(_one_of_each, "t string, k long, n long").join(needs, ["k", "n"]).select("k", "t", "needs").mapInArrow(_contexts(least, k), "h long, c long, before binary, after binary")
 
 
 def repeat_groups(docs: DataFrame, text_col: str = "text", min_bytes: int = 200, anchor_bytes: int = ANCHOR_BYTES) -> DataFrame:
@@ -361,9 +365,12 @@ def dedup_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keep = [c for c in (keep if keep is not None else [id_col]) if c != text_col]
     base, names = carried(docs, text_col, keep, ["kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
     size = F.coalesce(F.octet_length("t"), F.lit(0)).cast("long")
-    # texts too short for a span, null and empty ones with them, are dealt out by number instead of meeting in one key
-    base = base.withColumns({"k": F.when(size >= min_bytes, F.xxhash64("t")).otherwise(F.monotonically_increasing_id()), "n": F.when(size >= min_bytes, size).otherwise(-1)})
+    base = base.withColumns({"k": F.xxhash64("t"), "n": size})
     cols = [f"c{i}" for i in range(len(names))]
     kinds = "".join(f"{c} {base.schema[c].dataType.simpleString()}, " for c in cols)
-    out = base.join(by, ["k", "n"], "left").select("t", *cols, "spans").mapInArrow(_cut(cols, characters), f"kept binary, {kinds}n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    # texts too short for a span, null and empty ones with them, and others that certainly have none stay where they are
+    base = marked(base, by, ["k", "n"], "may").withColumn("may", F.col("may") & (F.col("n") >= min_bytes))
+    none = base.where("not may").select("t", *cols, F.lit(None).cast(by.schema["spans"].dataType).alias("spans"))
+    some = base.where("may").join(by, ["k", "n"], "left").select("t", *cols, "spans")
+    out = none.union(some).mapInArrow(_cut(cols, characters), f"kept binary, {kinds}n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return renamed(out, names)

@@ -12,6 +12,7 @@ import public_tokenizers
 import pyarrow as pa
 
 from orbitlake.llm.line_dedup import _probe_all
+from orbitlake.llm import suffix_dedup
 from orbitlake.llm.packing import WordEncoder
 from orbitlake.llm.shingle_join import _prefixes
 from orbitlake.llm.toxicity import Model, _scored
@@ -103,3 +104,22 @@ def test_a_long_text_is_split_in_pieces_at_white_space(monkeypatch):
     texts = [" ".join("".join(rng.choices("abc'st.1", k=rng.randrange(1, 9))) for _ in range(rng.randrange(60))) for _ in range(40)] + ["", " ", "x" * 300]
     for text, raw in zip(texts, encoder.encode(texts)):
         assert np.frombuffer(raw, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_repeat_removal_goes_on_with_shared_anchors_only_and_keeps_rows_without_spans(spark, monkeypatch):
+    rng, kept, real = random.Random(7), {}, suffix_dedup.stored
+
+    def spy(df, name):
+        out = real(df, name)
+        kept[name] = out.count()
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "stored", spy)
+    alone = lambda n: "".join(rng.choices(string.ascii_lowercase + " ", k=n))
+    passage = alone(300)
+    rows = [(i, alone(2000)) for i in range(40)] + [(50, alone(500) + passage + "1"), (51, passage + "2" + alone(400)), (60, None), (61, ""), (62, "short"), (62, "short"), (None, "x" * 150)]
+    out = suffix_dedup.dedup_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_removed"]) for r in out.collect())
+    assert got == sorted((-1 if i is None else i, 300 if i in (50, 51) else 0) for i, _ in rows)
+    assert 0 < kept["shared-anchors"] < 30 < kept["anchors"]
+    assert "Union" in out._jdf.queryExecution().optimizedPlan().toString()  # rows without spans are not shuffled
