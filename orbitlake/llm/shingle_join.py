@@ -346,6 +346,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         links = _similar(pairs, base, classes, width, num, den, name)
         known = _joined(known, links, name)
         done = done.unionByName(pairs)
+    drop_stored(shared)
     joined = classes.select("node", "low").join(known.select("node", F.col("comp").alias("component")), "node")
     roots = joined.groupBy("component").agg(F.min("low.id").alias("component_id"))
     return prints.select("id", "node").join(joined.join(roots, "component").select("node", "component_id"), "node").select("id", "component_id")
