@@ -203,3 +203,13 @@ def test_odd_rows_of_tracks(spark):
     still = b[b.track == 8].sort_values("t")
     assert len(still) == 2 and np.abs(still[["x", "y", "z"]].to_numpy() - (TRUE + 5)).max() < 0.1
     assert graph.solve_tracks(o.limit(0), s.limit(0), 1).count() == 0
+
+
+def test_cost_of_chunks_without_observations():
+    """A slice of a batch can hold no observation at all: the motion's cost alone is a fraction."""
+    chunks = graph.Chunks(np.array([2, 1]), np.array([0, 0]), np.zeros(3, np.int64), np.empty((0, 8)), np.zeros((3, 3)), 1)
+    state = np.zeros((2, 2, 4))
+    state[0, 1, 0] = 0.5
+    cost, squares, number = chunks.cost(state, 2.0, 0.0)
+    np.testing.assert_allclose(cost, [0.25, 0.0])
+    assert squares.dtype == float and number.tolist() == [0, 0]
