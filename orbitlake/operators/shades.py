@@ -15,7 +15,7 @@ from .particles import _PAIRS, _PLACE, _SKY, _numbers
 from .rays import CORNERS, meets
 
 #: Particles of a leaf, leaves and satellites of a bundle; particles and satellites of a group; triangles that a group takes at once.
-NEAR, LEAVES, CONE, GROUP_PARTICLES, GROUP_SATELLITES, TRIANGLES = 32, 8, 16, 8192, 4096, 20_000
+NEAR, LEAVES, CONE, GROUP_PARTICLES, GROUP_SATELLITES, TRIANGLES = 32, 8, 32, 8192, 4096, 20_000
 #: Widest cone of satellites, as a share of a radian.
 OPEN = 0.1
 #: Metres of a tile of triangles.
@@ -44,7 +44,7 @@ def _near_cone(v: np.ndarray, far: np.ndarray, axis: np.ndarray, angle: float) -
     side = np.sqrt(np.maximum(square - along * along, 0.0))
     c, s = math.cos(angle), math.sin(angle)
     if angle > 1.5:
-        return np.ones(len(v), bool)
+        return np.ones(v.shape[:-1], bool)
     off = side * c - along * s
     return (square <= far * far) | (off <= far) & ((along * c + side * s >= 0) | (off <= 0))
 
@@ -61,41 +61,56 @@ def _cone(to: np.ndarray) -> tuple[np.ndarray, float]:
     return axis, float(np.arccos(np.clip(ways @ axis, -1, 1)).max()) + 1e-7
 
 
-def _planes(tri: np.ndarray, sats: np.ndarray) -> np.ndarray:
-    """Half spaces (4, satellites, triangles, 4) whose common part is what a triangle hides from a satellite.
+def _sides(tri: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of triangles, what the planes of any satellite come from: matrices of the edges (k, 3, 4, 4), own planes (k, 4), lengths and corners.
+
+    A plane through a satellite s and an edge e from a has the normal e x s - e x a and the offset s (e x a), so its four
+    numbers are a matrix times (s, 1).
+    """
+    e = np.roll(tri, -1, axis=1) - tri
+    m = np.cross(e, tri)
+    rows = np.zeros((len(tri), 3, 4, 4))
+    for i, j, k in ((0, 1, 2), (1, 2, 0), (2, 0, 1)):
+        rows[:, :, i, k], rows[:, :, i, j], rows[:, :, i, 3] = e[:, :, j], -e[:, :, k], -m[:, :, i]
+        rows[:, :, 3, i] = m[:, :, i]
+    flat = np.cross(e[:, 0], tri[:, 2] - tri[:, 0])
+    flat /= np.maximum(np.linalg.norm(flat, axis=1), 1e-300)[:, None]
+    return rows, np.concatenate([flat, -(flat * tri[:, 0]).sum(-1)[:, None]], 1), np.linalg.norm(e, axis=2), tri
+
+
+def _planes(sides: tuple, at: np.ndarray, sats: np.ndarray) -> np.ndarray:
+    """Half spaces (triangles, satellites, 4, 4) in single precision whose common part is what a triangle hides from a satellite.
 
     Rows are unit normals and offsets: three planes through the satellite and an edge, and the triangle's own. All zero
     where rounding could tell another side: a satellite near the triangle's plane, or an edge that points at it.
     """
-    out = np.zeros((4, len(sats), len(tri), 4))
-    flat = np.cross(tri[:, 1] - tri[:, 0], tri[:, 2] - tri[:, 0])
-    flat /= np.maximum(np.linalg.norm(flat, axis=1), 1e-300)[:, None]
-    d = sats[:, None] - tri[None, :, 0]
-    height = (flat * d).sum(-1)
-    far = np.linalg.norm(d, axis=-1)
-    sure = np.abs(height) > 1e-6 * far + 1e-3
-    turn = np.sign(height)
-    out[3, :, :, :3] = -turn[:, :, None] * flat
-    out[3, :, :, 3] = turn * (flat * tri[:, 0]).sum(-1)
+    rows, own, edges, tri = (x[at] for x in sides)
+    k, m = len(at), len(sats)
+    ones = np.column_stack([sats, np.ones(m)])
+    height = own @ ones.T
+    far = np.sqrt(np.maximum((sats * sats).sum(1) - 2 * (tri[:, 0] @ sats.T) + (tri[:, 0] ** 2).sum(1)[:, None], 0.0))
+    sure, turn = np.abs(height) > 1e-6 * far + 1e-3, np.sign(height)
+    out = np.empty((k, m, 4, 4), np.float32)
+    out[:, :, 3] = -turn[:, :, None] * own[:, None]
+    # a satellite's distance from the edge's start is that from the first corner within the triangle's size
+    far += edges.max(axis=1)[:, None]
     for i in range(3):
-        a, edge = tri[:, i], tri[:, (i + 1) % 3] - tri[:, i]
-        d = sats[:, None] - a
-        n = np.cross(np.broadcast_to(edge, d.shape), d)
-        size = np.linalg.norm(n, axis=-1)
-        sure &= size > 1e-6 * np.linalg.norm(edge, axis=-1) * np.linalg.norm(d, axis=-1)
-        # the third corner lies on the inner side
-        side = np.sign((n * (tri[:, (i + 2) % 3] - a)).sum(-1))
-        n *= (side / np.maximum(size, 1e-300))[:, :, None]
-        out[i, :, :, :3], out[i, :, :, 3] = n, -(n * a).sum(-1)
-    out[:, ~sure] = 0.0
+        n = (rows[:, i].reshape(-1, 4) @ ones.T).reshape(k, 4, m)
+        size = np.sqrt(n[:, 0] * n[:, 0] + n[:, 1] * n[:, 1] + n[:, 2] * n[:, 2])
+        sure &= size > 1e-6 * edges[:, i, None] * far
+        # the third corner lies on the side that the satellite's height tells
+        n *= (-turn / np.maximum(size, 1e-300))[:, None]
+        out[:, :, i] = np.swapaxes(n, 1, 2)
+    out[~sure] = 0.0
     return out
 
 
 def _least(g: np.ndarray) -> np.ndarray:
-    """The least of four arrays (4, ..), in place of the first."""
-    for i in range(1, 4):
-        np.minimum(g[0], g[i], out=g[0])
-    return g[0]
+    """The least of four along the second axis of (n, 4, ..)."""
+    out = np.minimum(g[:, 0], g[:, 1])
+    for i in (2, 3):
+        np.minimum(out, g[:, i], out=out)
+    return out
 
 
 def shade(blocked: np.ndarray, place: np.ndarray, sats: np.ndarray, tri: np.ndarray, near: int = NEAR, cone: int = CONE) -> None:
@@ -121,43 +136,48 @@ def shade(blocked: np.ndarray, place: np.ndarray, sats: np.ndarray, tri: np.ndar
     far = np.linalg.norm(s, axis=1)
     by_way, cones = _leaves(s / np.maximum(far, 1e-300)[:, None], cone, OPEN)
     ones = np.concatenate([p, np.ones((len(p), 1))], 1).astype(np.float32)
-    centre = np.concatenate([centre, np.ones((len(centre), 1))], 1)
-    stretch = float(np.abs(p).max()) * 2
+    stretch, sides = float(np.abs(p).max()) * 2, _sides(t)
     for c in range(len(cones) - 1):
         mine = by_way[cones[c] : cones[c + 1]]
         # the ray of another place stays as near to that of the middle as the places are: balls are widened by that
         at = np.flatnonzero(_near_cone(ball, size + whole, *_cone(s[mine])))
         if not len(at):
             continue
-        planes = _planes(t[at], s[mine])
+        planes = _planes(sides, at, s[mine])
         slack = 1e-6 * (float(np.abs(planes[..., 3]).max()) + stretch) + 1e-6
-        planes = planes.astype(np.float32)
         for first in range(0, len(starts) - 1, LEAVES):
-            # triangles of some leaves together, then for each leaf and satellite
-            those = slice(first, first + LEAVES)
-            v = ball[at] - spots[first // LEAVES]
-            on = np.flatnonzero(_near_cone(v, size[at] + wide[first // LEAVES], *_cone(s[mine] - spots[first // LEAVES])))
+            # triangles of some leaves together, then of each leaf, then for each leaf and satellite
+            those, spot = slice(first, first + LEAVES), spots[first // LEAVES]
+            axis, angle = _cone(s[mine] - spot)
+            on = np.flatnonzero(_near_cone(ball[at] - spot, size[at] + wide[first // LEAVES], axis, angle))
             if not len(on):
                 continue
-            some = planes[:, :, on].reshape(4, -1, 4)
-            reach = (radius[those] + slack).astype(np.float32)
-            least = _least((some.reshape(-1, 4) @ centre[those].T.astype(np.float32)).reshape(4, len(mine), len(on), -1))
-            covered, close = (least > reach).any(axis=1), least >= -reach
-            for b in range(close.shape[-1]):
-                rows = order[starts[first + b] : starts[first + b + 1]]
-                if covered[:, b].any():
-                    blocked[rows[:, None], mine[covered[:, b]][None]] = True
-                to = s[mine] - centre[first + b, :3]
+            # ways from a leaf's centre are turned from those of the bundle's by what both are apart, seen from the satellite
+            apart = np.linalg.norm(centre[those] - spot, axis=1).max() / max(float(np.linalg.norm(s[mine] - spot, axis=1).min()) - wide[first // LEAVES], 1e-300)
+            angle = angle + math.asin(apart) if apart < 0.5 else math.pi
+            near_leaf = _near_cone(ball[at[on]] - centre[those, None], size[at[on]] + radius[those, None], axis, angle)
+            for b in range(len(near_leaf)):
+                some = on[near_leaf[b]]
+                if not len(some):
+                    continue
+                x = slice(starts[first + b], starts[first + b + 1])
+                rows, ends = order[x], planes.take(some, axis=0).reshape(-1, 4, 4)
+                least = _least((ends.reshape(-1, 4) @ np.append(centre[first + b], 1.0).astype(np.float32)).reshape(-1, 4)).reshape(len(some), -1)
+                reach = np.float32(radius[first + b] + slack)
+                to, v = s[mine] - centre[first + b], ball[at[some]] - centre[first + b]
                 to /= np.maximum(np.linalg.norm(to, axis=1), 1e-300)[:, None]
-                v = ball[at[on]] - centre[first + b, :3]
-                along = to @ v.T
-                touch = (size[at[on]] + radius[first + b]) ** 2
-                inside = (v * v).sum(axis=1) - touch
-                pairs = np.flatnonzero(close[:, :, b] & ~covered[:, b, None] & (along * along >= inside) & ((along > 0) | (inside <= 0)))
+                along = v @ to.T
+                inside = ((v * v).sum(axis=1) - (size[at[some]] + radius[first + b]) ** 2)[:, None]
+                close = (least >= -reach) & (along * along >= inside) & ((along > 0) | (inside <= 0))
+                covered = least.max(axis=0) > reach
+                if covered.any():
+                    blocked[rows[:, None], mine[covered][None]] = True
+                    close[:, covered] = False
+                pairs = np.flatnonzero(close.T)
                 if not len(pairs):
                     continue
-                m, k = np.divmod(pairs, len(on))
-                depth = _least((some.take(pairs, axis=1).reshape(-1, 4) @ ones[starts[first + b] : starts[first + b + 1]].T).reshape(4, len(m), -1))
+                m, k = np.divmod(pairs, len(some))
+                depth = _least((ends.take(k * len(mine) + m, axis=0).reshape(-1, 4) @ ones[x].T).reshape(len(m), 4, -1))
                 new = np.append(True, m[1:] != m[:-1])
                 heads = np.flatnonzero(new)
                 most = np.maximum.reduceat(depth, heads, axis=0)
@@ -165,9 +185,11 @@ def shade(blocked: np.ndarray, place: np.ndarray, sats: np.ndarray, tri: np.ndar
                 unsure = np.abs(most) <= slack
                 if unsure.any():
                     which = np.cumsum(new) - 1
-                    pair, x = np.nonzero((np.abs(depth) <= slack) & unsure[which])
-                    found = meets(place[rows[x]], sats[mine[m[pair]]], tri[at[on[k[pair]]]][:, None])[:, 0]
-                    hit[which[pair[found]], x[found]] = True
+                    open_ = np.flatnonzero(unsure.any(axis=1)[which])
+                    pair, y = np.nonzero((np.abs(depth[open_]) <= slack) & unsure[which[open_]])
+                    pair = open_[pair]
+                    found = meets(place[rows[y]], sats[mine[m[pair]]], tri[at[some[k[pair]]]][:, None])[:, 0]
+                    hit[which[pair[found]], y[found]] = True
                 blocked[rows[:, None], mine[m[heads]][None]] |= hit.T
 
 

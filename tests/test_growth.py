@@ -179,3 +179,19 @@ def test_tracks_of_one_chunk_write_no_rounds(spark, monkeypatch):
     assert written == 4 < len(tables) - written and one.keys() == many.keys() and len(one) == 48
     for k, x in one.items():
         assert x.rounds == many[k].rounds > 1 and [x.x, x.y, x.z, x.c0, x.cost, x.mse] == pytest.approx([many[k].x, many[k].y, many[k].z, many[k].c0, many[k].cost, many[k].mse], rel=1e-6, abs=1e-4)
+
+
+def test_leaves_meet_only_triangles_near_their_own_rays(monkeypatch):
+    """Before, each leaf of a bundle was held against the triangles near any leaf's rays."""
+    r, held, least = np.random.default_rng(3), [], shades._least
+    monkeypatch.setattr(shades, "_least", lambda g: (held.append(g.size * (g.ndim != 3)), least(g))[1])  # three: of single rays
+    place = np.column_stack([r.uniform(0, 500, (1024, 2)), np.full(1024, 1.7)])
+    way = r.normal(size=(120, 3)) * 0.05 + (0.0, 1.0, 1.0)
+    sats = 2e5 * way / np.linalg.norm(way, axis=1)[:, None]
+    tri = np.column_stack([r.uniform(0, 600, (2000, 2)), r.uniform(0, 25, 2000)])[:, None] + r.normal(size=(2000, 3, 3)) * 3
+    blocked = np.zeros((1024, 120), bool)
+    shades.shade(blocked, place, sats, tri)
+    assert sum(held) < 30 * blocked.size
+    for i in range(0, 1024, 64):
+        want = rays.meets(np.repeat(place[i : i + 1], 120, axis=0), sats, np.broadcast_to(tri, (120, *tri.shape))).any(axis=1)
+        assert (blocked[i] == want).all() and not want.all()
