@@ -1,5 +1,8 @@
+import math
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from orbitlake.operators import graph, rays
 from orbitlake.sources import meshes
@@ -213,3 +216,16 @@ def test_cost_of_chunks_without_observations():
     cost, squares, number = chunks.cost(state, 2.0, 0.0)
     np.testing.assert_allclose(cost, [0.25, 0.0])
     assert squares.dtype == float and number.tolist() == [0, 0]
+
+
+def test_computed_ranges_are_not_made_anew_in_a_filter(spark):
+    """Before, a filter held each range's formula twice for each of its parts, 70 s of one task on sf0.1."""
+    rows = [(1, 0.0, 2e7, 1e6, 3e6, 40.0), (1, 0.0, None, 1e6, 3e6, 40.0), (1, 0.0, float("nan"), 1e6, 3e6, 40.0), (1, 1.0, None, 1e6, 3e6, 40.0), (None, 1.0, 2e7, 1e6, 3e6, 40.0), (1, float("nan"), 2e7, 1e6, 3e6, 40.0)]
+    o = spark.createDataFrame(rows, "track long, t double, sx double, sy double, sz double, k double")
+    o = o.withColumn("pr", F.sqrt(F.col("sx") * F.col("sx") + F.col("sy") * F.col("sy") + F.col("sz") * F.col("sz")) + F.col("k"))
+    s = spark.createDataFrame([(1, float(t), 0.0, 0.0, 0.0, 0.0) for t in range(3)], "track long, t double, x double, y double, z double, c0 double")
+    chunks = graph.packed(o, s, 1, 64.0)
+    text = chunks._jdf.queryExecution().optimizedPlan().toString()
+    assert "SQRT" in text and not any("SQRT" in line for line in text.split("\n") if "Filter" in line)
+    (row,) = chunks.collect()
+    assert list(row.counts) == [1, 0, 0] and row.obs[:3] == [2e7, 1e6, 3e6] and row.obs[3] == pytest.approx(math.sqrt(4e14 + 1e12 + 9e12) + 40.0)
