@@ -229,3 +229,16 @@ def test_computed_ranges_are_not_made_anew_in_a_filter(spark):
     assert "SQRT" in text and not any("SQRT" in line for line in text.split("\n") if "Filter" in line)
     (row,) = chunks.collect()
     assert list(row.counts) == [1, 0, 0] and row.obs[:3] == [2e7, 1e6, 3e6] and row.obs[3] == pytest.approx(math.sqrt(4e14 + 1e12 + 9e12) + 40.0)
+
+
+def test_a_round_of_tracks_of_one_chunk_builds_one_system(spark, monkeypatch):
+    """Before, each round built and eliminated the systems twice: at the point it took, and again to step from there."""
+    p = problem(5, 12, 7, 1, True)
+    o, s = tables(spark, {1: p}, 1)
+    part = graph.packed(o, s, 1, 1e6).drop("alone").toArrow().combine_chunks().to_batches()[0]
+    calls, normal = [], graph.Chunks.normal
+    monkeypatch.setattr(graph.Chunks, "normal", lambda *a: (calls.append(1), normal(*a))[1])
+    (out,) = graph._alone(1, 4.0, 1.5, 4, 0.0, True)([part])
+    x, _ = dense(p, 0.5, 1.5, 4)
+    assert out["rounds"].to_pylist() == [4] and len(calls) == 5
+    np.testing.assert_allclose(np.array(out["base"][0].as_py()).reshape(-1, 4), x, rtol=0, atol=2e-5)
